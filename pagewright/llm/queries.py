@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.exact_dedup import exact_dedup
+from pagewright.llm.mixing import mix, taken_words
 from pagewright.llm.packing import pack
 from pagewright.llm.sharding import shard_by_bytes
 from pagewright.llm.shared import documents
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(*mix(documents(spark, sf_dir)))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -28,6 +33,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
