@@ -11,12 +11,19 @@ from pagewright.llm.mixing import mix, taken_words
 from pagewright.llm.packing import pack
 from pagewright.llm.sharding import shard_by_bytes
 from pagewright.llm.shared import documents
+from pagewright.llm.tokenfiles import read_token_files, token_folder, write_token_files
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(*mix(documents(spark, sf_dir)))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = write_token_files(documents(spark, sf_dir), vocabulary, token_folder(spark), end_id=0)
+    return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -34,6 +41,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
