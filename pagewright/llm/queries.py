@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.exact_dedup import exact_dedup
 from pagewright.llm.mixing import mix, taken_words
+from pagewright.llm.near_join import near_join
 from pagewright.llm.packing import pack
 from pagewright.llm.sharding import shard_by_bytes
 from pagewright.llm.shared import documents
@@ -29,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
+    "op5_near_join": op5_near_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
 }
