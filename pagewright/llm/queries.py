@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.exact_dedup import exact_dedup
+from pagewright.llm.language_id import language_id
 from pagewright.llm.mixing import mix, taken_words
 from pagewright.llm.near_join import near_join
 from pagewright.llm.packing import pack
 from pagewright.llm.sharding import shard_by_bytes
 from pagewright.llm.shared import documents
 from pagewright.llm.tokenfiles import read_token_files, token_folder, write_token_files
+from pagewright.llm.toxicity import toxicity
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +32,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
 def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -48,7 +58,9 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
     "op5_near_join": op5_near_join,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
 }
