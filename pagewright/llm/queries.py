@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.exact_dedup import exact_dedup
+from pagewright.llm.fingerprints import edited_fingerprints
 from pagewright.llm.language_id import language_id
 from pagewright.llm.mixing import mix, taken_words
 from pagewright.llm.near_join import near_join
@@ -48,6 +49,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), shards=40).select(
         F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_near_join": op5_near_join,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_sharding": op10_sharding,
 }
 
