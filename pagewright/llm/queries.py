@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.exact_dedup import exact_dedup
 from pagewright.llm.fingerprints import edited_fingerprints
 from pagewright.llm.language_id import language_id
+from pagewright.llm.lm_scoring import lm_scores
 from pagewright.llm.mixing import mix, taken_words
 from pagewright.llm.near_join import near_join
 from pagewright.llm.packing import pack
@@ -41,6 +42,10 @@ def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_near_join": op5_near_join,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
