@@ -99,21 +99,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns.
-
-    Losers are removed by (id, digest); of rows that repeat a kept id and text one is left.
-    """
-    found = keep(exact_dedup(df, id_col, text_col, counters), "dedup")
-    key = F.struct(F.col(id_col).alias("doc_id"), F.sha2(F.encode(_ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "utf-8"), 256).alias("text_sha256"))
-    groups = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    marked = groups.filter(~F.col("kept") | (F.col("n") > 1)).select(
-        F.struct("doc_id", "text_sha256").alias("_key"), F.when(F.col("kept"), "once").otherwise("never").alias("_fate")
-    )
-    joined = df.withColumn("_key", key).join(marked, F.col("_key").eqNullSafe(marked["_key"]), "left").drop("_key")
-    whole = joined.filter(F.col("_fate").isNull()).drop("_fate")
-    once = joined.filter(F.col("_fate") == "once").drop("_fate").dropDuplicates([id_col, text_col])
-    return whole.unionByName(once)
-
-
-def _ascii_lower(col):
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """The rows of ``df`` that stay, with all their columns."""
+    base = keep(df.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    rows = base.select(F.struct(F.col(id_col).alias("id"), "_rid").alias("_id"), F.col(text_col).alias("_text"))
+    lost = exact_dedup(rows, "_id", "_text", counters).filter(~F.col("kept")).select(F.col("doc_id._rid").alias("_rid"))
+    return base.join(lost, "_rid", "left_anti").drop("_rid")

@@ -19,8 +19,11 @@ an empty result; further columns are ignored by ``mix`` and kept by ``mixed_docu
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,13 +118,13 @@ class Plan:
         return turn, index, np.where(last, np.minimum(holds, self.rest[source] - before), holds)
 
 
-def sized(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """One row per input row: rid, doc_id, source, size, and a hash for the order."""
+def sized(df: DataFrame, id_col: str, source_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """One row per input row: rid (``row_col``, or a new number), doc_id, source, size, and a hash for the order."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rid = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
     return keep(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc")).withColumn(
-            "rid", F.monotonically_increasing_id()
-        ),
+        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.crc32(text.cast("binary")).alias("crc"), rid.alias("rid")),
         "sizes",
     )
 
@@ -185,12 +188,12 @@ def drawn_slots(spark, plan: Plan, shard_slots: int) -> DataFrame:
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=(1, 2, 3),
-    block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most_repeats: int = MOST_REPEATS, seed: int = 20_240_501,
+    block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most_repeats: int = MOST_REPEATS, seed: int = 20_240_501, row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows has rid, doc_id, crc, size, source_size and target of each input row; spans has the
     words taken: rid, shard, slot, pass, from_word and n_words."""
     spark = df.sparkSession
-    rows = sized(df, id_col, source_col, text_col)
+    rows = sized(df, id_col, source_col, text_col, row_col)
     held = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(held) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; group them before mixing")
@@ -218,3 +221,51 @@ def taken_words(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and the words taken of each row."""
     sums = spans.groupBy("rid").agg(F.sum("n_words").alias("taken"))
     return rows.join(sums, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def taken_texts(text: str, runs: list[tuple[int, int]]) -> list[str]:
+    """The text from word a to before word b of each run (a, b); the whole text where a run has all words."""
+    at = [(m.start(), m.end()) for m in re.finditer(WORD, text)]
+    return [text if (a, b) == (0, len(at)) else text[at[a][0] : at[b - 1][1]] for a, b in runs]
+
+
+def joined_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (first word, number of words) of one pass as maximal runs (first, end)."""
+    out: list[tuple[int, int]] = []
+    for a, n in sorted(spans):
+        if out and out[-1][1] == a:
+            out[-1] = (out[-1][0], a + n)
+        else:
+            out.append((a, a + n))
+    return out
+
+
+def mixed_documents(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mixture as rows of ``df``: one for each run of words that a pass takes of a row, its text cut to them.
+
+    Rows taken in several passes come that often, rows without words not at all; ``length_col`` is set to the new
+    text's length, other columns are as they were.
+    """
+    base = keep(df.withColumn("_rid", F.monotonically_increasing_id()), "unmixed")
+    _, spans = mix(base, text_col=text_col, row_col="_rid", **options)
+    taken = spans.groupBy("rid").agg(F.collect_list(F.struct("pass", "from_word", "n_words")).alias("_taken"))  # a few for each block of a text
+    rows = base.join(taken, F.col("_rid") == F.col("rid")).select(*df.columns, "_taken")
+    out = df.schema
+
+    def cut(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            index, made = [], []
+            for i, held in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                for k in sorted({x["pass"] for x in held}):
+                    got = taken_texts(texts[i], joined_runs([(x["from_word"], x["n_words"]) for x in held if x["pass"] == k]))
+                    made += got
+                    index += [i] * len(got)
+            part = b.take(pa.array(index, pa.int64()))
+            cols = {n: part.column(j) for j, n in enumerate(b.schema.names[:-1])}
+            cols[text_col] = pa.array(made, pa.string())
+            if length_col in cols:
+                cols[length_col] = pa.array([len(t) for t in made], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return rows.mapInArrow(cut, out)

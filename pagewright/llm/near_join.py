@@ -264,3 +264,11 @@ def near_join(
     return rows.join(classes, "root").select(
         "doc_id", F.col("best.doc_id").alias("class_id"), F.col("n_links").cast("long"), F.col("copies").alias("n_copies"), (F.col("rid") == F.col("best.rid")).alias("first")
     )
+
+
+def near_deduplicated(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """One row of each class (the first by the table's order), with all columns of ``df``."""
+    base = keep(df.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    found = near_join(base, id_col="_rid", text_col=text_col, **options)
+    stays = found.filter("first").select(F.col("doc_id").alias("_rid"))
+    return base.join(stays, "_rid", "left_semi").drop("_rid")
