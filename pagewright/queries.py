@@ -1,6 +1,8 @@
-"""Registry of the named queries and their SQL twins (filled by the plan modules)."""
+"""Registry of the named queries and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pagewright.plans import events, library, matching, texts  # noqa: F401  they register
+from pagewright.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
