@@ -69,26 +69,31 @@ def minima(tokens: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, digest of the set, sampled tokens (4 bytes each), and the text, compressed."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def sketches(df: DataFrame, text_col: str, carry: list[str], size: int) -> DataFrame:
+    """The carried columns, digest of the set, sampled tokens (4 bytes each), and the text, compressed; rid numbers the rows."""
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = df.select(*own, F.col(text_col).cast("string").alias("text"))
 
     def sketch(batches):
         a, b = _hash_functions()
-        shrink = zstandard.ZstdCompressor(level=1).compress
+        shrink = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
+            texts = batch.column(len(carry))
             digests, samples = [], []
-            for s in shingle_sets(batch.column(1), size):
+            for s in shingle_sets(texts, size):
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 samples.append(minima(s, a, b).tobytes())
-            packed = [shrink((t or "").encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(samples, pa.binary()), pa.array(packed, pa.binary())],
-                ["doc_id", "digest", "sample", "packed"],
-            )
+            packed = [None if t is None else shrink(t.encode()) for t in texts.to_pylist()]
+            made = [pa.array(x, pa.binary()) for x in (digests, samples, packed)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], [*batch.schema.names[: len(carry)], "digest", "sample", "packed"])
 
-    return rows.mapInArrow(sketch, f"doc_id {kind}, digest binary, sample binary, packed binary")
+    schema = rows.drop("text").schema.add("digest", "binary").add("sample", "binary").add("packed", "binary")
+    return keep(rows.mapInArrow(sketch, schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+
+
+def unpacked(packed: list) -> list:
+    grow = zstandard.ZstdDecompressor().decompress
+    return [None if x is None else grow(x).decode() for x in packed]
 
 
 def leaves_of(reps: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
@@ -115,11 +120,62 @@ def leaves_of(reps: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
             f"if(pmod(xxhash64(path, 0), 4) = 0 AND {one} <> {two}, xxhash64(path, {two}, {token(two)}), null)), x -> x IS NOT NULL)"
         )
         level = level.join(reps.select("rep", "sample"), "rep").select("rep", F.expr(f"explode({next_paths}) AS path"))
-    contents = found.groupBy("path").agg(
-        F.first("n").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(rep, 1))").alias("y")
-    )
-    once = contents.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path")
-    return keep(found.join(once, "path"), "leaves")
+    return once(found)
+
+
+def once(leaves: DataFrame) -> DataFrame:
+    """(path, rep, n) with the leaves that hold the same sets only once, and those of one set not at all."""
+    contents = leaves.groupBy("path").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("x"), F.expr("bit_xor(xxhash64(rep, 1))").alias("y"))
+    kept = contents.filter("n > 1").groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n")
+    return keep(leaves.select("path", "rep").join(kept, "path"), "leaves")
+
+
+def by_blocks(leaves: DataFrame, payload: DataFrame, block: int, work, names: list[str], schema: str) -> DataFrame:
+    """Apply ``work`` (rows of one leaf, or of two of its blocks, as lists by name -> tuples) where they meet."""
+    own = F.expr(f"cast(pmod(xxhash64(rep), ceil(n / {block})) AS int)")
+    placed = leaves.withColumn("block", own).withColumn("blocks", F.expr(f"cast(ceil(n / {block}) AS int)"))
+    pairs = placed.select("path", "rep", "block", F.expr("explode(sequence(0, blocks - 1)) AS other"))
+    pairs = pairs.select("path", "rep", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows = pairs.join(payload, "rep").repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "rep").select(*names)
+    shape = [(c.strip().split(" ")) for c in schema.split(",")]
+
+    def run(batches):
+        held: list[dict] = []
+        found: list[tuple] = []
+        table = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(len(shape))], [n for n, _ in shape])
+        for b in batches:
+            for r in b.to_pylist():
+                if held and any(held[0][k] != r[k] for k in ("path", "lo", "hi")):
+                    found += work(held)
+                    held = []
+                held.append(r)
+            if len(found) > 10_000:
+                yield table()
+                found = []
+        if held:
+            found += work(held)
+        yield table()
+
+    return rows.mapInArrow(run, schema)
+
+
+def plausible(leaves: DataFrame, reps: DataFrame, similarity: float, block: int) -> DataFrame:
+    """The leaves without sets that are like no other in them, by their sampled tokens: agreement five standard
+    deviations below ``similarity`` is let through, so a link is lost here less than once in a million."""
+    least = COORDINATES * similarity - 5 * math.sqrt(COORDINATES * similarity * (1 - similarity))
+
+    def likely(rows: list[dict]) -> list[tuple]:
+        sample = np.stack([np.frombuffer(r["sample"], np.uint32) for r in rows])
+        agree = np.zeros((len(rows), len(rows)), np.uint8)
+        for c in range(COORDINATES):
+            agree += sample[:, c, None] == sample[None, :, c]
+        near = agree >= least
+        np.fill_diagonal(near, False)
+        return [(rows[i]["path"], rows[i]["rep"]) for i in np.flatnonzero(near.any(1)).tolist()]
+
+    names = ["path", "lo", "hi", "block", "rep", "sample"]
+    rows = by_blocks(leaves, reps.select("rep", "sample"), block, likely, names, "path long, rep long")
+    return once(keep(rows, "plausible").distinct())
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -160,7 +216,7 @@ def local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = best
 
 
-def _compared(rows: list[dict], similarity: float) -> list[tuple]:
+def compared(rows: list[dict], similarity: float) -> list[tuple]:
     """(rep, links, root) from one leaf, or from two blocks of a leaf."""
     leaf, lo, hi = rows[0]["path"], rows[0]["lo"], rows[0]["hi"]
     ids = np.array([r["rep"] for r in rows], np.int64)
@@ -182,37 +238,6 @@ def _compared(rows: list[dict], similarity: float) -> list[tuple]:
     return list(zip(ids.tolist(), links.tolist(), root.tolist(), strict=True))
 
 
-def compared(leaves: DataFrame, payload: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(rep, links, root) rows of all leaves; payload has rep, copies, paths and tokens."""
-    blocks = F.expr(f"cast(ceil(n / {block}) AS int)")
-    own = F.expr(f"cast(pmod(xxhash64(rep), ceil(n / {block})) AS int)")
-    placed = leaves.withColumn("block", own).withColumn("blocks", blocks)
-    pairs = placed.select("path", "rep", "block", F.expr("explode(sequence(0, blocks - 1)) AS other"))
-    pairs = pairs.select("path", "rep", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rows = pairs.join(payload, "rep").repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "rep")
-    names = ["path", "lo", "hi", "block", "rep", "copies", "paths", "tokens"]
-
-    def compare(batches):
-        held: list[dict] = []
-        found: list[tuple] = []
-        table = lambda: pa.RecordBatch.from_pylist([dict(zip(("rep", "links", "root"), x, strict=True)) for x in found], schema)
-        schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-        for b in batches:
-            for r in b.to_pylist():
-                if held and any(held[0][k] != r[k] for k in ("path", "lo", "hi")):
-                    found += _compared(held, similarity)
-                    held = []
-                held.append(r)
-            if len(found) > 10_000:
-                yield table()
-                found = []
-        if held:
-            found += _compared(held, similarity)
-        yield table()
-
-    return rows.select(*names).mapInArrow(compare, "rep long, links long, root long")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b): alternating large-star and small-star until nothing moves."""
     edges = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -232,43 +257,59 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE,
-    recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK,
-) -> DataFrame:
-    """One row per input row: doc_id, class_id (the least id of its class), n_links (other rows that are similar
-    enough), n_copies (rows of the same set, itself included) and first (one row of each class)."""
-    made = keep(sketches(df, id_col, text_col, size).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+def classed(made: DataFrame, similarity: float, size: int, recall: float, depth: int, leaf: int, block: int) -> DataFrame:
+    """rid, root, n_links and copies of every row of the sketches."""
     groups = made.groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.first("sample").alias("sample"))
     groups = keep(groups, "sets")
     leaves = leaves_of(groups.select("rep", "sample"), runs_for(recall, similarity, depth), depth, leaf)
+    leaves = plausible(leaves, groups, similarity, block)
     lists = leaves.groupBy("rep").agg(F.collect_set("path").alias("paths"))
 
     def tokens(batches):
-        grow = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            texts = pa.array([grow(x).decode() for x in b.column(0).to_pylist()], pa.large_string())
-            sets = pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(1, b.num_columns)] + [sets], ["rep", "copies", "paths", "tokens"])
+            sets = [s.tobytes() for s in shingle_sets(pa.array(unpacked(b.column(0).to_pylist()), pa.large_string()), size)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.binary())], ["rep", "copies", "paths", "tokens"])
 
     wanted = lists.join(groups.select("rep", "copies"), "rep")
     payload = made.select("packed", F.col("rid").alias("rep")).join(wanted, "rep").select("packed", "rep", "copies", "paths")
     payload = payload.mapInArrow(tokens, "rep long, copies long, paths array<long>, tokens binary")
-    met = keep(compared(leaves, payload, similarity, block), "links")
+    names = ["path", "lo", "hi", "block", "rep", "copies", "paths", "tokens"]
+    met = keep(by_blocks(leaves, payload, block, lambda rows: compared(rows, similarity), names, "rep long, links long, root long"), "links")
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     joined = groups.select("digest", "rep", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    sets = joined.select("digest", F.coalesce("root", "rep").alias("root"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = keep(made.select("doc_id", "rid", "digest").join(sets, "digest"), "classed")
-    classes = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best"))
-    return rows.join(classes, "root").select(
-        "doc_id", F.col("best.doc_id").alias("class_id"), F.col("n_links").cast("long"), F.col("copies").alias("n_copies"), (F.col("rid") == F.col("best.rid")).alias("first")
-    )
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    return made.select("rid", "digest").join(joined.select("digest", F.coalesce("root", "rep").alias("root"), "copies", n_links), "digest").drop("digest")
+
+
+def near_join(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE,
+    recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK,
+) -> DataFrame:
+    """One row per input row: doc_id, class_id (the least id of its class), n_links (other rows that are similar
+    enough) and n_copies (rows of the same set, itself included)."""
+    made = sketches(df, text_col, [id_col], size)
+    found = classed(made, similarity, size, recall, depth, leaf, block)
+    rows = keep(made.select(F.col("c0").alias("doc_id"), "rid").join(found, "rid"), "classed")
+    classes = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(classes, "root").select("doc_id", "class_id", F.col("n_links").cast("long"), F.col("copies").alias("n_copies"))
 
 
-def near_deduplicated(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def near_deduplicated(
+    df: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE,
+    recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK,
+) -> DataFrame:
     """One row of each class (the first by the table's order), with all columns of ``df``."""
-    base = keep(df.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
-    found = near_join(base, id_col="_rid", text_col=text_col, **options)
-    stays = found.filter("first").select(F.col("doc_id").alias("_rid"))
-    return base.join(stays, "_rid", "left_semi").drop("_rid")
+    names = df.columns
+    carry = [c for c in names if c != text_col]
+    made = sketches(df, text_col, carry, size)
+    roots = classed(made, similarity, size, recall, depth, leaf, block).filter("rid <> root").select("rid")
+    lost = keep(roots, "lost")
+    stays = made.join(lost, "rid", "left_anti").select(*[f"c{i}" for i in range(len(carry))], "packed")
+
+    def whole(batches):
+        for b in batches:
+            columns = dict(zip(carry, b.columns[:-1], strict=True)) | {text_col: pa.array(unpacked(b.column(len(carry)).to_pylist()), pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return stays.mapInArrow(whole, df.schema)
