@@ -5,7 +5,7 @@
 2. A set has ``COORDINATES`` sampled tokens, its minima under as many hash functions. A path starts at a
    run; every node samples one coordinate, or two with chance 1/4 (1 / 0.8 on average, so that a pair at the
    threshold keeps meeting), and all sets with the same token there go on together.
-3. Groups of at most ``LEAF`` sets, and all groups at the last depth, are leaves. Leaves with the same sets are
+3. Groups of at most ``LEAF`` sets, groups that hold most of their parent's, and all at the last depth, are leaves. Leaves with the same sets are
    worked on once. In a leaf all pairs are compared exactly, by products of incidence matrices; a leaf over
    ``BLOCK`` sets is cut into blocks whose pairs of blocks are tasks of their own. A pair counts in the
    smallest leaf that it shares, so links are exact counts however often a pair meets.
@@ -38,6 +38,8 @@ COORDINATES = 64
 LEAF = 32
 BLOCK = 512
 DEPTH = 4
+#: Share of its parent from which a group counts as dense and is a leaf.
+DENSE = 0.7
 RECALL = 0.9999
 
 
@@ -105,13 +107,17 @@ def leaves_of(reps: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
         picks += [(r, c) for c in first[: 2 if r % 4 == 3 else 1]]
     token = lambda c: f"substring(sample, 4 * ({c}) + 1, 4)"
     level = reps.select("rep", F.expr("explode(array(" + ", ".join(f"xxhash64({r}, {c}, {token(c)})" for r, c in picks) + ")) AS path"))
+    level = level.withColumn("parent", F.lit(1 << 62))
     found = None
     for k in range(1, depth + 1):
         sizes = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         level = keep(level.join(sizes, "path"), f"paths-{k}")
-        done = level if k == depth else level.filter(F.col("n") <= leaf)
+        # a group that a shared token hardly divides holds sets that are alike: splitting it on would not help
+        ends = (F.col("n") <= leaf) | (F.col("n") >= DENSE * F.col("parent"))
+        done = level if k == depth else level.filter(ends)
+        done = done.select("path", "rep", "n")
         found = done if found is None else found.unionByName(done)
-        level = level.filter(F.col("n") > leaf)
+        level = level.filter(~ends)
         if k == depth or level.isEmpty():
             break
         one, two = (f"cast(pmod(xxhash64(path, {j}), {COORDINATES}) AS int)" for j in (1, 2))
@@ -119,7 +125,7 @@ def leaves_of(reps: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
             f"filter(array(xxhash64(path, {one}, {token(one)}), "
             f"if(pmod(xxhash64(path, 0), 4) = 0 AND {one} <> {two}, xxhash64(path, {two}, {token(two)}), null)), x -> x IS NOT NULL)"
         )
-        level = level.join(reps.select("rep", "sample"), "rep").select("rep", F.expr(f"explode({next_paths}) AS path"))
+        level = level.join(reps.select("rep", "sample"), "rep").select("rep", F.col("n").alias("parent"), F.expr(f"explode({next_paths}) AS path"))
     return once(found)
 
 
@@ -161,7 +167,9 @@ def by_blocks(leaves: DataFrame, payload: DataFrame, block: int, work, names: li
 
 def plausible(leaves: DataFrame, reps: DataFrame, similarity: float, block: int) -> DataFrame:
     """The leaves without sets that are like no other in them, by their sampled tokens: agreement five standard
-    deviations below ``similarity`` is let through, so a link is lost here less than once in a million."""
+    deviations below ``similarity`` is let through, so a link is lost here less than once in a million. Leaves over
+    one block, which are dense or could not be divided, stay as they are."""
+    small, large = leaves.filter(F.col("n") <= block), leaves.filter(F.col("n") > block)
     least = COORDINATES * similarity - 5 * math.sqrt(COORDINATES * similarity * (1 - similarity))
 
     def likely(rows: list[dict]) -> list[tuple]:
@@ -174,8 +182,8 @@ def plausible(leaves: DataFrame, reps: DataFrame, similarity: float, block: int)
         return [(rows[i]["path"], rows[i]["rep"]) for i in np.flatnonzero(near.any(1)).tolist()]
 
     names = ["path", "lo", "hi", "block", "rep", "sample"]
-    rows = by_blocks(leaves, reps.select("rep", "sample"), block, likely, names, "path long, rep long")
-    return once(keep(rows, "plausible").distinct())
+    rows = by_blocks(small, reps.select("rep", "sample"), block, likely, names, "path long, rep long")
+    return once(keep(rows.unionByName(large.select("path", "rep")), "plausible"))
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
