@@ -122,7 +122,7 @@ def _change(held: dict, parked: set, r, tracks: int) -> str | None:
     return None
 
 
-def stateful_validator(rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def stateful_validator(_key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """One job's events of a micro-batch, for applyInPandasWithState: the same rules as ``validated``."""
     life, detection = state.get if state.exists else ("waiting", False)
     out = []

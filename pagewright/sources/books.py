@@ -252,7 +252,7 @@ def pcm_windows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
-    """Audio files below a folder, in natural order within theirs."""
+    """Audio files below a folder that are not empty, with the key that puts them in natural order."""
     rows = files(spark, path).select("path", "length").filter(extension(F.col("path")).isin(*AUDIO))
     rows = rows.select("path", "length", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), stem(F.col("path")).alias("name"))
     return rows.withColumn("sort_key", natural_key(F.col("name")))
