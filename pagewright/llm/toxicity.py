@@ -88,8 +88,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, kinds=IDENTITY_TERMS, counterfactual
         w = Words(data, offsets)
         text, feature = presence(w)
         swaps += [(begin + i, gone, come) for i, gone, come in swapped(w, text, feature, kinds)]
-        rows.append(text + begin)
-        cols.append(feature)
+        rows.append((text + begin).astype(np.int32))
+        cols.append(feature.astype(np.int32))
     row, col = np.concatenate(rows), np.concatenate(cols)
     there, both = np.bincount(col[toxic[row] > 0], minlength=BUCKETS), np.bincount(col, minlength=BUCKETS)
     expected = both * (n1 / n)
