@@ -140,14 +140,19 @@ def _gradients(p: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[di
     d_flat = d @ p["to_class"].T
     order = np.argsort(cls, kind="stable")
     ends = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
-    for k in range(HEAD_CLASSES):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            d = np.exp(_log_softmax(flat[at] @ p["to_word"][k] + p["word_bias"][k]))
-            d[np.arange(len(at)), target[at] - k * IN_CLASS] -= 1
-            d /= total
-            g["to_word"][k], g["word_bias"][k] = flat[at].T @ d, d.sum(0)
-            d_flat[at] += d @ p["to_word"][k].T
+    order = order[: ends[-1]]
+    of_class = [(k, slice(ends[k], ends[k + 1])) for k in range(HEAD_CLASSES) if ends[k] < ends[k + 1]]
+    own, d = flat[order], np.empty((len(order), IN_CLASS), flat.dtype)
+    for k, at in of_class:
+        d[at] = own[at] @ p["to_word"][k]
+    d = np.exp(_log_softmax(d + p["word_bias"][cls[order]])) if len(order) else d
+    d[np.arange(len(order)), target[order] - cls[order] * IN_CLASS] -= 1
+    d /= total
+    back = np.empty_like(own)
+    for k, at in of_class:
+        g["to_word"][k], g["word_bias"][k] = own[at].T @ d[at], d[at].sum(0)
+        back[at] = d[at] @ p["to_word"][k].T
+    d_flat[order] += back
     d_states, d_next, d_gates = d_flat.reshape(steps, streams, HIDDEN), 0.0, []
     for t in range(steps - 1, -1, -1):
         before, z, r, n, un, fresh = kept[t]

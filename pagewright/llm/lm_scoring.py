@@ -4,9 +4,10 @@
    counts in training documents, and its texts as codes into them.
 2. The counts of all words of all training documents are summed by a shuffle of (portion, word) rows, and
    brought back to the portions; no vocabulary passes through the driver but the most frequent words.
-3. The network is fitted on a share of the training documents, drawn by hash: one shard of about
-   ``SHARD_TOKENS`` words first, then all shards side by side from there, their parameters averaged.
-4. Each portion is scored where its codes and counts meet.
+3. Each portion's texts become symbols where its codes and counts meet.
+4. The network is fitted on all training documents, dealt by hash to shards of about ``SHARD_TOKENS`` words:
+   one shard first, then all shards side by side from there, their parameters averaged.
+5. Each portion's symbols are scored.
 
 The chance of a text is the product of its words' and its end's. Words are in the network's head, or repeated
 (a form class by their first two bytes, then their share of its counts), or rare; the rare class is shared
@@ -35,8 +36,7 @@ from pagewright.llm.shared import crc_of_id, keep
 
 #: Bytes of text of a portion.
 PORTION = 12_000_000
-#: Share of the training documents that the network is fitted on; more where that is under one shard.
-SHARE = 1 / 32
+#: Words of a shard of the training documents.
 SHARD_TOKENS = 1_000_000
 #: Words of a text's part in training; scoring runs through whole texts.
 PART = 4096
@@ -126,67 +126,70 @@ class Counts:
         return out
 
 
-def fitted(encoded: DataFrame, vocabulary: DataFrame, counts: Counts) -> dict:
-    """The network's parameters."""
-    spark = encoded.sparkSession
+def fitted(coded: DataFrame, counts: Counts) -> dict:
+    """The network's parameters, fitted on every training text."""
+    spark = coded.sparkSession
     start = gru.started(np.array([counts.documents, *(r.c for r in counts.head)], float), counts.forms, counts.once)
     if not counts.documents:
         return start
-    share = min(1.0, max(SHARE, SHARD_TOKENS / counts.tokens))
-    shards = max(1, round(share * counts.tokens / SHARD_TOKENS))
-
-    def drawn(batches):
-        grow = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            for r in b.to_pylist():
-                code, ends = np.frombuffer(grow(r["codes"]), np.uint32), np.cumsum(r["sizes"])
-                word, form = np.array(r["words"], np.int64), np.array(r["forms"], np.int8)
-                chance = np.random.default_rng(r["portion"]).random((len(ends), 2))
-                for i in np.flatnonzero((chance[:, 0] < share) & ~np.array(r["held_out"], bool)).tolist():
-                    own = code[ends[i] - r["sizes"][i] : ends[i]]
-                    for at in range(0, len(own) + 1, PART):
-                        part = own[at : at + PART]
-                        yield pa.RecordBatch.from_pylist([{
-                            "shard": int(chance[i, 1] * shards), "part": (r["portion"] << 20) + i, "at": at, "ended": at + PART > len(own), "words": word[part], "forms": form[part],
-                        }], DRAWN)
-
-    some = keep(encoded.mapInArrow(drawn, "shard int, part long, at int, ended boolean, words array<long>, forms array<tinyint>"), "drawn")
-    each = some.select("shard", "part", "at", "ended", F.posexplode_outer("words").alias("nth", "word"))
-    symbols = each.join(vocabulary.select("word", "symbol"), "word", "left").groupBy("shard", "part", "at", "ended").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "symbol"))).alias("got")
-    )  # at most PART words each
-    symbols = keep(symbols.select("shard", "part", "at", "ended", F.expr("transform(filter(got, x -> x.symbol IS NOT NULL), x -> x.symbol)").alias("symbols")), "symbols")
+    shards = max(1, round(counts.tokens / SHARD_TOKENS))
 
     def fit_from(rows: DataFrame, flat: np.ndarray) -> DataFrame:
         held = spark.sparkContext.broadcast(flat)
 
         def fit(key, pdf):
-            pdf = pdf.sort_values(["part", "at"])
-            got = [np.append(s, 0) if e else np.asarray(s) for s, e in zip(pdf["symbols"], pdf["ended"], strict=True)]
+            pdf = pdf.sort_values(["hash", "doc_id", "at"])
+            got = [np.frombuffer(s, np.int16) for s in pdf["symbols"]]
             order = np.random.default_rng(int(key[0])).permutation(len(got))
-            texts = [np.asarray(got[i], np.int64) for i in order if len(got[i])]
+            texts = [got[i].astype(np.int64) for i in order]
             p = gru.packed(gru.train(gru.unpacked(held.value), texts))
-            n = sum(map(len, texts))
-            return pd.DataFrame({"node": [int(key[0]) % 32], "n": [n], "params": [(p * n).astype(np.float64).tobytes()]})
+            return pd.DataFrame({"node": [int(key[0]) % 32], "n": [sum(map(len, texts))], "params": [p.tobytes()]})
 
         return rows.groupBy("shard").applyInPandas(fit, "node int, n long, params binary")
 
-    def averaged(parts: DataFrame) -> np.ndarray:
+    def averaged(fits: DataFrame) -> np.ndarray:
         def add(key, pdf):
-            total = sum(np.frombuffer(x) for x in pdf["params"])
+            total = sum(np.frombuffer(x, np.float32) * np.float64(n) for x, n in zip(pdf["params"], pdf["n"], strict=True))
             return pd.DataFrame({"n": [int(pdf["n"].sum())], "params": [total.tobytes()]})
 
-        rows = keep(parts.groupBy("node").applyInPandas(add, "n long, params binary"), "averages").collect()  # 32 at most
+        rows = keep(fits.groupBy("node").applyInPandas(add, "n long, params binary"), "averages").collect()  # 32 at most
         n = sum(r.n for r in rows)
         return (sum(np.frombuffer(bytes(r.params)) for r in rows) / n).astype(np.float32) if n else gru.packed(start)
 
-    flat = averaged(fit_from(symbols.filter("shard = 0"), gru.packed(start)))
+    parts = training_parts(coded, shards)
+    flat = averaged(fit_from(parts.filter("shard = 0"), gru.packed(start)))
     if shards > 1:
-        flat = averaged(fit_from(symbols, flat))
+        flat = averaged(fit_from(parts.repartition(2 * shards, "shard"), flat))
     return gru.unpacked(flat)
 
 
-DRAWN = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("at", pa.int32()), ("ended", pa.bool_()), ("words", pa.list_(pa.int64())), ("forms", pa.list_(pa.int8()))])
+def training_parts(coded: DataFrame, shards: int) -> DataFrame:
+    """shard, hash, doc_id, at and symbols (16 bits each) of every part of every training text; a part's shard is drawn by its hash."""
+
+    def cut(batches):
+        grow = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for r in range(b.num_rows):
+                symbols = np.frombuffer(grow(b.column(3)[r].as_py()), np.int16)
+                ids, held, sizes = (b.column(i)[r].values for i in range(3))
+                ends = np.cumsum(sizes.to_numpy())
+                doc, at, own = [], [], []
+                for i in np.flatnonzero(~held.to_numpy(zero_copy_only=False)).tolist():
+                    begin, end = int(ends[i - 1]) if i else 0, int(ends[i])
+                    for k in range(begin, end, PART):
+                        doc.append(i)
+                        at.append(k - begin)
+                        own.append(symbols[k : min(k + PART, end)].tobytes())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc, pa.int64())), pa.array(at, pa.int32()), pa.array(own, pa.binary())], ["doc_id", "at", "symbols"])
+
+    own = coded.select("doc_ids", "held_out", "sizes", "symbols").mapInArrow(cut, "doc_id long, at int, symbols binary")
+    rank = F.xxhash64("doc_id", "at", "symbols")
+    return own.select(F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), rank.alias("hash"), "doc_id", "at", "symbols")
+
+
+CODED = (
+    "doc_ids array<long>, held_out array<boolean>, sizes array<int>, symbols binary, known array<long>, base array<double>, share array<double>"
+)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -204,16 +207,15 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     head = spark.createDataFrame([(r.word, i + 1) for i, r in enumerate(counts.head)], "word long, place int")
     symbol = F.when(F.col("place").isNotNull(), F.col("place")).when(F.col("c") > 1, F.col("form") + F.lit(gru.HEAD)).otherwise(F.lit(gru.RARE))
     vocabulary = counted.join(F.broadcast(head), "word", "left").select("word", "c", symbol.cast("short").alias("symbol"))  # HEAD rows at most
-    params = fitted(encoded, vocabulary, counts)
-    held = spark.sparkContext.broadcast((counts, params))
+    held = spark.sparkContext.broadcast(counts)
 
     portions_ = max(1, encoded.count())
     spread = 4 * portions_
     known = each.select("portion", "word").join(vocabulary, "word").select(F.col("portion").alias("of"), "word", "c", "symbol").repartition(spread, "of")
     texts = encoded.select("portion", "doc_ids", "held_out", "sizes", "codes", "words").repartition(spread, "portion")
 
-    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        counts, params = held.value
+    def code(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        counts = held.value
         r = left.iloc[0]
         code = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["codes"]), np.uint32)
         order = np.argsort(right["word"].to_numpy().view(np.uint64))  # words are in this order in the portion
@@ -222,17 +224,34 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
         last = np.cumsum(n + 1) - 1  # a text's end, after its words
         is_word = np.ones(int(n.sum()) + len(n), bool)
         is_word[last] = False
-        base_of, share_of = counts.base(c), counts.shares(symbol, c)
-        base, share, known_, symbols = np.empty(len(is_word)), np.zeros(len(is_word)), np.empty(len(is_word), bool), np.zeros(len(is_word), np.int64)
-        base[is_word], share[is_word], known_[is_word], symbols[is_word] = base_of[code], share_of[code], c[code] > 0, symbol[code]
-        base[last], known_[last] = counts.base(np.array(counts.documents)), counts.documents > 0
-        offsets = np.concatenate([[0], last + 1])
-        score = gru.score(params, symbols, offsets) + share
-        sums = lambda x: np.add.reduceat(x.astype(float), offsets[:-1])
+        first = last - n
+        symbols = np.zeros(len(is_word), np.int16)
+        symbols[is_word] = symbol[code]
+
+        def sums(of_word: np.ndarray, of_end: float) -> np.ndarray:
+            x = np.full(len(is_word), float(of_end))
+            x[is_word] = of_word[code]
+            return np.add.reduceat(x, first)
+
         return pd.DataFrame({
-            "doc_id": pd.array(list(r["doc_ids"]), "Int64") if any(x is None or x != x for x in r["doc_ids"]) else np.asarray(r["doc_ids"], np.int64),
-            "held_out": np.asarray(r["held_out"], bool), "n_tokens": n + 1, "n_known": sums(known_).astype(np.int64), "train_tokens": counts.tokens,
-            "base_score": sums(base), "score": sums(score) / LOG10,
+            "doc_ids": [[None if x is None or x != x else int(x) for x in r["doc_ids"]]], "held_out": [np.asarray(r["held_out"], bool)],
+            "sizes": [(n + 1).astype(np.int32)], "symbols": [zstandard.ZstdCompressor(level=1).compress(symbols.tobytes())],
+            "known": [sums(c > 0, counts.documents > 0).astype(np.int64)], "base": [sums(counts.base(c), counts.base(np.array(counts.documents)))],
+            "share": [sums(counts.shares(symbol, c), 0.0)],
         })
 
-    return texts.groupBy("portion").cogroup(known.groupBy("of")).applyInPandas(scored, SCORES)
+    coded = keep(texts.groupBy("portion").cogroup(known.groupBy("of")).applyInPandas(code, CODED), "coded")
+    params = spark.sparkContext.broadcast(fitted(coded, counts))
+
+    def scored(batches):
+        grow = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, held_out, sizes, known, base, share = (b.column(i)[k].values for i in (0, 1, 2, 4, 5, 6))
+                symbols = np.frombuffer(grow(b.column(3)[k].as_py()), np.int16).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())])
+                score = np.add.reduceat(gru.score(params.value, symbols, offsets).astype(float), offsets[:-1]) + share.to_numpy()
+                n = pa.array(np.full(len(ids), held.value.tokens))
+                yield pa.RecordBatch.from_arrays([ids, held_out, sizes.cast(pa.int64()), known, n, base, pa.array(score / LOG10)], [x.split()[0] for x in SCORES.split(", ")])
+
+    return coded.mapInArrow(scored, SCORES)

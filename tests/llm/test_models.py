@@ -118,3 +118,20 @@ def test_edited_fingerprints(odd, none):
         assert all(0 <= x <= 1 for r in found for x in (r.near_edited, r.near_next))
         assert len({r.fingerprint for r in found}) == len(set(texts))
     assert edited_fingerprints(none).count() == 0
+
+
+def test_every_training_text_reaches_the_network(small, monkeypatch):
+    from pagewright.llm import lm_scoring
+
+    kept = {}
+
+    def noted(df, name, keep=lm_scoring.keep):
+        kept[name] = keep(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(lm_scoring, "keep", noted)
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 1000)
+    train = [r for r in small.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
+    rows = lm_scores(small).collect()
+    assert len(rows) == small.count()
+    assert sum(r.n for r in kept["averages"].collect()) == sum(len((r.text or "").encode().split()) + 1 for r in train)
