@@ -77,8 +77,8 @@ def swapped(w: Words, text: np.ndarray, feature: np.ndarray, kinds) -> list[tupl
     return out
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, kinds=IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> tuple[float, np.ndarray]:
-    """(intercept, a weight for each feature)."""
+def fit(texts: pa.Array, toxic: np.ndarray, kinds=IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL, stands_for: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """(intercept, a weight for each feature); each text counts as ``stands_for`` labelled rows (1 each by default)."""
     n, n1 = len(toxic), int(toxic.sum())
     if not n or n1 in (0, n):
         share = n1 / n if n else 0.0
@@ -92,6 +92,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, kinds=IDENTITY_TERMS, counterfactual
         cols.append(feature.astype(np.int32))
     row, col = np.concatenate(rows), np.concatenate(cols)
     there, both = np.bincount(col[toxic[row] > 0], minlength=BUCKETS), np.bincount(col, minlength=BUCKETS)
+    # Chance is that of the rows drawn; the odds compare rates within each label, however many of it were drawn.
     expected = both * (n1 / n)
     spread = np.sqrt(np.maximum(expected * (1 - n1 / n), 0.25))
     odds = np.log((there + 0.5) / (n1 + 1)) - np.log((both - there + 0.5) / (n - n1 + 1))
@@ -113,10 +114,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, kinds=IDENTITY_TERMS, counterfactual
     change_row, change_col, change = (np.concatenate(x) if x else np.empty(0, int) for x in (change_row, change_col, change))
     change = change * scale[change_col]
     values = scale[col]
-    weight, bias, m_w, v_w, m_b, v_b = np.zeros(len(used)), np.log(n1 / (n - n1)), 0.0, 0.0, 0.0, 0.0
+    share = np.full(n, 1 / n) if stands_for is None else stands_for / stands_for.sum()
+    rate = float(share @ toxic)
+    weight, bias, m_w, v_w, m_b, v_b = np.zeros(len(used)), np.log(rate / (1 - rate)), 0.0, 0.0, 0.0, 0.0
     for step in range(1, 301):  # Adam over the whole sample
         score = bias + np.bincount(row, values * weight[col], n)
-        slope = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - toxic) / n
+        slope = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - toxic) * share
         grad = np.bincount(col, values * slope[row], len(used)) + 1e-4 * weight
         if swaps:
             moved = np.bincount(change_row, change * weight[change_col], len(swaps))
@@ -149,14 +152,23 @@ def scores(texts: pa.Array, bias: float, weights: np.ndarray) -> np.ndarray:
 
 
 def toxicity_model(labelled: DataFrame, most: int = SAMPLE, kinds=IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> tuple[float, np.ndarray]:
-    """Fit on at most ``most`` rows of ``labelled`` (doc_id, text, toxic), in one task."""
+    """Fit on at most ``most`` rows of ``labelled`` (doc_id, text, toxic), in one task.
+
+    A sampled row counts as many times as its label has rows for each sampled one, so that scores keep the
+    rate of toxic rows of all of ``labelled``.
+    """
     rows = keep(bounded_sample(labelled, "toxic", most, ["doc_id", "text"]).select("text", "toxic"), "labelled")
+    totals = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two labels
 
     def task(batches):
         held = [(b.column(0), b.column(1)) for b in batches]
         texts = pa.chunked_array([t for t, _ in held], pa.string()).cast(pa.large_string()).combine_chunks() if held else pa.array([], pa.large_string())
         toxic = np.concatenate([y.to_numpy(zero_copy_only=False) for _, y in held]).astype(float) if held else np.empty(0)
-        bias, weights = fit(texts, toxic, kinds, counterfactual)
+        stands_for = np.ones(len(toxic))
+        for label, total in totals.items():
+            own = toxic == label
+            stands_for[own] = total / max(1, int(own.sum()))
+        bias, weights = fit(texts, toxic, kinds, counterfactual, stands_for)
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([weights.tobytes()], pa.binary())], ["bias", "weights"])
 
     made = keep(rows.repartition(1).mapInArrow(task, "bias double, weights binary"), "toxicity-model")

@@ -135,3 +135,11 @@ def test_every_training_text_reaches_the_network(small, monkeypatch):
     rows = lm_scores(small).collect()
     assert len(rows) == small.count()
     assert sum(r.n for r in kept["averages"].collect()) == sum(len((r.text or "").encode().split()) + 1 for r in train)
+
+
+def test_scores_keep_the_rate_of_toxic_rows_under_sampling(spark):
+    rows = [(i, f"some plain words n{i % 7}" + (" vile" if i % 40 == 0 else ""), int(i % 20 == 0)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    bias, weights = toxicity.toxicity_model(df, most=200)
+    s = toxicity.scores(pa.array([t for _, t, _ in rows]), bias, weights)
+    assert abs(s.mean() - 0.05) < 0.02 and s[1] < 0.1 and s[0] > 0.5
