@@ -42,20 +42,30 @@ def transition(state: Column, kind: Column, stage: Column) -> Column:
 def validated(events: DataFrame, job: str, order: list[str], kind: str, stage: str, carry: list[str]) -> DataFrame:
     """Every event with its error (null where it is accepted) and the job's state after it.
 
-    A job's events are one array (a job emits a bounded number of them), folded in order.
+    The first start is accepted, and after it the first end that its kind of job allows; these two say a job's state at
+    every event, so a job's events stay spread. Equal events are numbered, and only the first of them can be accepted.
     """
     columns = list(dict.fromkeys([*order, *carry]))
     row = F.struct(*columns, F.col(kind).alias("_kind"), F.col(stage).alias("_stage"))
-    rows = events.groupBy(job).agg(F.array_sort(F.collect_list(row)).alias("_e"))
-    start = F.struct(F.lit("waiting").alias("life"), F.lit(False).alias("detection"), F.lit(None).cast("string").alias("error"))
-    states = F.aggregate(
-        "_e",
-        F.array(start),
-        lambda acc, e: F.concat(acc, F.array(transition(F.element_at(acc, -1), e["_kind"], e["_stage"]))),
-    )
-    both = rows.select(job, F.explode(F.arrays_zip("_e", F.slice(states, 2, F.size("_e")).alias("_s"))).alias("_x"))
-    own = [F.col(f"_x._e.{c}").alias(c) for c in columns]
-    return both.select(job, *own, F.col("_x._e._kind").alias("kind"), F.col("_x._s.error").alias("error"), F.col("_x._s.life").alias("life"))
+    each = events.select(F.col(job), row.alias("_r")).groupBy(job, "_r").agg(F.count("*").alias("_n"))
+    each = each.select(job, "_r", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")).select(job, F.struct("_r", "_copy").alias("_o"))
+    kind_, stage_ = F.col("_o._r._kind"), F.col("_o._r._stage")
+    detects = F.coalesce(F.col("_start._r._stage") == DETECTION, F.lit(False))
+
+    def with_facts(facts: DataFrame) -> DataFrame:
+        return each.join(facts.withColumnRenamed(job, "_job"), F.col(job).eqNullSafe(F.col("_job")), "left").drop("_job")
+
+    starts = each.filter(kind_ == "started").groupBy(job).agg(F.min("_o").alias("_start"))
+    allowed = kind_.isin(*TERMINAL) & (F.col("_o") > F.col("_start")) & ~((kind_ == "needs_match") & detects)
+    facts = with_facts(starts).groupBy(job).agg(F.first("_start", ignorenulls=True).alias("_start"), F.min(F.when(allowed, F.col("_o"))).alias("_end"))
+    waiting = F.col("_start").isNull() | (F.col("_o") <= F.col("_start"))
+    running = F.col("_end").isNull() | (F.col("_o") <= F.col("_end"))
+    before = F.struct(
+        F.when(waiting, "waiting").when(running, "running").otherwise("terminal").alias("life"), (~waiting & detects).alias("detection"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    both = with_facts(facts).withColumn("_before", before).withColumn("_s", transition(F.col("_before"), kind_, stage_))
+    return both.select(job, *[F.col(f"_o._r.{c}").alias(c) for c in columns], kind_.alias("kind"), F.col("_s.error").alias("error"), F.col("_s.life").alias("life"))
 
 
 def sequence_verdicts(checked: DataFrame, job: str) -> DataFrame:

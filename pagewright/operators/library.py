@@ -63,23 +63,34 @@ def title_conflicts(new: DataFrame, old: DataFrame, block: Column, least: float
 def candidate_groups(df: DataFrame, partition: str, position: str, keys: list[str]) -> DataFrame:
     """(position, leader): each candidate joins the first group whose head shares a key with it, else heads a new one.
 
-    Order decides and sharing is not transitive, so this is a fold in position order; ``partition`` bounds it: it
-    must hold together all candidates that can share a key (such as a normalised title's hash).
+    Order decides and sharing is not transitive, so this is a fold in position order; ``partition`` must hold together
+    all candidates that can share a key (such as a normalised title's hash). Candidates with equal keys share a leader, so
+    the fold sees only the first of each; candidates without any key head a group of their own.
     """
+    own_keys = [F.nanvl(k, F.lit(None)) if t in ("float", "double") else F.col(k) for k, t in df.select(*keys).dtypes]
+    rows = df.select(F.col(partition).alias("_p"), F.col(position).alias("_at"), *[c.alias(k) for c, k in zip(own_keys, keys, strict=True)])
+    keyless = F.lit(True)
+    for k in keys:
+        keyless = keyless & F.col(k).isNull()
+    keyed = rows.filter(~keyless).withColumn("_id", F.to_json(F.struct("_p", *keys)))
+    first = keyed.groupBy("_p", "_id", *keys).agg(F.min("_at").alias("_first"))
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
         heads: dict[tuple, int] = {}  # (key column, value) of heads -> order of the group
         leaders: list[int] = []
         out = []
-        for row in pdf.sort_values(position).itertuples(index=False):
+        for row in pdf.rename(columns={"_first": "first", "_id": "id"}).sort_values("first").itertuples(index=False):
             own = [(k, getattr(row, k)) for k in keys if getattr(row, k) is not None and getattr(row, k) == getattr(row, k)]
             found = min((heads[x] for x in own if x in heads), default=None)
             if found is None:
                 found = len(leaders)
-                leaders.append(getattr(row, position))
+                leaders.append(row.first)
                 for x in own:
                     heads.setdefault(x, found)
-            out.append((getattr(row, position), leaders[found]))
-        return pd.DataFrame(out, columns=["position", "leader"])
+            out.append((row.id, leaders[found]))
+        return pd.DataFrame(out, columns=["_id", "leader"])
 
-    return df.select(partition, position, *keys).groupBy(partition).applyInPandas(fold, "position long, leader long")
+    leaders = first.groupBy("_p").applyInPandas(fold, "_id string, leader long")
+    led = keyed.select("_id", "_at").join(leaders, "_id")
+    alone = rows.filter(keyless).select(F.col("_at").cast("long").alias("position"), F.col("_at").cast("long").alias("leader"))
+    return led.select(F.col("_at").cast("long").alias("position"), "leader").unionByName(alone)

@@ -1,4 +1,5 @@
 import io
+import random
 import struct
 import wave
 import zipfile
@@ -9,7 +10,7 @@ from pagewright.functions import identity, text as T
 from pagewright.operators import alignment, events, library, matching
 from pagewright.sources import books, projects
 from pagewright.streaming import jobs
-from pyspark.sql import functions as F
+from pyspark.sql import GroupedData, functions as F
 
 
 def one(spark, column, **values):
@@ -173,3 +174,46 @@ def test_streams_follow_the_batch_rules(spark, tmp_path):
     assert q.awaitTermination(120)
     last = events.latest(rows, ["job"], ["event_id"], ["event_id", "kind"]).collect()
     assert sorted((r.job, r.kind) for r in spark.read.parquet(str(tmp_path / "up/batch=0")).collect()) == sorted((r.job, r.kind) for r in last)
+
+
+def test_validation_of_any_order_of_events_without_a_jobs_array(spark):
+    rng = random.Random(4)
+    kinds = ["started", "result", "cancelled", "needs_match", "stage_changed", "detection_progress", "progress"]
+    rows = [(j or None, rng.randrange(9), rng.choice(kinds), rng.choice([None, "uploading", "detecting_start"])) for j in range(150) for _ in range(10)]
+    df = spark.createDataFrame(rows, "job long, seq long, kind string, stage string")
+    want, at = [], {}
+    for job, seq, kind, stage in sorted(rows, key=lambda r: (r[0] or 0, r[1], r[2], r[3] or "")):
+        life, detection = at.get(job, ("waiting", False))
+        start, end = kind == "started", kind in events.TERMINAL
+        fine = life == "waiting" if start else life == "running" and not (
+            (kind == "needs_match" and detection) or (kind == "stage_changed" and stage is not None and (stage == events.DETECTION) != detection)
+            or (kind == "detection_progress" and not detection)
+        )
+        if fine and (start or end):
+            life, detection = ("running", stage == events.DETECTION) if start else ("terminal", detection)
+        at[job] = life, detection
+        want.append((job or 0, seq, kind, fine, life))
+    out = events.validated(df, "job", ["seq"], "kind", "stage", ["seq"])
+    assert sorted((r.job or 0, r.seq, r.kind, r.error is None, r.life) for r in out.collect()) == sorted(want)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidate_groups_fold_only_the_first_of_equal_keys(spark, monkeypatch):
+    rows = [(i, "p", None if i % 5 == 0 else f"a{i % 3}", None if i % 5 in (0, 1) else f"b{i % 4}") for i in range(600)]
+    df = spark.createDataFrame(rows, "position long, part string, k1 string, k2 string")
+    heads, want = {}, {}
+    for i, _, a, b in rows:
+        own = [(k, x) for k, x in (("k1", a), ("k2", b)) if x is not None]
+        want[i] = min((heads[x] for x in own if x in heads), default=i)
+        if want[i] == i:
+            for x in own:
+                heads.setdefault(x, i)
+    folded, apply = [], GroupedData.applyInPandas
+
+    def noted(self, func, schema):
+        folded.append(self._df.count())
+        return apply(self, func, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", noted)
+    found = library.candidate_groups(df, "part", "position", ["k1", "k2"]).collect()
+    assert len(found) == 600 and {r.position: r.leader for r in found} == want and folded[0] <= 20
