@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on whole.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

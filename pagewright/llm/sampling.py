@@ -10,7 +10,7 @@ def bounded_sample(df: DataFrame, strata: str, most: int, order: list) -> DataFr
     """At most ``most`` rows of ``df``, shared out evenly among the values of ``strata``.
 
     Rows are thinned by a hash of the ``order`` columns before they are ranked, so that no value's rows
-    are sorted whole; reruns draw the same rows.
+    are sorted whole; reruns draw the same rows. Give it keys alone, not texts: ``texts_of`` fetches those.
     """
     sizes = df.groupBy(strata).agg(F.count("*").alias("_n"))
     values = max(1, sizes.count())
@@ -20,3 +20,13 @@ def bounded_sample(df: DataFrame, strata: str, most: int, order: list) -> DataFr
     thinned = df.join(sizes, strata).filter(chance <= F.lit(2.0 * share) / F.col("_n"))
     window = Window.partitionBy(strata).orderBy(rank, *order)
     return thinned.withColumn("_k", F.row_number().over(window)).filter(F.col("_k") <= share).drop("_n", "_k")
+
+
+def texts_of(texts: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (doc_id, mark, text) that are in ``drawn`` (doc_id, mark, ...), at most a sample's rows."""
+    return texts.join(F.broadcast(drawn), ["doc_id", "mark"])
+
+
+def marked(df: DataFrame, *names: str) -> DataFrame:
+    """doc_id, mark (a hash of the text) and the columns named: what a sample is drawn from."""
+    return df.select("doc_id", F.xxhash64(F.col("text")).alias("mark"), *names)

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The lists that tables written by keep() are noted in, the innermost last.
+_noted: list[list[str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; sets that folder only where none is set (tests)."""
+    """A new path below ``spark.checkpoint.dir``, the folder that all executors and the driver share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='pagewright-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir is not set; it names the folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -29,9 +31,31 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    for paths in _noted[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """Notes the paths of tables that keep() writes meanwhile, for drop(); an outer list gets them too in the end."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        own = _noted.pop()
+        for paths in _noted[-1:]:
+            paths += own
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that no DataFrame still to be run reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -39,3 +63,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_of_id(col: str = "doc_id"):
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores before it where ``df`` has a column of that name (in any case)."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in held:
+            n = "_" + n
+        held.add(n.lower())
+        out.append(n)
+    return out
