@@ -9,7 +9,9 @@
    worked on once. In a leaf all pairs are compared exactly, by products of incidence matrices; a leaf over
    ``BLOCK`` sets is cut into blocks whose pairs of blocks are tasks of their own. A pair counts in the
    smallest leaf that it shares, so links are exact counts however often a pair meets.
-4. Runs are repeated until a pair at the threshold shares a leaf with chance ``recall``.
+4. Runs are repeated until a pair at the threshold shares a leaf with chance ``recall``, over all draws of the sampled
+   tokens and of the paths. Paths are as long as it takes until groups that share ``SHARED`` of their tokens by
+   chance have come down to a leaf's size, so they grow with the logarithm of the table.
 5. Each leaf gives a set the least set of its local component; the classes are the connected components of
    these edges, found by alternating star contractions over tables in the shared folder.
 
@@ -30,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.hashes import shingle_sets
-from pagewright.llm.shared import keep
+from pagewright.llm.shared import drop, keep, tables
 
 SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 64
 LEAF = 32
 BLOCK = 512
-DEPTH = 4
+#: Share of the sets of a group that go on together by a token that need not make them alike.
+SHARED = 0.15
 #: Share of its parent from which a group counts as dense and is a leaf.
 DENSE = 0.7
 RECALL = 0.9999
@@ -53,7 +56,17 @@ def chance_to_meet(similarity: float, depth: int) -> float:
 
 
 def runs_for(recall: float, similarity: float, depth: int) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - chance_to_meet(similarity, depth)))
+    """Runs after which a pair shares a leaf with chance ``recall``, whichever of the sampled tokens agree."""
+    ways = [math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+    apart = [1 - chance_to_meet(k / COORDINATES, depth) for k in range(COORDINATES + 1)]
+    runs = 1
+    while sum(w * q**runs for w, q in zip(ways, apart, strict=True)) > 1 - recall:
+        runs += 1
+    return runs
+
+
+def depth_for(sets: int, leaf: int) -> int:
+    return max(3, math.ceil(math.log(max(sets, 1) / leaf) / -math.log(SHARED)))
 
 
 def _hash_functions() -> tuple[np.ndarray, np.ndarray]:
@@ -100,33 +113,36 @@ def unpacked(packed: list) -> list:
 
 def leaves_of(reps: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
     """(path, rep, n): the leaves with two sets or more, those with the same sets once."""
-    rng = np.random.default_rng(7)
+    spark, rng = reps.sparkSession, np.random.default_rng(7)
     picks = []
     for r in range(runs):
         first = rng.choice(COORDINATES, 2, replace=False).tolist()
         picks += [(r, c) for c in first[: 2 if r % 4 == 3 else 1]]
     token = lambda c: f"substring(sample, 4 * ({c}) + 1, 4)"
-    level = reps.select("rep", F.expr("explode(array(" + ", ".join(f"xxhash64({r}, {c}, {token(c)})" for r, c in picks) + ")) AS path"))
-    level = level.withColumn("parent", F.lit(1 << 62))
-    found = None
-    for k in range(1, depth + 1):
-        sizes = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        level = keep(level.join(sizes, "path"), f"paths-{k}")
-        # a group that a shared token hardly divides holds sets that are alike: splitting it on would not help
-        ends = (F.col("n") <= leaf) | (F.col("n") >= DENSE * F.col("parent"))
-        done = level if k == depth else level.filter(ends)
-        done = done.select("path", "rep", "n")
-        found = done if found is None else found.unionByName(done)
-        level = level.filter(~ends)
-        if k == depth or level.isEmpty():
-            break
-        one, two = (f"cast(pmod(xxhash64(path, {j}), {COORDINATES}) AS int)" for j in (1, 2))
-        next_paths = (
-            f"filter(array(xxhash64(path, {one}, {token(one)}), "
-            f"if(pmod(xxhash64(path, 0), 4) = 0 AND {one} <> {two}, xxhash64(path, {two}, {token(two)}), null)), x -> x IS NOT NULL)"
-        )
-        level = level.join(reps.select("rep", "sample"), "rep").select("rep", F.col("n").alias("parent"), F.expr(f"explode({next_paths}) AS path"))
-    return once(found)
+    with tables() as made:
+        level = reps.select("rep", F.expr("explode(array(" + ", ".join(f"xxhash64({r}, {c}, {token(c)})" for r, c in picks) + ")) AS path"))
+        level = level.withColumn("parent", F.lit(1 << 62))
+        found = None
+        for k in range(1, depth + 1):
+            sizes = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+            level = keep(level.join(sizes, "path"), f"paths-{k}")
+            # a group that a shared token hardly divides holds sets that are alike: splitting it on would not help
+            ends = (F.col("n") <= leaf) | (F.col("n") >= DENSE * F.col("parent"))
+            done = level if k == depth else level.filter(ends)
+            done = done.select("path", "rep", "n")
+            found = done if found is None else found.unionByName(done)
+            level = level.filter(~ends)
+            if k == depth or level.isEmpty():
+                break
+            one, two = (f"cast(pmod(xxhash64(path, {j}), {COORDINATES}) AS int)" for j in (1, 2))
+            next_paths = (
+                f"filter(array(xxhash64(path, {one}, {token(one)}), "
+                f"if(pmod(xxhash64(path, 0), 4) = 0 AND {one} <> {two}, xxhash64(path, {two}, {token(two)}), null)), x -> x IS NOT NULL)"
+            )
+            level = level.join(reps.select("rep", "sample"), "rep").select("rep", F.col("n").alias("parent"), F.expr(f"explode({next_paths}) AS path"))
+        out = once(found)
+    drop(spark, made[:-1])
+    return out
 
 
 def once(leaves: DataFrame) -> DataFrame:
@@ -137,12 +153,18 @@ def once(leaves: DataFrame) -> DataFrame:
 
 
 def by_blocks(leaves: DataFrame, payload: DataFrame, block: int, work, names: list[str], schema: str) -> DataFrame:
-    """Apply ``work`` (rows of one leaf, or of two of its blocks, as lists by name -> tuples) where they meet."""
+    """Apply ``work`` (rows of one leaf, or of two of its blocks, as lists by name -> tuples) where they meet.
+
+    Every two blocks of a leaf must meet once, so a set goes to as many tasks as its leaf has blocks: to one, where
+    the leaf has at most ``block`` sets.
+    """
     own = F.expr(f"cast(pmod(xxhash64(rep), ceil(n / {block})) AS int)")
     placed = leaves.withColumn("block", own).withColumn("blocks", F.expr(f"cast(ceil(n / {block}) AS int)"))
-    pairs = placed.select("path", "rep", "block", F.expr("explode(sequence(0, blocks - 1)) AS other"))
-    pairs = pairs.select("path", "rep", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rows = pairs.join(payload, "rep").repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "rep").select(*names)
+    pairs = placed.withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
+    pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("n", "blocks", "other")
+    # a merge join at every size: what is estimated of the leaves says little, and they grow with the table
+    rows = pairs.hint("merge").join(payload, "rep")
+    rows = rows.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "rep").select(*names)
     shape = [(c.strip().split(" ")) for c in schema.split(",")]
 
     def run(batches):
@@ -224,11 +246,11 @@ def local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = best
 
 
-def compared(rows: list[dict], similarity: float) -> list[tuple]:
+def compared(rows: list[dict], similarity: float, size: int) -> list[tuple]:
     """(rep, links, root) from one leaf, or from two blocks of a leaf."""
     leaf, lo, hi = rows[0]["path"], rows[0]["lo"], rows[0]["hi"]
     ids = np.array([r["rep"] for r in rows], np.int64)
-    near = linked([np.frombuffer(r["tokens"], np.uint64) for r in rows], similarity)
+    near = linked(list(shingle_sets(pa.array(unpacked([r["packed"] for r in rows]), pa.large_string()), size)), similarity)
     if lo != hi:
         block = np.array([r["block"] for r in rows])
         near &= block[:, None] != block[None, :]
@@ -248,41 +270,41 @@ def compared(rows: list[dict], similarity: float) -> list[tuple]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b): alternating large-star and small-star until nothing moves."""
-    edges = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(60):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = keep(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.expr("xxhash64(a, b) % 1000003"))).first()
-        if now == before:
-            break
-        before = now
+    spark, before = edges.sparkSession, None
+    with tables() as made:
+        edges = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        while True:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a")
+            small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+            edges = keep(small, "edges")
+            drop(spark, made[:-1])
+            made[:-1] = []
+            now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first()
+            if now == before:
+                break
+            before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def classed(made: DataFrame, similarity: float, size: int, recall: float, depth: int, leaf: int, block: int) -> DataFrame:
+def classed(made: DataFrame, similarity: float, size: int, recall: float, depth: int | None, leaf: int, block: int) -> DataFrame:
     """rid, root, n_links and copies of every row of the sketches."""
+    spark = made.sparkSession
     groups = made.groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"), F.first("sample").alias("sample"))
     groups = keep(groups, "sets")
-    leaves = leaves_of(groups.select("rep", "sample"), runs_for(recall, similarity, depth), depth, leaf)
-    leaves = plausible(leaves, groups, similarity, block)
-    lists = leaves.groupBy("rep").agg(F.collect_set("path").alias("paths"))
-
-    def tokens(batches):
-        for b in batches:
-            sets = [s.tobytes() for s in shingle_sets(pa.array(unpacked(b.column(0).to_pylist()), pa.large_string()), size)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.binary())], ["rep", "copies", "paths", "tokens"])
-
-    wanted = lists.join(groups.select("rep", "copies"), "rep")
-    payload = made.select("packed", F.col("rid").alias("rep")).join(wanted, "rep").select("packed", "rep", "copies", "paths")
-    payload = payload.mapInArrow(tokens, "rep long, copies long, paths array<long>, tokens binary")
-    names = ["path", "lo", "hi", "block", "rep", "copies", "paths", "tokens"]
-    met = keep(by_blocks(leaves, payload, block, lambda rows: compared(rows, similarity), names, "rep long, links long, root long"), "links")
+    depth = depth_for(groups.count(), leaf) if depth is None else depth
+    with tables() as meanwhile:
+        leaves = leaves_of(groups.select("rep", "sample"), runs_for(recall, similarity, depth), depth, leaf)
+        leaves = plausible(leaves, groups, similarity, block)
+        lists = leaves.groupBy("rep").agg(F.collect_set("path").alias("paths"))  # a leaf of each run and branch at most
+        wanted = leaves.join(lists, "rep").join(groups.select("rep", "copies"), "rep")
+        payload = made.select("packed", F.col("rid").alias("rep"))
+        names = ["path", "lo", "hi", "block", "rep", "copies", "paths", "packed"]
+        met = keep(by_blocks(wanted, payload, block, lambda rows: compared(rows, similarity, size), names, "rep long, links long, root long"), "links")
+    drop(spark, meanwhile[:-1])
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     joined = groups.select("digest", "rep", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
@@ -292,27 +314,31 @@ def classed(made: DataFrame, similarity: float, size: int, recall: float, depth:
 
 def near_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE,
-    recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK,
+    recall: float = RECALL, depth: int | None = None, leaf: int = LEAF, block: int = BLOCK,
 ) -> DataFrame:
     """One row per input row: doc_id, class_id (the least id of its class), n_links (other rows that are similar
     enough) and n_copies (rows of the same set, itself included)."""
-    made = sketches(df, text_col, [id_col], size)
-    found = classed(made, similarity, size, recall, depth, leaf, block)
-    rows = keep(made.select(F.col("c0").alias("doc_id"), "rid").join(found, "rid"), "classed")
+    with tables() as meanwhile:
+        made = sketches(df, text_col, [id_col], size)
+        found = classed(made, similarity, size, recall, depth, leaf, block)
+        rows = keep(made.select(F.col("c0").alias("doc_id"), "rid").join(found, "rid"), "classed")
+    drop(df.sparkSession, meanwhile[:-1])
     classes = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.join(classes, "root").select("doc_id", "class_id", F.col("n_links").cast("long"), F.col("copies").alias("n_copies"))
 
 
 def near_deduplicated(
     df: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE,
-    recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK,
+    recall: float = RECALL, depth: int | None = None, leaf: int = LEAF, block: int = BLOCK,
 ) -> DataFrame:
     """One row of each class (the first by the table's order), with all columns of ``df``."""
     names = df.columns
     carry = [c for c in names if c != text_col]
     made = sketches(df, text_col, carry, size)
-    roots = classed(made, similarity, size, recall, depth, leaf, block).filter("rid <> root").select("rid")
-    lost = keep(roots, "lost")
+    with tables() as meanwhile:
+        roots = classed(made, similarity, size, recall, depth, leaf, block).filter("rid <> root").select("rid")
+        lost = keep(roots, "lost")
+    drop(df.sparkSession, meanwhile[:-1])
     stays = made.join(lost, "rid", "left_anti").select(*[f"c{i}" for i in range(len(carry))], "packed")
 
     def whole(batches):

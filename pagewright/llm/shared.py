@@ -75,3 +75,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         held.add(n.lower())
         out.append(n)
     return out
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name`` (source, place) that names each row for good.
+
+    A table as it was read is not written again: a row's file and place in it say which row it is. Any other
+    DataFrame is written to the shared folder with numbers, as numbers made anew could come out otherwise.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in {c.lower() for c in df.columns}:
+        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("source"), F.col("_metadata.row_index").alias("place")))
+    return keep(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("source"), F.monotonically_increasing_id().alias("place"))), "numbered")
