@@ -15,34 +15,28 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import string
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import keep
+from pagewright.llm.shared import drop, fresh, keep, numbered, tables
 
 #: Counters of a summary, and so the most digests that are ever broadcast.
 COUNTERS = 1024
 
 
 def digest(text: str | None) -> str:
-    """Hex SHA-256 of the text with A-Z lower-cased (bytes.lower touches ASCII only)."""
+    """What ``text_digests`` gives a text, for the driver: hex SHA-256 with A-Z lower-cased (bytes.lower touches ASCII only)."""
     return hashlib.sha256((text or "").encode("utf-8", "surrogatepass").lower()).hexdigest()
 
 
 def text_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256), one row per input row."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def hashed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([digest(t) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text_sha256"]
-            )
-
-    return rows.mapInArrow(hashed, f"doc_id {kind}, text_sha256 string")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return df.select(F.col(id_col).alias("doc_id"), F.sha2(lowered.cast("binary"), 256).alias("text_sha256"))
 
 
 def absorb(held: dict, counts: list[tuple], counters: int) -> dict:
@@ -100,7 +94,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
-    base = keep(df.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
-    rows = base.select(F.struct(F.col(id_col).alias("id"), "_rid").alias("_id"), F.col(text_col).alias("_text"))
-    lost = exact_dedup(rows, "_id", "_text", counters).filter(~F.col("kept")).select(F.col("doc_id._rid").alias("_rid"))
-    return base.join(lost, "_rid", "left_anti").drop("_rid")
+    (row,) = fresh(df, "row")
+    base = numbered(df, row)
+    rows = base.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("id"), F.col(text_col).alias("text"))
+    with tables() as meanwhile:
+        lost = keep(exact_dedup(rows, "id", "text", counters).filter(~F.col("kept")).select(F.col("doc_id.row").alias(row)), "lost")
+    drop(df.sparkSession, meanwhile[:-1])
+    return base.join(lost, row, "left_anti").drop(row)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by multinomial draws over fixed-length blocks.
 
 1. The words of each source, its documents in a fixed hashed order, are cut into blocks of
-   ``block_words``; a document's place is a prefix sum by (source, hashed bucket), so that no source is one
-   task's work.
+   ``block_words``; a document's place is a prefix sum in two levels of hashed buckets, so that no source is
+   one task's work.
 2. Targets follow the weights; none is above ``most_repeats`` times its source, the excess being shared
    out again by weight. A source's target is so many slots, passes over all of its blocks and then a part
    of a last pass, whose last block is cut so that the target is met to the word.
@@ -19,6 +19,7 @@ an empty result; further columns are ignored by ``mix`` and kept by ``mixed_docu
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -27,13 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import WORD, keep
+from pagewright.llm.shared import WORD, drop, fresh, keep, numbered, tables
 
 BLOCK_WORDS = 512
 SHARD_SLOTS = 4096
 MOST_REPEATS = 3
-#: The mixture itself, one row per source, is held by the driver up to this many sources.
-MOST_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST_REPEATS) -> list[float]:
@@ -132,11 +131,18 @@ def sized(df: DataFrame, id_col: str, source_col: str, text_col: str, row_col: s
 def placed(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     """rows with begin, the number of words of their source before them."""
     buckets = max(1, n // 2000)
+    high = max(1, math.isqrt(buckets))
     rows = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["name"])).drop("name", "source")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(buckets)))
-    sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("held"))
-    before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_no", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+
+    def before(df: DataFrame, within: list[str], by: str) -> DataFrame:
+        order = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("base", F.coalesce(F.sum("held").over(order), F.lit(0)))
+
+    sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("held")).withColumn("high", F.expr(f"bucket div {high}"))
+    upper = before(sums.groupBy("source_no", "high").agg(F.sum("held").alias("held")), ["source_no"], "high").withColumnRenamed("base", "first")
+    sums = before(sums, ["source_no", "high"], "bucket").join(upper.drop("held"), ["source_no", "high"])
+    sums = sums.select("source_no", "bucket", (F.col("first") + F.col("base")).alias("base"))
     within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "crc", "rid").rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(sums, ["source_no", "bucket"]).withColumn("begin", F.col("base") + F.sum("size").over(within) - F.col("size"))
 
@@ -164,8 +170,8 @@ def drawn_slots(spark, plan: Plan, shard_slots: int) -> DataFrame:
     over, under = np.maximum(got - plan.slots, 0), np.maximum(plan.slots - got, 0)
     over_base, under_upto = np.cumsum(over) - over, np.cumsum(under)
     extra = spark.sparkContext.broadcast((got, over_base, under_upto, under))
-    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = draws.withColumn("base", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
+    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard and source
+    based = draws.withColumn("base", F.coalesce(F.sum("drawn").over(before), F.lit(0))).repartition(tasks, "shard")
 
     def expand(batches):
         own, (had, over_base, under_upto, under) = spec.value, extra.value
@@ -183,35 +189,33 @@ def drawn_slots(spark, plan: Plan, shard_slots: int) -> DataFrame:
                 turn, block, words = own.block_of(source, nth)
                 yield pd.DataFrame({"shard": r.shard, "slot": slot, "source_no": source.astype(np.int32), "pass": turn, "block": block, "words": words})
 
-    return numbered.mapInPandas(expand, "shard long, slot long, source_no int, pass long, block long, words long")
+    return based.mapInPandas(expand, "shard long, slot long, source_no int, pass long, block long, words long")
 
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=(1, 2, 3),
     block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most_repeats: int = MOST_REPEATS, seed: int = 20_240_501, row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows has rid, doc_id, crc, size, source_size and target of each input row; spans has the
+    """(rows, spans), planned by the driver from one row for each source: rows has rid, doc_id, crc, size, source_size and target of each input row; spans has the
     words taken: rid, shard, slot, pass, from_word and n_words."""
     spark = df.sparkSession
     rows = sized(df, id_col, source_col, text_col, row_col)
-    held = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(held) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them before mixing")
+    held = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     held.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in held]
-    block = max(1, min(block_words, sum(sizes) // (64 * max(1, len(held)))))
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(held))], most_repeats)
-    plan = Plan([r.source for r in held], sizes, goal, block, seed)
+    plan = Plan([r.source for r in held], sizes, goal, block_words, seed)
     table = [(i, r.source, int(r["size"]), goal[i]) for i, r in enumerate(held)]
     sources = spark.createDataFrame(table, "source_no int, name string, source_size long, target double")
 
     rows = keep(placed(rows, sources, sum(r.n for r in held)), "placed").drop("base", "bucket")
     slots = drawn_slots(spark, plan, shard_slots)
-    some = rows.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
-    lo = F.greatest(F.col("begin"), F.col("block") * block)
-    pieces = some.select("source_no", "block", "rid", (lo - F.col("block") * block).alias("at"), (lo - F.col("begin")).alias("from_word"),
-                         (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - lo).alias("n"))
-    spans = pieces.join(slots, ["source_no", "block"]).select(
+    some = rows.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(begin div {block_words}, (begin + size - 1) div {block_words})")))
+    lo = F.greatest(F.col("begin"), F.col("block") * block_words)
+    pieces = some.select("source_no", "block", "rid", (lo - F.col("block") * block_words).alias("at"), (lo - F.col("begin")).alias("from_word"),
+                         (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block_words) - lo).alias("n"))
+    # slots are as many as blocks, which Spark cannot foresee: never a side to broadcast
+    spans = pieces.join(slots.hint("merge"), ["source_no", "block"]).select(
         "rid", "shard", "slot", "pass", "from_word", F.least("n", F.col("words") - F.col("at")).alias("n_words")
     )
     return rows, spans.filter("n_words > 0")
@@ -246,10 +250,14 @@ def mixed_documents(df: DataFrame, text_col: str = "text", length_col: str | Non
     Rows taken in several passes come that often, rows without words not at all; ``length_col`` is set to the new
     text's length, other columns are as they were.
     """
-    base = keep(df.withColumn("_rid", F.monotonically_increasing_id()), "unmixed")
-    _, spans = mix(base, text_col=text_col, row_col="_rid", **options)
-    taken = spans.groupBy("rid").agg(F.collect_list(F.struct("pass", "from_word", "n_words")).alias("_taken"))  # a few for each block of a text
-    rows = base.join(taken, F.col("_rid") == F.col("rid")).select(*df.columns, "_taken")
+    row, got = fresh(df, "row", "taken")
+    base = numbered(df, row)
+    with tables() as meanwhile:
+        _, spans = mix(base, text_col=text_col, row_col=row, **options)
+        taken = spans.groupBy("rid").agg(F.collect_list(F.struct("pass", "from_word", "n_words")).alias(got))  # a few for each block of a text
+        taken = keep(taken.withColumnRenamed("rid", row), "taken")
+    drop(df.sparkSession, meanwhile[:-1])
+    rows = base.join(taken, row).select(*[F.col(f"`{c}`") for c in df.columns], got)
     out = df.schema
 
     def cut(batches):
@@ -258,9 +266,9 @@ def mixed_documents(df: DataFrame, text_col: str = "text", length_col: str | Non
             index, made = [], []
             for i, held in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 for k in sorted({x["pass"] for x in held}):
-                    got = taken_texts(texts[i], joined_runs([(x["from_word"], x["n_words"]) for x in held if x["pass"] == k]))
-                    made += got
-                    index += [i] * len(got)
+                    own = taken_texts(texts[i], joined_runs([(x["from_word"], x["n_words"]) for x in held if x["pass"] == k]))
+                    made += own
+                    index += [i] * len(own)
             part = b.take(pa.array(index, pa.int64()))
             cols = {n: part.column(j) for j, n in enumerate(b.schema.names[:-1])}
             cols[text_col] = pa.array(made, pa.string())
