@@ -4,7 +4,8 @@ BPE vocabularies encode each piece of the pre-tokenizer alone, so the ids of a t
 pieces in turn, and a corpus has far fewer distinct pieces than pieces. A batch is cut at single
 spaces and dictionary-encoded by Arrow; each distinct word is pre-tokenized once a batch, and only
 pieces not met before are given to the library's model. Texts where a cut at a space could change the
-pieces (two white-space characters in a row) are pre-tokenized whole. The memory is bounded.
+pieces (two white-space characters in a row) are pre-tokenized whole, and texts that hold the string of a special
+token, which the library makes one id of, are left to the library. The memory is bounded.
 
 Two pre-tokenizers are known: the byte-level one with its usual pattern, and the lower-casing one that
 drops white space. For a file with any other pre-tokenizer every text goes to the library whole.
@@ -12,6 +13,7 @@ drops white space. For a file with any other pre-tokenizer every text goes to th
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -50,7 +52,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.special = "|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
         self.model = self.whole.model
         split = str(self.whole.pre_tokenizer)
         self.lowered = split.startswith("Sequence") and LOWERED in split.replace("\\\\", "\\")
@@ -149,19 +151,23 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.known:
-            found = [e.ids for e in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-        elif self.lowered:
-            return self._simple(texts)
+            found = self._library(texts.to_pylist())
         else:
-            odd = pc.match_substring_regex(texts, SPACES + "{2}").to_numpy(zero_copy_only=False)
+            matches = lambda pattern, **how: pc.match_substring_regex(texts, pattern, **how).to_numpy(zero_copy_only=False)
+            special = matches(self.special, ignore_case=True) if self.special else np.zeros(len(texts), bool)
+            odd = special if self.lowered else special | matches(SPACES + "{2}")
             if not odd.any():
                 return self._simple(texts)
             if not odd.all():
                 ids, offsets = self._simple(texts.filter(pa.array(~odd)))
                 simple = iter(np.split(ids, offsets[1:-1]))
-            found = [self._encode(t.as_py()) if o else next(simple) for t, o in zip(texts, odd, strict=True)]
+            given = zip(texts.to_pylist(), special, odd, strict=True)
+            found = [self._library([t])[0] if s else self._encode(t) if o else next(simple) for t, s, o in given]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
         return np.concatenate([np.asarray(x, np.uint32) for x in found]), offsets
 
