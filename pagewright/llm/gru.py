@@ -16,7 +16,7 @@ HEAD = 1024
 FORMS = 64
 HIDDEN = 24
 WINDOW = 16
-STREAMS = 32
+STREAMS = 256
 
 HEAD_CLASSES = HEAD // IN_CLASS
 CLASSES = HEAD_CLASSES + FORMS + 1
@@ -74,26 +74,40 @@ def _step(p: dict, symbols: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]
     return n + z * (h - n), z, r, n, un
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x) up to a factor for each row, and the log of each row's sum of exp(x)."""
+    top = x.max(1, keepdims=True) if len(x) and max(x.max(), -x.min()) > 80 else 0.0
+    e = np.exp(x - top)
+    return e, np.log(e @ np.ones(x.shape[1], x.dtype)) + np.ravel(top)
 
 
 def log_chances(p: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the chance of each target's class, and of its word where it is in the head."""
     cls = class_of(target)
-    out = _log_softmax(h @ p["to_class"] + p["class_bias"])[np.arange(len(h)), cls]
-    order = np.argsort(cls, kind="stable")
+    x = h @ p["to_class"] + p["class_bias"]
+    out = x[np.arange(len(h)), cls] - _exps(x)[1]
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     ends = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
     for k in range(HEAD_CLASSES):
         at = order[ends[k] : ends[k + 1]]
         if len(at):
-            out[at] += _log_softmax(h[at] @ p["to_word"][k] + p["word_bias"][k])[np.arange(len(at)), target[at] - k * IN_CLASS]
+            x = h[at] @ p["to_word"][k] + p["word_bias"][k]
+            out[at] += x[np.arange(len(at)), target[at] - k * IN_CLASS] - _exps(x)[1]
     return out
 
 
-def train(p: dict, sequences: list[np.ndarray], rate: float = 0.01) -> dict:
-    """One pass over the sequences of symbols (each a text's part)."""
+def _windows(source: np.ndarray, target: np.ndarray, streams: int):
+    """(source, target) of windows, steps by streams, and whether a new set of streams begins. The symbols that the
+    streams do not divide come last, as one stream."""
+    length = len(target) // streams
+    for width, begin, end in ((streams, 0, streams * length), (1, streams * length, len(target))):
+        own = [x[begin:end].reshape(width, -1).T for x in (source, target)]
+        for s in range(0, len(own[0]), WINDOW):
+            yield own[0][s : s + WINDOW], own[1][s : s + WINDOW], not s
+
+
+def train(p: dict, sequences: list[np.ndarray], rate: float = 0.04) -> dict:
+    """One pass over all sequences of symbols (each a text's part)."""
     if not sequences:
         return p
     target = np.concatenate(sequences)
@@ -101,77 +115,80 @@ def train(p: dict, sequences: list[np.ndarray], rate: float = 0.01) -> dict:
     source = np.concatenate([[START], target[:-1]])
     source[first] = START
     streams = max(1, min(STREAMS, len(target) // (4 * WINDOW)))
-    length = len(target) // streams
-    source, target = (x[: streams * length].reshape(streams, length).T for x in (source, target))
+    steps = sum(1 for _ in _windows(source, target, streams))
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    h = np.zeros((streams, HIDDEN), np.float32)
-    steps = -(-length // WINDOW)
-    for s in range(steps):
-        x, y = source[s * WINDOW : (s + 1) * WINDOW], target[s * WINDOW : (s + 1) * WINDOW]
+    for s, (x, y, begins) in enumerate(_windows(source, target, streams)):
+        if begins:
+            h = np.zeros((x.shape[1], HIDDEN), np.float32)
         g, h = _gradients(p, x, y, h)
         pace = rate * (1 - 0.9 * s / steps)
         one, two = 1 - 0.9 ** (s + 1), 1 - 0.99 ** (s + 1)
-        norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
+        norm = np.sqrt(sum(float(np.vdot(q, q)) for q in g.values()))
         for k, q in g.items():
-            q *= min(1.0, 1.0 / (norm + 1e-9))
+            q *= min(1.0, 1.0 / (norm + 1e-9)) * min(1.0, x.size / (WINDOW * WINDOW))  # the few last symbols move little
             m[k] += 0.1 * (q - m[k])
-            v[k] += 0.01 * (q * q - v[k])
-            p[k] -= pace * (m[k] / one) / (np.sqrt(v[k] / two) + 1e-6)
+            q *= q
+            v[k] += 0.01 * (q - v[k])
+            p[k] -= (pace / one) * m[k] / (np.sqrt(v[k] * (1 / two)) + 1e-6)
     return p
 
 
 def _gradients(p: dict, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     steps, streams = x.shape
-    kept, states = [], []
+    kind, two = p["state"].dtype, 2 * HIDDEN
+    before, z, r, n, un, state = np.empty((6, steps, streams, HIDDEN), kind)
+    fresh = (x != START).astype(kind)[:, :, None]
+    given = p["gates"][x]
     for t in range(steps):
-        fresh = (x[t] != START).astype(np.float32)[:, None]
-        before = h * fresh
-        h, z, r, n, un = _step(p, x[t], before)
-        kept.append((before, z, r, n, un, fresh))
-        states.append(h)
-    flat, target = np.concatenate(states), y.ravel()
+        np.multiply(h, fresh[t], out=before[t])
+        u = before[t] @ p["state"]
+        zr = _sigmoid(given[t, :, :two] + u[:, :two])
+        z[t], r[t], un[t] = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, two:]
+        np.tanh(given[t, :, two:] + r[t] * un[t], out=n[t])
+        h = state[t] = n[t] + z[t] * (before[t] - n[t])
+    flat, target = state.reshape(-1, HIDDEN), y.ravel()
     cls, rows, total = class_of(target), np.arange(len(target)), len(target)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    d = np.exp(_log_softmax(flat @ p["to_class"] + p["class_bias"]))
-    d[rows, cls] -= 1
-    d /= total
+    d, _ = _exps(flat @ p["to_class"] + p["class_bias"])
+    d /= (d @ np.ones(CLASSES, kind))[:, None] * total
+    d[rows, cls] -= 1 / total
     g["to_class"], g["class_bias"] = flat.T @ d, d.sum(0)
     d_flat = d @ p["to_class"].T
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     ends = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
     order = order[: ends[-1]]
     of_class = [(k, slice(ends[k], ends[k + 1])) for k in range(HEAD_CLASSES) if ends[k] < ends[k + 1]]
-    own, d = flat[order], np.empty((len(order), IN_CLASS), flat.dtype)
+    own, d = flat[order], np.empty((len(order), IN_CLASS), kind)
     for k, at in of_class:
-        d[at] = own[at] @ p["to_word"][k]
-    d = np.exp(_log_softmax(d + p["word_bias"][cls[order]])) if len(order) else d
-    d[np.arange(len(order)), target[order] - cls[order] * IN_CLASS] -= 1
-    d /= total
+        d[at] = own[at] @ p["to_word"][k] + p["word_bias"][k]
+    d = _exps(d)[0]
+    d /= (d @ np.ones(IN_CLASS, kind))[:, None] * total
+    d[np.arange(len(order)), target[order] - cls[order] * IN_CLASS] -= 1 / total
     back = np.empty_like(own)
     for k, at in of_class:
         g["to_word"][k], g["word_bias"][k] = own[at].T @ d[at], d[at].sum(0)
         back[at] = d[at] @ p["to_word"][k].T
     d_flat[order] += back
-    d_states, d_next, d_gates = d_flat.reshape(steps, streams, HIDDEN), 0.0, []
+    d_states, d_next = d_flat.reshape(steps, streams, HIDDEN), 0.0
+    to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), un * r * (1 - r)
+    du, d_gates = np.empty((steps, streams, 3 * HIDDEN), kind), np.empty((steps, streams, 3 * HIDDEN), kind)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, un, fresh = kept[t]
         dh = d_states[t] + d_next
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dn * r], 1)
-        d_gates.append(np.concatenate([dz, dr, dn], 1))
-        g["state"] += before.T @ du
-        d_next = (dh * z + du @ p["state"].T) * fresh
-    symbols, d_all = x[::-1].ravel(), np.concatenate(d_gates)
-    order = np.argsort(symbols, kind="stable")
+        dn = dh * to_n[t]
+        d_gates[t, :, :HIDDEN], d_gates[t, :, HIDDEN:two], d_gates[t, :, two:] = dh * to_z[t], dn * to_r[t], dn
+        du[t, :, :two] = d_gates[t, :, :two]
+        np.multiply(dn, r[t], out=du[t, :, two:])
+        d_next = (dh * z[t] + du[t] @ p["state"].T) * fresh[t]
+    g["state"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+    symbols = x.ravel()
+    order = np.argsort(symbols.astype(np.int16), kind="stable")
     own, begin = np.unique(symbols[order], return_index=True)
-    g["gates"][own] = np.add.reduceat(d_all[order], begin, axis=0)
+    g["gates"][own] = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], begin, axis=0)
     return g, h
 
 
-def score(p: dict, symbols: np.ndarray, offsets: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+def score(p: dict, symbols: np.ndarray, offsets: np.ndarray, at_once: int = 1 << 13) -> np.ndarray:
     """log_chances of all symbols of many texts; the state runs through each whole text.
 
     Texts go side by side, the longest first, so that those still running are always the first ones.

@@ -37,7 +37,7 @@ from pagewright.llm.shared import crc_of_id, keep
 #: Bytes of text of a portion.
 PORTION = 12_000_000
 #: Words of a shard of the training documents.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 #: Words of a text's part in training; scoring runs through whole texts.
 PART = 4096
 LOG10 = math.log(10)
@@ -210,7 +210,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     held = spark.sparkContext.broadcast(counts)
 
     portions_ = max(1, encoded.count())
-    spread = 4 * portions_
+    spread = 2 * portions_
     known = each.select("portion", "word").join(vocabulary, "word").select(F.col("portion").alias("of"), "word", "c", "symbol").repartition(spread, "of")
     texts = encoded.select("portion", "doc_ids", "held_out", "sizes", "codes", "words").repartition(spread, "portion")
 
