@@ -13,7 +13,7 @@ import numpy as np
 
 IN_CLASS = 32
 HEAD = 1024
-FORMS = 64
+FORMS = 32
 HIDDEN = 24
 WINDOW = 16
 STREAMS = 256

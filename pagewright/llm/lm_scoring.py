@@ -38,6 +38,8 @@ from pagewright.llm.shared import crc_of_id, keep
 PORTION = 12_000_000
 #: Words of a shard of the training documents.
 SHARD_TOKENS = 2_000_000
+#: Sums of parameters that the driver adds up.
+NODES = 8
 #: Words of a text's part in training; scoring runs through whole texts.
 PART = 4096
 LOG10 = math.log(10)
@@ -143,7 +145,7 @@ def fitted(coded: DataFrame, counts: Counts) -> dict:
             order = np.random.default_rng(int(key[0])).permutation(len(got))
             texts = [got[i].astype(np.int64) for i in order]
             p = gru.packed(gru.train(gru.unpacked(held.value), texts))
-            return pd.DataFrame({"node": [int(key[0]) % 32], "n": [sum(map(len, texts))], "params": [p.tobytes()]})
+            return pd.DataFrame({"node": [int(key[0]) % NODES], "n": [sum(map(len, texts))], "params": [p.tobytes()]})
 
         return rows.groupBy("shard").applyInPandas(fit, "node int, n long, params binary")
 
@@ -152,7 +154,7 @@ def fitted(coded: DataFrame, counts: Counts) -> dict:
             total = sum(np.frombuffer(x, np.float32) * np.float64(n) for x, n in zip(pdf["params"], pdf["n"], strict=True))
             return pd.DataFrame({"n": [int(pdf["n"].sum())], "params": [total.tobytes()]})
 
-        rows = keep(fits.groupBy("node").applyInPandas(add, "n long, params binary"), "averages").collect()  # 32 at most
+        rows = keep(fits.groupBy("node").applyInPandas(add, "n long, params binary"), "averages").collect()  # NODES at most
         n = sum(r.n for r in rows)
         return (sum(np.frombuffer(bytes(r.params)) for r in rows) / n).astype(np.float32) if n else gru.packed(start)
 
