@@ -6,8 +6,11 @@ longest common extension of two places is found by binary search over hashes.
 
 A fingerprint is eight hexadecimal digits of the text's length and sixteen of two whole-text hashes, then the
 minima, in ``SLOTS`` hashed classes, of the hashes of all spans of ``SPAN`` code points (of the whole text
-where it is shorter), four digits each. Equal texts have equal fingerprints; the share of slots that agree
-estimates how many spans two texts have in common (Jaccard).
+where it is shorter), four digits each. Equal texts have equal fingerprints.
+
+Slots of the same class that agree in two fingerprints anchor a place of one text to a place of the other; so do the
+two beginnings, and the two ends. Every anchor is extended to both sides as far as the texts are equal, found by
+binary search over prefix hashes; likeness is the share of both texts' code points that these extensions cover.
 
 An edited text needs the beginning of the next document, by ascending id. Documents are put into ranges of ids
 whose bounds come from a mergeable quantile sketch; the first document of a range is also given to the
@@ -34,8 +37,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1_000_003, 998_244_353)
 SPAN = 12
 SLOTS = 64
-#: Code points that are hashed at once; a longer text is hashed whole.
-AT_ONCE = 1_500_000
+#: Code points of texts that are worked on at once, with as many of edited texts; a longer text is worked on whole.
+AT_ONCE = 750_000
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -77,64 +80,107 @@ class Prefixes:
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
+    def common_before(self, i, j, most) -> np.ndarray:
+        """The same to the left: how many code points before i and j are equal."""
+        low, high = np.zeros(np.shape(i), np.int64), np.array(most, np.int64)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = self.equal(np.subtract(i, mid), np.subtract(j, mid), mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def fingerprint_rows(points: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
-    """(head, slots) of each text: the head's 12 bytes, and SLOTS unsigned 16-bit minima."""
-    out: list[tuple[bytes, np.ndarray]] = []
-    begin = 0
-    while begin < len(points):
-        end, size = begin, 0
-        while end < len(points) and (end == begin or size + len(points[end]) <= AT_ONCE):
-            size += len(points[end])
-            end += 1
-        out += _fingerprints(points[begin:end])
-        begin = end
-    return out
-
-
-def _fingerprints(points: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
-    sizes = np.array([len(x) for x in points], np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    flat = np.concatenate(points)
-    one, two = Prefixes(flat, 0), Prefixes(flat, 1)
-    whole = one.span(starts, ends), two.span(starts, ends)
-    spans = np.maximum(sizes - SPAN + 1, np.minimum(sizes, 1))
-    text = np.repeat(np.arange(len(points)), spans)
-    at = np.repeat(starts - (np.cumsum(spans) - spans), spans) + np.arange(len(text))
-    h = one.span(at, np.minimum(at + SPAN, ends[text]))
-    # undo the place: divide by base ** n, the power that span() moved everything to
-    p = one.p
-    h = h * np.uint64(pow(pow(BASES[0], one.n, PRIMES[0]), -1, PRIMES[0])) % p
-    heads = [w * np.uint64(pow(pow(BASES[k], one.n, PRIMES[k]), -1, PRIMES[k])) % np.uint64(PRIMES[k]) for k, w in enumerate(whole)]
-    h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (h << np.uint64(21))
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    slot = (h >> np.uint64(58)).astype(np.int64)
-    value = ((h >> np.uint64(10)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    best = np.full(len(points) * SLOTS, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(best, text * SLOTS + slot, value)
-    best = best.reshape(len(points), SLOTS)
-    low = np.where(best == 0xFFFFFFFF, 0xFFFF, ((best * np.uint32(0x9E3779B1)) >> np.uint32(16)) % 0xFFFF).astype(np.uint16)
-    return [
-        (int(n).to_bytes(4, "big") + int(a).to_bytes(4, "big") + int(b).to_bytes(4, "big"), row)
-        for n, a, b, row in zip(sizes.tolist(), heads[0].tolist(), heads[1].tolist(), low, strict=True)
-    ]
-
-
-def as_text(row: tuple[bytes, np.ndarray]) -> str:
-    return row[0].hex() + row[1].astype(">u2").tobytes().hex()
-
-
-def likeness(a: tuple[bytes, np.ndarray], b: tuple[bytes, np.ndarray]) -> float:
-    """1 for equal fingerprints; else the share of slots, of those that either uses, that agree."""
-    if a[0] == b[0]:
-        return 1.0
-    used = (a[1] != 0xFFFF) | (b[1] != 0xFFFF)
-    return float(((a[1] == b[1]) & used).sum() / used.sum()) if used.any() else 1.0
+class Marks:
+    """Of texts laid end to end: their prefix hashes, heads (length and two hashes), slots, and where slots lie."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in texts], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        flat = np.concatenate(texts) if texts else np.empty(0, np.uint32)
+        self.prefixes, two = Prefixes(flat, 0), Prefixes(flat, 1)
+        whole = [p.span(self.starts, self.ends) * np.uint64(self._undo(p, k)) % p.p for k, p in enumerate((self.prefixes, two))]
+        self.heads = np.stack([self.sizes.astype(np.uint64), *whole], 1).astype(">u4")
+        self.slots, self.places = self._minima(len(texts))
+
+    @staticmethod
+    def _undo(p: Prefixes, k: int) -> int:
+        """Takes span()'s common power away: hashes then are the same wherever the text lies."""
+        return pow(pow(BASES[k], p.n, PRIMES[k]), -1, PRIMES[k])
+
+    def _minima(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        spans = np.maximum(self.sizes - SPAN + 1, np.minimum(self.sizes, 1))
+        text = np.repeat(np.arange(n), spans)
+        at = np.repeat(self.starts - (np.cumsum(spans) - spans), spans) + np.arange(len(text))
+        p = self.prefixes
+        h = p.span(at, np.minimum(at + SPAN, self.ends[text])) * np.uint64(self._undo(p, 0)) % p.p
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (h << np.uint64(21))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        slot = (h >> np.uint64(58)).astype(np.int64)
+        value = ((h >> np.uint64(10)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        best = np.full(n * SLOTS, 0xFFFFFFFF, np.uint32)
+        cell = text * SLOTS + slot
+        np.minimum.at(best, cell, value)
+        first = np.full(n * SLOTS, -1, np.int64)
+        held = np.flatnonzero(value == best[cell])[::-1]  # the first place of a minimum is written last
+        first[cell[held]] = at[held]
+        low = np.where(best == 0xFFFFFFFF, 0xFFFF, ((best * np.uint32(0x9E3779B1)) >> np.uint32(16)) % 0xFFFF).astype(np.uint16)
+        return low.reshape(n, SLOTS), first.reshape(n, SLOTS)
+
+    def as_text(self, i: int) -> str:
+        return self.heads[i].tobytes().hex() + self.slots[i].astype(">u2").tobytes().hex()
+
+
+def anchors(marks: Marks, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, place, place) where texts a[i] and b[i] may be equal: agreeing slots, beginnings, and ends."""
+    pair, slot = np.nonzero((marks.slots[a] == marks.slots[b]) & (marks.places[a] >= 0) & (marks.places[b] >= 0))
+    every = np.arange(len(a))
+    return (
+        np.concatenate([pair, every, every]),
+        np.concatenate([marks.places[a[pair], slot], marks.starts[a], marks.ends[a]]),
+        np.concatenate([marks.places[b[pair], slot], marks.starts[b], marks.ends[b]]),
+    )
+
+
+def covered(n: int, pair: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each of n pairs the size of the union of its spans."""
+    order = np.lexsort((begin, pair))
+    pair, begin, end = pair[order], begin[order], end[order]
+    shift = (pair * (end.max(initial=0) + 1)).astype(np.int64)  # each pair's spans in a stretch of their own
+    reach = np.maximum.accumulate(np.concatenate([[0], end + shift]))[:-1]
+    return np.bincount(pair, np.maximum(0, end + shift - np.maximum(begin + shift, reach)), n)
+
+
+def likeness(marks: Marks, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of the code points of texts a[i] and b[i] that the extensions of their anchors cover; 1 for equal texts."""
+    pair, i, j = anchors(marks, a, b)
+    # anchors at the same distance that lie within one extension give it again: one extension for a run of them
+    order = np.lexsort((i, j - i, pair))
+    pair, i, j = pair[order], i[order], j[order]
+    left, right = np.empty(len(pair), np.int64), np.empty(len(pair), np.int64)
+    waiting = np.arange(len(pair))
+    spans = []
+    while len(waiting):
+        own, gap = pair[waiting], (j - i)[waiting]
+        first = np.ones(len(waiting), bool)
+        first[1:] = (own[1:] != own[:-1]) | (gap[1:] != gap[:-1])
+        now = waiting[first]
+        p, x, y = pair[now], i[now], j[now]
+        right[now] = marks.prefixes.common(x, y, np.minimum(marks.ends[a[p]] - x, marks.ends[b[p]] - y))
+        left[now] = marks.prefixes.common_before(x, y, np.minimum(x - marks.starts[a[p]], y - marks.starts[b[p]]))
+        spans.append(now)
+        reach = (i[now] + right[now])[np.cumsum(first) - 1]
+        waiting = waiting[~first & (i[waiting] > reach)]
+    done = np.concatenate(spans) if spans else np.empty(0, np.int64)
+    p, x, y, back, on = pair[done], i[done], j[done], left[done], right[done]
+    both = covered(len(a), p, x - back, x + on) + covered(len(a), p, y - back, y + on)
+    total = marks.sizes[a] + marks.sizes[b]
+    same = (marks.heads[a] == marks.heads[b]).all(1)
+    return np.where(same, 1.0, both / np.maximum(total, 1))
 
 
 def _bounds(ids: DataFrame, ranges: int) -> list[int]:
@@ -207,13 +253,13 @@ def _edited(rows: list[tuple], tail: str | None) -> pa.RecordBatch:
         k = len(points[i]) // 4
         edited.append(np.concatenate([points[i][: len(points[i]) - k], points[i + 1][:k]]))
         sha.append(hashlib.sha256(edited_text(texts[i], texts[i + 1]).encode("utf-8", "surrogatepass")).hexdigest())
-    own, other = fingerprint_rows(points), fingerprint_rows(edited)
+    marks = Marks([*points, *edited])
+    at = np.arange(n)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([d for d, _ in rows[:n]], pa.int64()), pa.array([len(p) for p in points[:n]], pa.int64()), pa.array(sha, pa.string()),
-            pa.array([as_text(x) for x in own[:n]], pa.string()), pa.array([as_text(x) for x in other], pa.string()),
-            pa.array([likeness(a, b) for a, b in zip(own[:n], other, strict=True)], pa.float64()),
-            pa.array([likeness(own[i], own[i + 1]) for i in range(n)], pa.float64()),
+            pa.array([marks.as_text(i) for i in range(n)], pa.string()), pa.array([marks.as_text(n + 1 + i) for i in range(n)], pa.string()),
+            pa.array(likeness(marks, at, n + 1 + at), pa.float64()), pa.array(likeness(marks, at, at + 1), pa.float64()),
         ],
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )

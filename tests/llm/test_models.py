@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pagewright.llm import gru, toxicity
-from pagewright.llm.fingerprints import Prefixes, code_points, edited_fingerprints, edited_text
+from pagewright.llm.fingerprints import Marks, Prefixes, anchors, code_points, edited_fingerprints, edited_text, likeness
 from pagewright.llm.hashes import Words, text_hash
 from pagewright.llm.language_id import language_id
 from pagewright.llm.lm_scoring import lm_scores
@@ -120,6 +120,41 @@ def test_edited_fingerprints(odd, none):
     assert edited_fingerprints(none).count() == 0
 
 
+def likeness_by_hand(a, b, shared):
+    """The same share with every anchor extended letter by letter; ``shared``: anchors by slots."""
+    if a == b:
+        return 1.0
+    seen_a, seen_b = set(), set()
+    for i, j in [*shared, (0, 0), (len(a), len(b))]:
+        x, y = i, j
+        while x < len(a) and y < len(b) and a[x] == b[y]:
+            x, y = x + 1, y + 1
+        while i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        seen_a |= set(range(i, x))
+        seen_b |= set(range(j, y))
+    return (len(seen_a) + len(seen_b)) / max(1, len(a) + len(b))
+
+
+def test_likeness_against_letters(small):
+    import random
+
+    rng = random.Random(3)
+    texts = ["", "a", "abc", "hello world, hello world", "x" * 50] + [r.text or "" for r in small.limit(25).collect()]
+    for t in texts[4:20]:
+        at = rng.randrange(len(t) + 1)
+        texts += [t[:at] + "NEW" + t[at:], t[at:] + t[:at], t.replace(" ", "  ", 3)]
+    marks = Marks([code_points(t) for t in texts])
+    pairs = [(i, rng.randrange(len(texts))) for i in range(len(texts))] + [(i % 25, 30 + i) for i in range(len(texts) - 30)]
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    got, (pair, i, j) = likeness(marks, a, b), anchors(marks, a, b)
+    for k, (x, y) in enumerate(pairs):
+        shared = [(i[q] - marks.starts[x], j[q] - marks.starts[y]) for q in np.flatnonzero(pair == k)]
+        shared = [(u, v) for u, v in shared if texts[x][u : u + 12] == texts[y][v : v + 12]]
+        assert got[k] == pytest.approx(likeness_by_hand(texts[x], texts[y], shared), abs=1e-9), (texts[x][:40], texts[y][:40])
+    assert ((got >= 0) & (got <= 1)).all()
+
+
 def test_every_training_text_reaches_the_network(small, monkeypatch):
     from pagewright.llm import lm_scoring
 
