@@ -2,8 +2,8 @@
 
 1. A size-weighted sample of (key, salt) pairs, drawn by a hash so that reruns agree, gives quantile
    boundaries; the sample's size follows the number of ranges, not the rows.
-2. Rows are range-partitioned at those boundaries. Ranges that come out overfull are sampled again
-   and subdivided; the salt subdivides even a single key that many rows share.
+2. Rows are range-partitioned at those boundaries. Ranges that come out overfull are sampled again and
+   subdivided until none is; the salt subdivides even a single key that many rows share.
 3. With the exact bytes of every range known, a running sum within each range places every row at
    its exact byte position; the shard is that position's share of the total. A range that crosses a
    shard's edge is cut there.
@@ -15,14 +15,13 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.shared import keep
+from pagewright.llm.shared import drop, keep, tables
 
 OVERHEAD = 16
 
@@ -35,20 +34,28 @@ def sized_rows(df: DataFrame, key: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def _sample(rows: DataFrame, rate: float) -> list[tuple]:
+def _sample(rows: DataFrame, rate: float, turn: int = 0) -> list[tuple]:
     """Size-weighted draw: a row stays with chance size * rate, decided by its hash."""
-    chance = F.shiftrightunsigned(F.xxhash64("okey", "salt", F.lit("splitters")), 11) / F.lit(float(1 << 53))
+    chance = F.shiftrightunsigned(F.xxhash64("okey", "salt", F.lit(turn)), 11) / F.lit(float(1 << 53))
     return sorted({(r.okey, r.salt) for r in rows.filter(chance < F.col("size") * F.lit(rate)).select("okey", "salt").collect()})
 
 
 def _ranged(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
     """range: how many cuts are at or below the row's (key, salt)."""
-    held = rows.sparkSession.sparkContext.broadcast(cuts)
+    keys, salts = np.array([k for k, _ in cuts] or [], object), np.array([s for _, s in cuts], np.int64)
+    keys = keys.astype(np.int64) if all(isinstance(k, int) for k in keys) else keys
+    held = rows.sparkSession.sparkContext.broadcast((keys, salts))
 
     @F.pandas_udf("int")
     def place(okey: pd.Series, salt: pd.Series) -> pd.Series:
-        at = held.value
-        return pd.Series([bisect.bisect_right(at, pair) for pair in zip(okey.tolist(), salt.tolist(), strict=True)], dtype="int32")
+        keys, salts = held.value
+        own, salt = okey.to_numpy(keys.dtype), salt.to_numpy()
+        low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        at = low.copy()
+        for k in np.unique(low[high > low]).tolist():  # keys that are cut: the salt decides
+            here = np.flatnonzero((low == k) & (high > k))
+            at[here] = k + np.searchsorted(salts[k : high[here[0]]], salt[here], "right")
+        return pd.Series(at.astype("int32"))
 
     return rows.withColumn("range", place("okey", "salt"))
 
@@ -67,14 +74,21 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, key: str = "doc_id", text_co
     ranges = max(4 * shards, -(-n // range_rows))
     drawn = _sample(rows, ranges * per_range / max(total, 1))
     cuts = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
-    for _ in range(4):  # subdivide what came out overfull
-        ranged = keep(_ranged(rows, cuts), "ranged")
-        loads = {r["range"]: (r.b, r.n) for r in ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-        over = [r for r, (b, k) in loads.items() if b > 4 * total / ranges and k > 1000]
-        if not over:
-            break
-        more = _sample(ranged.filter(F.col("range").isin(over)), ranges * per_range / max(total, 1))
-        cuts = sorted({*cuts, *more[:: max(1, per_range // 2)]})
+    rate, turn = ranges * per_range / max(total, 1), 0
+    with tables() as made:
+        while True:  # subdivide what came out overfull, whatever its largest row holds
+            ranged = keep(_ranged(rows, cuts), "ranged")
+            drop(spark, made[:-1])
+            per = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("size").alias("most")).collect()
+            loads = {r["range"]: (r.b, r.n) for r in per}
+            over = [r["range"] for r in per if r.b - r.most > 4 * total / ranges]
+            if not over:
+                break
+            turn += 1
+            more = {*cuts, *_sample(ranged.filter(F.col("range").isin(over)), rate, turn)[:: max(1, per_range // 2)]}
+            if len(more) == len(cuts):  # nothing new was drawn
+                rate *= 2
+            cuts = sorted(more)
     bases, at_b, at_n = [], 0, 0
     for r in sorted(loads):
         bases.append((r, at_b, at_n))

@@ -17,7 +17,8 @@ twice, leaves one whole file. Files lie in the shared folder; they are reached t
 file systems, so that folder may be local to all executors or in a store.
 
 Defined results: a null text is empty and so consists of the end id alone; null ids come first; repeated
-ids and texts are documents of their own, ordered by text; an empty table gives an empty result.
+ids and texts are documents of their own, in the order of a hash of their texts; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pagewright.llm.shared import keep, scratch
 from pagewright.llm.tokens import encoder
@@ -38,6 +40,8 @@ from pagewright.llm.tokens import encoder
 MAGIC = 0x50474C4546303031
 HEADER = struct.Struct("<5Qq")
 SELECT_EVERY = 256
+#: Bytes of text of a file.
+FILE_BYTES = 32_000_000
 
 
 def _packed(values: np.ndarray, bits: int) -> bytes:
@@ -133,15 +137,25 @@ class TokenFile:
         return None if i < self.nulls else int(self.keys[i - self.nulls])
 
 
+def largest_id(vocabulary: str) -> int:
+    return max(Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 def write_token_files(
     df: DataFrame, vocabulary: str, folder: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text",
-    largest_id: int = 50_256, files: int | None = None,
+    file_bytes: int = FILE_BYTES, files: int | None = None,
 ) -> DataFrame:
-    """Write the files; returns one row per file: part, path, documents, tokens, base (ids in files before it)."""
-    spark = df.sparkSession
+    """Write the files, ``files`` of them or one for each ``file_bytes`` of text.
+
+    Returns one row per file: part, path, documents, tokens, base (ids in files before it).
+    """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = (rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")).sortWithinPartitions("doc_id", "text")
-    wide = 2 if largest_id < 1 << 16 else 4
+    if files is None:
+        files = max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
+    # the hash and the draw cut ranges within an id that many rows share
+    keyed = rows.withColumns({"mark": F.xxhash64("text"), "draw": F.rand(5)})
+    ordered = keyed.repartitionByRange(files, "doc_id", "mark", "draw").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
+    wide = 2 if max(largest_id(vocabulary), end_id or 0) < 1 << 16 else 4
 
     def write(batches):
         task = TaskContext.get()
