@@ -18,6 +18,16 @@ def content_hash(title: Column, author: Column, unicode: bool = True) -> Column:
     return F.sha2(F.concat(parts[0], F.lit("\x1f"), parts[1]), 256)
 
 
+#: The full-width forms of ASCII and the wide space, and what they fold to.
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
+def title_hash(c: Column, unicode: bool = True) -> Column:
+    """Hex SHA-256 of a title with full-width letters folded, single spaces, lower case."""
+    return F.sha2(normalised(F.translate(c, FULL_WIDTH, HALF_WIDTH), unicode), 256)
+
+
 def valid_asin(c: Column) -> Column:
     """Trimmed, in upper case; kept even where it is malformed, null where it is blank."""
     return F.nullif(F.upper(F.trim(c)), F.lit(""))

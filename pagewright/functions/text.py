@@ -1,18 +1,17 @@
 """Text columns: normal forms, similarities, markup cleaning, titles, languages, paths.
 
-Everything is a native column expression but ``normal_form``, ``longest_common`` and ``strip_ruby``, for which Spark has
-no expression; these are Arrow-batched.
+Everything is a native column expression but ``normal_form`` and ``longest_common``, for which Spark has no
+expression; these are Arrow-batched.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType
 
 #: Exact normalised titles of front and back matter.
 FRONT_MATTER = (
@@ -28,11 +27,38 @@ TITLE_KEYWORDS = (
     "chapter", "track", "part", "глава", "часть", "трек", "kapitel", "teil", "spur", "capítulo", "capitulo", "parte", "pista", "chapitre",
     "partie", "piste", "トラック", "パート",
 )
-#: Three-letter codes and the two letters they fold to.
+#: Codes with an equivalent of two letters.
 LANGUAGE_FOLD = {
-    "eng": "en", "jpn": "ja", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "rus": "ru",
-    "zho": "zh", "chi": "zh", "kor": "ko", "nld": "nl", "dut": "nl", "pol": "pl", "swe": "sv", "dan": "da", "nor": "no", "fin": "fi",
+    "ja": "ja", "jpn": "ja", "jap": "ja", "en": "en", "eng": "en", "zh": "zh", "chi": "zh", "zho": "zh", "fr": "fr", "fra": "fr", "fre": "fr",
+    "de": "de", "ger": "de", "deu": "de", "es": "es", "spa": "es", "it": "it", "ita": "it", "pt": "pt", "por": "pt", "ru": "ru", "rus": "ru",
+    "ko": "ko", "kor": "ko",
 }
+#: Other codes of two letters that stay.
+LANGUAGES_KEPT = (
+    "aa", "ab", "af", "ak", "ar", "as", "az", "be", "bg", "bn", "bo", "bs", "ca", "cs", "cy", "da", "el", "et", "fa", "fi", "ga", "gl", "gu", "he",
+    "hi", "hr", "hu", "hy", "id", "is", "ka", "kk", "km", "kn", "ky", "la", "lo", "lt", "lv", "mk", "ml", "mn", "mr", "ms", "my", "ne", "nl", "no",
+    "pa", "pl", "ro", "si", "sk", "sl", "so", "sq", "sr", "sv", "sw", "ta", "te", "th", "tl", "tr", "uk", "ur", "uz", "vi", "yi", "zu",
+)
+#: Three-letter codes that a transcription service's hint may stand for.
+HINT_ALIASES = {"eng": "en", "jpn": "ja", "rus": "ru", "spa": "es", "deu": "de"}
+#: The two-letter codes of ISO 639-1.
+ISO_639_1 = (
+    "aa", "ab", "ae", "af", "ak", "am", "an", "ar", "as", "av", "ay", "az", "ba", "be", "bg", "bh", "bi", "bm", "bn", "bo", "br", "bs", "ca", "ce",
+    "ch", "co", "cr", "cs", "cu", "cv", "cy", "da", "de", "dv", "dz", "ee", "el", "en", "eo", "es", "et", "eu", "fa", "ff", "fi", "fj", "fo", "fr",
+    "fy", "ga", "gd", "gl", "gn", "gu", "gv", "ha", "he", "hi", "ho", "hr", "ht", "hu", "hy", "hz", "ia", "id", "ie", "ig", "ii", "ik", "io", "is",
+    "it", "iu", "ja", "jv", "ka", "kg", "ki", "kj", "kk", "kl", "km", "kn", "ko", "kr", "ks", "ku", "kv", "kw", "ky", "la", "lb", "lg", "li", "ln",
+    "lo", "lt", "lu", "lv", "mg", "mh", "mi", "mk", "ml", "mn", "mr", "ms", "mt", "my", "na", "nb", "nd", "ne", "ng", "nl", "nn", "no", "nr", "nv",
+    "ny", "oc", "oj", "om", "or", "os", "pa", "pi", "pl", "ps", "pt", "qu", "rm", "rn", "ro", "ru", "rw", "sa", "sc", "sd", "se", "sg", "si", "sk",
+    "sl", "sm", "sn", "so", "sq", "sr", "ss", "st", "su", "sv", "sw", "ta", "te", "tg", "th", "ti", "tk", "tl", "tn", "to", "tr", "ts", "tt", "tw",
+    "ty", "ug", "uk", "ur", "uz", "ve", "vi", "vo", "wa", "wo", "xh", "yi", "yo", "za", "zh", "zu",
+)
+#: Code points that show nothing, as ranges of a regular expression.
+IGNORABLE = (
+    r"\p{Cc}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}"
+    r"\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF0}-\x{FFF8}\x{E0000}-\x{E0FFF}"
+)
+#: The stages of a project, in order.
+STAGES = ("new", "parsed", "mapped", "transcoded", "uploaded", "done")
 
 
 def normal_form(form: str):
@@ -128,15 +154,23 @@ def is_generic_title(c: Column) -> Column:
     return c.rlike(rf"^\s*(?:(?:{words})\s*\p{{N}}+|第?\p{{N}}+[章話巻部]+)\s*$")
 
 
+def trimmed(c: Column) -> Column:
+    """No white space of any kind at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
 def clean_body(html: Column) -> Column:
-    """Markup to text: heads, styles and scripts go, tags go, six entities are decoded, blank lines collapse."""
-    text = F.regexp_replace(html, r"(?is)<(?:style|script|head)(?:\s[^>]*)?/>", "")
-    text = F.regexp_replace(text, r"(?is)<(style|script|head)(?=[>/\s]).*?(</\1[^>]*>|$)", "")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Markup to text: ruby readings, heads, styles and scripts go, tags go, six entities are decoded.
+
+    Lines are trimmed, and a run of blank lines is one. A ``<`` that no ``>`` follows stays; an element that is never
+    closed goes to the end.
+    """
+    element = r"(style|script|head)(?=[>/ \t\r\n])(?:[^>]*/>|.*?(?:</\1[^>]*(?:>|\z)|\z))"
+    text = F.regexp_replace(strip_ruby(html), rf"(?is)<(?:{element}|[^>]*>)", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#x3000;", "\u3000"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(lines, "\n")
+    text = F.regexp_replace(text, r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n")
+    return trimmed(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def heading(html: Column) -> Column:
@@ -157,11 +191,52 @@ def matter_kind(title: Column) -> Column:
 
 
 def fold_language(c: Column) -> Column:
-    """Two-letter code of a language tag: three letters by table, other two-letter tags kept, else xx; null stays."""
-    tag = F.lower(F.split_part(F.split_part(F.trim(c), F.lit("-"), F.lit(1)), F.lit("_"), F.lit(1)))
+    """Two-letter code of a language tag: its first part by table, else its first two letters if they are a code
+    that stays, else xx; an empty text for a shorter part, null for null."""
+    tag = F.element_at(F.split(F.lower(trimmed(c)), "[-_]"), 1)
     table = F.create_map(*[F.lit(x) for kv in LANGUAGE_FOLD.items() for x in kv])
-    known = sorted(set(LANGUAGE_FOLD.values()))
-    return F.when(c.isNull(), None).otherwise(F.coalesce(table[tag], F.when(tag.isin(*known), tag), F.lit("xx")))
+    two = F.left(tag, F.lit(2))
+    short = F.when(c.isNull(), None).when(F.octet_length(tag) < 2, "").when(two.isin(*LANGUAGES_KEPT), two).otherwise("xx")
+    return F.coalesce(table[tag], short)
+
+
+def provider_hint(c: Column, supported: tuple[str, ...] = ()) -> Column:
+    """The two-letter code that a transcription service is given, null where none is safe (or ``supported``)."""
+    aliases = F.create_map(*[F.lit(x) for kv in HINT_ALIASES.items() for x in kv])
+    code = F.coalesce(aliases[c], c)
+    known = code.isin(*ISO_639_1)
+    return F.when(known & code.isin(*supported) if supported else known, code)
+
+
+def shown_title(c: Column, unicode: bool = True) -> Column:
+    """Compatibility forms folded, lower case, what shows nothing dropped (line breaks too), single spaces."""
+    c = F.lower(normal_form("NFKC")(c) if unicode else c)
+    return collapsed(F.regexp_replace(c, f"[{IGNORABLE}]", ""))
+
+
+def audio_title(path: Column, place: Column) -> Column:
+    """The file's stem, else its place from 1."""
+    return F.coalesce(F.nullif(stem(path), F.lit("")), F.format_string("Track %d", place + 1))
+
+
+def stage_step(now: Column, wanted: Column) -> Column:
+    """The stage after a step: forward or the same; null where it would go back or is unknown."""
+    order = F.array(*[F.lit(x) for x in STAGES])
+    a, b = F.array_position(order, now), F.array_position(order, wanted)
+    return F.when((a > 0) & (b >= a), wanted)
+
+
+def next_stage(now: Column) -> Column:
+    """The stage that follows; null after the last."""
+    order = F.array(*[F.lit(x) for x in STAGES])
+    place = F.array_position(order, now)
+    return F.when(place > 0, F.get(order, place))
+
+
+def signal_label(name: str, n: Column) -> Column:
+    """A count in six bins, so that labels hardly change."""
+    bins = F.when(n >= 12, "12+").when(n >= 6, "6+").when(n >= 3, "3+").otherwise(n.cast("string"))
+    return F.concat(F.lit(f"{name}_x"), bins)
 
 
 def safe_segment(c: Column) -> Column:
@@ -202,16 +277,12 @@ def extension(c: Column) -> Column:
 _CJK = r"[぀-ヿ㐀-鿿豈-﫿]"
 
 
-def without_ruby(html: str) -> str:
+def strip_ruby(html: Column) -> Column:
     """Readings (rt, rp and what they hold) go, ruby and rb tags are unwrapped, gaps between CJK characters close."""
-    text = re.sub(r"(?is)<r[tp](?:\s[^>]*)?>.*?(?:</r[tp]\s*>|(?=<r[tpb]|</ruby))", "", html)
-    text = re.sub(r"(?is)</?(?:ruby|rb|rtc)(?:\s[^>]*)?>", "", text)
-    return re.sub(rf"(?<={_CJK})[ \t\r\n]+(?={_CJK})", "", text)
-
-
-@F.pandas_udf(StringType())
-def strip_ruby(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: None if x is None else without_ruby(x) if "<" in x else x)
+    text = F.regexp_replace(html, r"(?is)<r[tp](?:\s[^>]*)?>.*?(?:</r[tp]\s*>|(?=<r[tpb]|</ruby))", "")
+    text = F.regexp_replace(text, r"(?is)</?(?:ruby|rb|rtc)(?:\s[^>]*)?>", "")
+    text = F.regexp_replace(text, rf"(?<={_CJK})[ \t\r\n]+(?={_CJK})", "")
+    return F.when(F.contains(html, F.lit("<")), text).otherwise(html)
 
 
 def natural_key(c: Column) -> Column:

@@ -47,22 +47,27 @@ def j14_collection_search(spark, sf):
     return rows.filter("source <> 'src0'").join(first, "title_hash").select("doc_id", "found")
 
 
-_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script(>|[\s/][^>]*>).*?</script[^>]*>', '', 'g'), '(?is)<style(>|[\s/][^>]*>).*?</style[^>]*>', '', 'g'),
-    '(?is)<head(>|[\s/][^>]*>).*?</head[^>]*>', '', 'g'), '<[^>]*>', '', 'g')"""
-_DECODE = "replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
-_LINES = "array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))"
-_BODY = _LINES.format(_DECODE.format(_CLEAN.format("{0}")))
+_WS = r"\t\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_RAW = "|".join(rf"<{n}(?:[/ \t\r\n][^>]*)?/>|<{n}[>/ \t\r\n](?s:.*?)(?:</{n}[^>]*(?:>|\z)|\z)" for n in ("style", "script", "head"))
 
 
-@query(f"SELECT page_id, length(b) AS chars, md5(b) AS body_md5 FROM (SELECT page_id, {_BODY.format('html')} AS b FROM pages)")
+def _body(x: str) -> str:
+    text = f"regexp_replace({x}, '(?is){_RAW}|<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&apos;", "chr(39)"), ("&#x3000;", "chr(12288)"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{entity}', {char})"
+    text = rf"regexp_replace(regexp_replace({text}, '[{_WS}]*\n[{_WS}]*', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g')"
+    return rf"regexp_replace(regexp_replace({text}, '^[\n{_WS}]+', ''), '[\n{_WS}]+$', '')"
+
+
+@query(f"SELECT page_id, length(b) AS chars, md5(b) AS body_md5 FROM (SELECT page_id, {_body('html')} AS b FROM pages)")
 def c14_clean_body(spark, sf):
     """Pages as text."""
     rows = table(spark, sf, "pages").select("page_id", T.clean_body(F.col("html")).alias("b"))
     return rows.select("page_id", F.length("b").cast("long").alias("chars"), F.md5("b").alias("body_md5"))
 
 
-_TITLE = _BODY.format(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
-_HEADS = ", ".join("nullif(" + _BODY.format(rf"regexp_extract(html, '(?is)<h{k}[^>]*>(.*?)</h{k}>', 1)") + ", '')" for k in (1, 2, 3))
+_TITLE = _body(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+_HEADS = ", ".join("nullif(" + _body(rf"regexp_extract(html, '(?is)<h{k}[^>]*>(.*?)</h{k}>', 1)") + ", '')" for k in (1, 2, 3))
 
 
 @query(f"""SELECT page_id, CASE WHEN lower(t) NOT IN ('', 'page', 'untitled') THEN t END AS title, coalesce({_HEADS}) AS heading FROM (SELECT *, {_TITLE} AS t FROM pages)""")

@@ -42,6 +42,46 @@ def test_title_anchors_are_greedy_and_monotone(spark):
     assert sorted((r.chapter, r.track) for r in matching.title_anchors(c, t, "book", "pos", "title").collect()) == [(1, 0), (3, 2)]
 
 
+def each(spark, column, given):
+    """The column's value for each given text, in order."""
+    return [r.x for r in spark.createDataFrame(list(enumerate(given)), "i int, a string").select("i", column(F.col("a")).alias("x")).orderBy("i").collect()]
+
+
+def test_bodies_are_cleaned(spark):
+    cases = {
+        "&amp;lt;": "&lt;", "&amp;amp;": "&amp;", "it&apos;s&#x3000;so": "it's\u3000so", "&nbsp;&#39;": "&nbsp;&#39;",
+        "<head><style>.a { color: red }</style></head><p>Keep</p><script>var x = '<p>';</script><p>Also keep</p>": "KeepAlso keep",
+        '<style type="text/css"/><p>Body text</p>': "Body text",
+        "<html><HEAD lang='x'><title>Book</title></HEAD ><body>Text</body>": "Text",
+        "<header>Top</header>": "Top", "a < b": "a < b", "x<script>never closed <p>y": "x",
+        "a\n \n\t\n\nb\r\n c \n": "a\n\nb\nc", "\u3000 \n\u00a0x\u3000\n\n": "x",
+        "<ruby>漢<rt>かん</rt></ruby>": "漢", "": "", "<!-- a --> b": "b",
+    }
+    assert each(spark, T.clean_body, cases) == list(cases.values())
+
+
+def test_languages_fold(spark):
+    cases = {
+        "jpn": "ja", "JA": "ja", "ja-JP": "ja", "en": "en", "en-US": "en", "eng": "en", "zh-Hans": "zh", "chi": "zh", "swe": "sw", "aa": "aa", "el": "el",
+        "tr_TR": "tr", "uk": "uk", "qq": "xx", "": "", "x": "", " De ": "de", "dut": "xx", None: None,
+    }
+    assert each(spark, T.fold_language, cases) == list(cases.values())
+
+
+def test_small_text_rules(spark):
+    cases = {"eng": "en", "jpn": "ja", "fr": "fr", "EN": None, "qq": None, "fra": None, "": None, None: None}
+    assert each(spark, T.provider_hint, cases) == list(cases.values())
+    assert each(spark, lambda c: T.provider_hint(c, ("en",)), ["eng", "fr"]) == ["en", None]
+    cases = {"  The\u3000Rain ": "the rain", "a\tb": "ab", "Ｃｈ\u200b１": "ch1", "\ufeff": "", None: None}
+    assert each(spark, T.shown_title, cases) == list(cases.values())
+    a, b = each(spark, identity.title_hash, ["Ｃｈ１\u3000x", "ch1  X"])
+    assert a == b
+    assert each(spark, T.next_stage, ["new", "uploaded", "done", "?"]) == ["parsed", "done", None, None]
+    assert each(spark, lambda c: T.stage_step(c, F.lit("mapped")), ["new", "mapped", "done"]) == ["mapped", "mapped", None]
+    assert each(spark, lambda c: T.signal_label("s", c.cast("int")), ["0", "2", "5", "11", "12"]) == ["s_x0", "s_x2", "s_x3+", "s_x6+", "s_x12+"]
+    assert each(spark, lambda c: T.audio_title(c, F.lit(2)), ["/a/b.c.mp3", "", None]) == ["b.c", "Track 3", "Track 3"]
+
+
 @pytest.mark.parametrize(("title", "generic"), [("chapter 12", True), ("глава7", True), ("第3章", True), ("3話", True), ("the rain", False), ("chapter one", False), ("", False)])
 def test_generic_titles(spark, title, generic):
     assert one(spark, T.is_generic_title(F.col("a")), a=title) is generic
@@ -53,10 +93,11 @@ def test_text_functions(spark):
     assert one(spark, T.dice(F.col("a"), F.col("b")), a="a", b="b") == 0.0
     assert one(spark, T.longest_common(F.col("a"), F.col("b")), a="xxabcdyy", b="zabcdz") == 4
     assert one(spark, T.scrub_secrets(F.col("a")), a='Bearer abc.def {"bearer":"tok"} key SK-12 ok') == 'Bearer [redacted] {"bearer":"[redacted]"} key [redacted] ok'
-    assert one(spark, T.clean_body(F.col("a")), a="<head><title>x</title></head><header>A</header>\n\n <p>B &amp;lt; C</p><script>1<2</script>") == "A\nB &lt; C"
+    assert one(spark, T.clean_body(F.col("a")), a="<head><title>x</title></head><header>A</header>\n\n <p>B &amp;lt; C</p><script>1<2</script>") == "A\n\nB &lt; C"
     assert one(spark, T.fold_language(F.col("a")), a="ENG-us") == "en" and one(spark, T.fold_language(F.col("a")), a="qq") == "xx"
     assert one(spark, T.matter_kind(F.col("a")), a=" Title  Page ") == "front_matter"
-    assert T.without_ruby("<ruby>漢<rt>かん</rt>字<rp>(</rp><rt>じ</rt></ruby> の") == "漢字の"
+    assert one(spark, T.strip_ruby(F.col("a")), a="<ruby>漢<rt>かん</rt>字<rp>(</rp><rt>じ</rt></ruby> の") == "漢字の"
+    assert one(spark, T.strip_ruby(F.col("a")), a="漢 字") == "漢 字"
     names = [(x,) for x in ("track10", "track2", "Track1", "track01", "a")]
     found = [r.n for r in spark.createDataFrame(names, "n string").orderBy(T.natural_key(F.col("n"))).collect()]
     assert found == ["a", "Track1", "track01", "track2", "track10"]

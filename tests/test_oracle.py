@@ -22,7 +22,7 @@ def con():
 
 def rows(d: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or x != x:
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return "null"
         return f"{float(x):.6f}" if isinstance(x, (int, float)) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x)
 
