@@ -55,49 +55,43 @@ def positional_pairs(chapters: DataFrame, tracks: DataFrame, book: str, position
     return chapters.join(same, book, "left_semi").join(tracks, [book, position])
 
 
-def proportional_ends(durations: Column, chars: Column) -> Column:
-    """End chapter of each track: tracks' shares of the time against chapters' shares of the characters.
+def proportional_pack(chapters: DataFrame, tracks: DataFrame, book: str, position: str, chars: str, seconds: str) -> DataFrame:
+    """(book, track, first chapter, end chapter) of every track: tracks' shares of the time against chapters' shares of the characters.
 
     A boundary inside a chapter goes to its nearer side, a track takes one chapter at least where any is left, and
-    the last track takes the rest. One fold with the next free chapter as its state.
+    the last track takes the rest. Each boundary finds its chapter in one ordered pass over the book's chapters and
+    boundaries; a fold over the book's tracks then only carries the next free chapter.
     """
-    total_time = F.aggregate(durations, F.lit(0.0), lambda a, x: a + x)
-    cum = F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.aggregate(F.slice(chars, 1, i), F.lit(0).cast("long"), lambda a, x: a + x))
-    cum = F.when(F.size(chars) > 0, cum).otherwise(F.array().cast("array<bigint>"))
-    n = F.size(chars)
-    total = F.coalesce(F.try_element_at(cum, F.when(n > 0, n)), F.lit(0))
-    shares = F.transform(durations, lambda d: F.when(total_time > 0, d / total_time).otherwise(1.0 / F.size(durations)))
-    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0.0).alias("share"))
-
-    def step(state: Column, share: Column) -> Column:
-        done, upto = F.size(state["ends"]), state["share"] + share
-        s = F.coalesce(F.try_element_at(state["ends"], F.when(done > 0, done)), F.lit(0))
-        b = upto * total
-        j = F.size(F.filter(cum, lambda x: x <= b))
-        before = F.when(j > 0, F.element_at(cum, F.greatest(j, F.lit(1)))).otherwise(0)
-        after = F.coalesce(F.try_element_at(cum, j + 1), total)
-        end = (
-            F.when(done + 1 >= F.size(durations), n)
-            .when((j >= n) | (s > j), s)
-            .when(before >= b, j)
-            .when(s == j, j + 1)
-            .when(before + after <= 2 * b, j + 1)
-            .otherwise(j)
-        )
-        return F.struct(F.concat(state["ends"], F.array(end.cast("int"))).alias("ends"), upto.alias("share"))
-
-    return F.aggregate(shares, start, step, lambda s: s["ends"])
-
-
-def proportional_pack(chapters: DataFrame, tracks: DataFrame, book: str, position: str, chars: str, seconds: str) -> DataFrame:
-    """(book, track, first chapter, end chapter) of every track."""
-    ordered = lambda d, v: F.transform(F.array_sort(F.collect_list(F.struct(position, v))), lambda x: x[v])  # noqa: E731  a book's own rows
-    c = chapters.groupBy(book).agg(ordered(chapters, chars).alias("_c"))
-    t = tracks.groupBy(book).agg(ordered(tracks, seconds).alias("_d"))
-    ends = t.join(c, book).select(book, proportional_ends(F.col("_d").cast("array<double>"), F.col("_c").cast("array<bigint>")).alias("_e"))
-    rows = ends.select(book, "_e", F.posexplode("_e").alias("track", "end_chapter"))
-    first = F.coalesce(F.try_element_at("_e", F.when(F.col("track") > 0, F.col("track")).cast("int")), F.lit(0))
-    return rows.select(book, "track", first.alias("first_chapter"), "end_chapter")
+    every, upto = Window.partitionBy(book), Window.partitionBy(book).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    c = chapters.select(book, position, F.coalesce(F.col(chars).cast("double"), F.lit(0.0)).alias("_v")).withColumn("_cum", F.sum("_v").over(upto))
+    totals = c.groupBy(book).agg(F.max("_cum").alias("_total"), F.count("*").alias("_n"))
+    t = tracks.select(book, position, F.coalesce(F.col(seconds).cast("double"), F.lit(0.0)).alias("_d")).withColumns({"_all": F.sum("_d").over(every), "_parts": F.count("*").over(every)})
+    share = F.when(F.col("_all") > 0, F.col("_d") / F.col("_all")).otherwise(1.0 / F.col("_parts"))
+    t = t.withColumn("_share", share).withColumn("_upto", F.sum("_share").over(upto)).join(totals, book)
+    t = t.withColumn("_at", F.col("_upto") * F.col("_total"))
+    none = F.lit(None).cast("double")
+    # chapters that end at a boundary come before it
+    events = c.select(book, F.col("_cum").alias("_x"), F.lit(0).alias("_kind"), F.col(position).alias("_k"), "_cum", none.alias("_at"), none.alias("_total"), F.lit(None).cast("long").alias("_n"))
+    events = events.unionByName(t.select(book, F.col("_at").alias("_x"), F.lit(1).alias("_kind"), F.col(position).alias("_k"), none.alias("_cum"), "_at", "_total", "_n"))
+    w = Window.partitionBy(book).orderBy("_x", "_kind", "_k")
+    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    placed = events.withColumns({
+        "_j": F.count("_cum").over(back), "_before": F.coalesce(F.last("_cum", True).over(back), F.lit(0.0)), "_after": F.first("_cum", True).over(on),
+    }).filter("_kind = 1")
+    item = F.struct(F.col("_k").alias("k"), F.col("_j").alias("j"), F.col("_before").alias("before"), F.coalesce("_after", "_total").alias("after"), F.col("_at").alias("b"))
+    books = placed.groupBy(book, "_n").agg(F.array_sort(F.collect_list(item)).alias("_t"))  # one book's tracks
+
+    def step(state: Column, x: Column) -> Column:
+        s, n = state["s"], F.col("_n")
+        nearer = F.when(x["before"] + x["after"] <= 2 * x["b"], x["j"] + 1).otherwise(x["j"])
+        end = F.when((x["j"] >= n) | (s > x["j"]), s).when(x["before"] >= x["b"], x["j"]).when(s == x["j"], x["j"] + 1).otherwise(nearer)
+        end = F.when(state["done"] + 1 >= F.size("_t"), n).otherwise(end).cast("long")
+        return F.struct(F.concat(state["ends"], F.array(end)).alias("ends"), end.alias("s"), (state["done"] + 1).alias("done"))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("done"))
+    rows = books.select(book, F.aggregate("_t", start, step, lambda x: x["ends"]).alias("_e")).select(book, "_e", F.posexplode("_e").alias("track", "_end"))
+    first = F.coalesce(F.get("_e", F.col("track") - 1), F.lit(0))
+    return rows.select(book, "track", first.cast("int").alias("first_chapter"), F.col("_end").cast("int").alias("end_chapter"))
 
 
 def anchored_ranges(df: DataFrame, book: str, track: str, start: str, chapters: str) -> DataFrame:
@@ -159,6 +153,22 @@ def bucket_islands(df: DataFrame, book: str, order: str, track: str, chars: str)
     return runs.agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("chapters"), F.sum(chars).alias("chars"))
 
 
+def exact_median(df: DataFrame, value: str, out: str, bins: int = 1024) -> DataFrame:
+    """One row with the median of the positive values (null without any), and no task that reads them all.
+
+    Values are counted by their logarithms' bins (``bins`` to a doubling); only the bins that hold the middle ranks are
+    then looked into, by rank.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v > 0").withColumn("bin", F.floor(F.log2("v") * bins))
+    order = Window.orderBy("bin")  # one row per bin
+    counts = rows.groupBy("bin").agg(F.count("*").alias("n")).withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy())})
+    lower, upper = F.expr("(all + 1) div 2"), F.expr("all div 2 + 1")
+    middle = counts.withColumns({"low": lower, "high": upper}).filter("upto >= low AND upto - n < high")
+    inside = rows.join(F.broadcast(middle), "bin")  # two bins at most
+    rank = F.col("upto") - F.col("n") + F.row_number().over(Window.partitionBy("bin").orderBy("v"))
+    return inside.withColumn("rank", rank).filter("rank = low OR rank = high").agg(F.avg("v").alias(out))
+
+
 def drift_flags(df: DataFrame, density: str, by: list[str] | None = None, limit: float = 0.3) -> DataFrame:
     """Adds drift: densities over ``limit`` away from the median of the positive ones (of the group, if any)."""
     positive = df.filter(F.col(density) > 0)
@@ -166,6 +176,26 @@ def drift_flags(df: DataFrame, density: str, by: list[str] | None = None, limit:
         middle = positive.groupBy(*by).agg(F.median(density).alias("_m"))
         out = df.join(middle, by, "left")
     else:
-        middle = positive.agg(F.median(density).alias("_m")).withColumn("_one", F.lit(1))
+        middle = exact_median(positive, density, "_m").withColumn("_one", F.lit(1))
         out = df.withColumn("_one", F.lit(1)).join(F.broadcast(middle), "_one", "left").drop("_one")  # one row
     return out.withColumn("drift", F.coalesce(F.abs(F.col(density) - F.col("_m")) / F.col("_m") > limit, F.lit(False))).drop("_m")
+
+
+def places(df: DataFrame, group: str, coarse: list[Column], fine: list[Column], out: str) -> DataFrame:
+    """Adds the place (from 1) of each row in its group, in the order of ``coarse`` and then ``fine`` columns.
+
+    Rows are counted by (group, coarse); a group's bins are added up in order and only a bin's rows are sorted together,
+    so ``coarse`` should tell rows apart well enough that no bin is large.
+    """
+    names = [f"_o{i}" for i in range(len(coarse))]
+    rows = df.select("*", *[c.alias(n) for c, n in zip(coarse, names, strict=True)])
+    bins = rows.groupBy(group, *names).agg(F.count("*").alias("_in"))
+    before = Window.partitionBy(group).orderBy(*[F.asc_nulls_last(n) for n in names]).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_base", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
+    bins = bins.select(F.col(group).alias("_g"), *[F.col(n).alias(f"_b{n}") for n in names], "_base")
+    same = F.col(group).eqNullSafe(F.col("_g"))
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"_b{n}"))
+    own = Window.partitionBy(group, *names).orderBy(*fine)
+    placed = rows.withColumn("_k", F.row_number().over(own)).join(bins, same)
+    return placed.withColumn(out, F.col("_base") + F.col("_k")).select(*df.columns, out)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import course
 from pagewright.operators import library as L
+from pagewright.operators import matching as M
 from pagewright.plans.registry import query, table
 
 ACTIVITY = ["o_orderdate", "o_orderkey"]
@@ -54,7 +55,8 @@ def o1_library_order(spark, sf):
     """Place of each project in its shelf: status, latest activity of what is done, title."""
     rank = F.array_position(F.array(*[F.lit(x) for x in L.STATUS_ORDER]), F.col("status"))
     order = L.library_order(rank, F.col("activity"), F.col("title"), F.col("status") == "done")
-    return with_status(spark, sf).select("segment", "project", F.row_number().over(Window.partitionBy("segment").orderBy(*order)).cast("long").alias("place"))
+    latest = -F.unix_seconds(F.date_trunc("day", F.when(F.col("status") == "done", F.col("activity"))))
+    return M.places(with_status(spark, sf), "segment", [rank, latest, F.left("title", F.lit(14))], order, "place").select("segment", "project", "place")
 
 
 @query(f"WITH {_PROJECTS} SELECT project FROM s WHERE unfinished > 0 OR cursor < receipts OR (receipts = 0 AND confirmed)")

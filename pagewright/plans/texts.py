@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import identity
@@ -82,7 +81,8 @@ def a10_repeated_titles(spark, sf):
     """Titles that a host repeats are names of the book, not of a chapter."""
     title = T.clean_body(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     rows = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"), title.alias("title"))
-    return rows.withColumn("repeated", F.count("*").over(Window.partitionBy("host", "title")) > 1)
+    often = rows.groupBy("host", "title").agg((F.count("*") > 1).alias("repeated"))
+    return rows.join(often.withColumnsRenamed({"host": "_h", "title": "_t"}), F.col("host").eqNullSafe(F.col("_h")) & F.col("title").eqNullSafe(F.col("_t"))).drop("_h", "_t")
 
 
 @query("""SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, count(*) AS files, max(m)::BIGINT AS most, sum(m)::BIGINT AS total, sum((m > 0)::INT)::BIGINT AS files_hit,
@@ -124,14 +124,14 @@ def u5_token_jaccard(spark, sf):
     return name_pairs(spark, sf).select("a", "b", F.round(T.token_jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
 
 
-@query("""WITH n AS (SELECT p_name AS title, min(p_partkey) AS pos FROM part GROUP BY 1), o AS (SELECT title AS near, pos FROM n WHERE title LIKE 'small%'),
-    s AS (SELECT n.title, near, o.pos, 1 - levenshtein(lower(n.title), lower(near))::DOUBLE / greatest(length(n.title), length(near)) AS similarity FROM n, o)
+@query("""WITH n AS (SELECT p_name || ' ' || (p_size % 12) AS title, min(p_partkey) AS pos FROM part GROUP BY 1),
+    s AS (SELECT n.title, o.title AS near, o.pos, 1 - levenshtein(lower(n.title), lower(o.title))::DOUBLE / greatest(length(n.title), length(o.title)) AS similarity FROM n JOIN n o ON n.title <> o.title)
     SELECT title, near, round(similarity, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY similarity DESC, pos) AS k FROM s WHERE similarity >= 0.85) WHERE k = 1""")
 def j17_title_conflicts(spark, sf):
-    """The existing title nearest to each new one, from 0.85 on."""
-    n = table(spark, sf, "part").groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("pos"))
-    found = library.title_conflicts(n.select("title"), n.filter("title LIKE 'small%'"), F.lit(""))
-    return found.withColumn("similarity", F.round("similarity", 9))
+    """The other title nearest to each one, from 0.85 on."""
+    title = F.concat("p_name", F.lit(" "), (F.col("p_size") % 12).cast("string"))
+    n = table(spark, sf, "part").groupBy(title.alias("title")).agg(F.min("p_partkey").alias("pos"))
+    return library.title_conflicts(n.select("title"), n).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("""SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS segment, regexp_extract(url, '([^/\\\\]*)$', 1) AS base FROM pages""")

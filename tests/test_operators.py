@@ -32,8 +32,48 @@ def test_count_classes(spark, chapters, tracks, kind):
     [([10, 10, 10, 10], [1, 1], [2, 4]), ([100, 1, 1], [1, 1], [1, 3]), ([0, 0, 0], [1, 2], [0, 3]), ([], [1, 1], [0, 0]), ([5], [1, 1, 1], [1, 1, 1]), ([10, 30, 10], [1, 1], [2, 3])],
 )
 def test_proportional_ends(spark, chars, seconds, ends):
-    df = spark.createDataFrame([(chars, [float(s) for s in seconds])], "c array<bigint>, d array<double>")
-    assert df.select(matching.proportional_ends(F.col("d"), F.col("c")).alias("e")).first().e == ends
+    c = spark.createDataFrame([(1, i, x) for i, x in enumerate(chars)], "book int, pos long, chars long")
+    t = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(seconds)], "book int, pos long, seconds double")
+    rows = matching.proportional_pack(c, t, "book", "pos", "chars", "seconds").orderBy("track").collect()
+    assert [r.end_chapter for r in rows] == (ends if chars else []) and all(r.first_chapter == e for r, e in zip(rows, [0, *ends]))
+
+
+def test_exact_median(spark):
+    for values, want in (([1.0, 2.0, 3.0], 2.0), ([1.0, 2.0, 3.0, 500.0], 2.5), ([7.0] * 5 + [None, 0.0], 7.0), ([0.001, 0.0011, 1e9], 0.0011), ([], None)):
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        assert matching.exact_median(df, "x", "m").first().m == (want if want is None else pytest.approx(want))
+
+
+def test_title_conflicts_against_all_pairs(spark):
+    rng, words = random.Random(5), ["rain", "sun", "night", "end", "the", "a"]
+    titles = sorted({" ".join(rng.choice(words) + rng.choice(["", "s", "y"]) for _ in range(rng.randrange(1, 5))) for _ in range(150)})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    assert distance("night", "nights") == 1
+    want = {}
+    for a in titles:
+        near = [(-(1 - distance(a, b) / max(len(a), len(b))), k, b) for k, b in enumerate(titles) if b != a]
+        near = [x for x in near if -x[0] >= 0.85 - 1e-12]
+        if near:
+            want[a] = min(near)[2]
+    df = spark.createDataFrame([(t, k) for k, t in enumerate(titles)], "title string, pos long")
+    assert {r.title: r.near for r in library.title_conflicts(df.select("title"), df).collect()} == want
+
+
+def test_places(spark):
+    rows = [(i % 2, i % 7, f"t{i % 5}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, a int, b string, i int")
+    found = {r.i: r.place for r in matching.places(df, "g", [F.col("a")], [F.col("a"), F.col("b"), F.col("i")], "place").collect()}
+    for g in (0, 1):
+        order = sorted((a, b, i) for h, a, b, i in rows if h == g)
+        assert [found[i] for _, _, i in order] == list(range(1, 31))
 
 
 def test_title_anchors_are_greedy_and_monotone(spark):
