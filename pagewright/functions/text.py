@@ -62,13 +62,17 @@ STAGES = ("new", "parsed", "mapped", "transcoded", "uploaded", "done")
 
 
 def normal_form(form: str):
-    """A pandas UDF for a Unicode normal form (NFC, NFKC ...)."""
+    """A function of a column for a Unicode normal form (NFC, NFKC ...); only texts that are not plain ASCII go to Python."""
 
     @F.pandas_udf("string")
     def normalised(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize(form, x))
+        return text.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
-    return normalised
+    def column(c: Column) -> Column:
+        plain = F.octet_length(c) == F.char_length(c)
+        return F.when(plain, c).otherwise(normalised(F.when(~plain, c)))
+
+    return column
 
 
 def collapsed(c: Column) -> Column:
