@@ -24,6 +24,7 @@ result; further columns are ignored.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -110,12 +111,15 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _bytes_of(doc_ids: list, counts: np.ndarray, ids: np.ndarray, wide: int) -> list[bytes]:
-    """The parts of a file."""
+def _bytes_of(doc_ids: list, counts: np.ndarray, parts: list[np.ndarray], wide: int) -> Iterator[bytes]:
+    """A file piece by piece; ``parts`` has the ids, as wide as they are stored."""
     some = np.array([x for x in doc_ids if x is not None], np.int64)
     least = int(some[0]) if len(some) else 0
-    head = HEADER.pack(MAGIC, len(doc_ids), len(ids), wide, len(doc_ids) - len(some), least)
-    return [head, elias_fano((some - least).astype(np.uint64)), elias_fano(np.cumsum(counts)), ids.astype(f"<u{wide}").tobytes()]
+    yield HEADER.pack(MAGIC, len(doc_ids), int(counts.sum()), wide, len(doc_ids) - len(some), least)
+    yield elias_fano((some - least).astype(np.uint64))
+    yield elias_fano(np.cumsum(counts))
+    for ids in parts:
+        yield ids.tobytes()
 
 
 class TokenFile:
@@ -176,7 +180,7 @@ def write_token_files(
         name = f"{root}/part-{task.partitionId():06d}.ef"
         draft = f"{name}.{task.taskAttemptId()}"
         with fs.open_output_stream(draft) as out:
-            for data in _bytes_of(doc_ids, np.concatenate(counts), np.concatenate(parts), wide):
+            for data in _bytes_of(doc_ids, np.concatenate(counts), parts, wide):
                 out.write(data)
         fs.move(draft, name)
         yield pa.RecordBatch.from_arrays(

@@ -29,7 +29,7 @@ LOWERED = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: White space by any library's reading, so that a text without two in a row has none by each reading.
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Pieces after which the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Bytes of text that are encoded at once.
 AT_ONCE = 4_000_000
 
