@@ -198,6 +198,22 @@ def a5_a7_course_stats(spark, sf):
     return course.course_stats(rows, "course", "words", "pct", "duration").withColumn("total_duration", F.round("total_duration", 3))
 
 
+@query(f"""WITH {_LESSONS}, m AS (SELECT course, coalesce(avg(words), 1) AS mean FROM x GROUP BY course),
+    g AS (SELECT course, count(*) AS lessons, sum(words)::BIGINT AS total_words FROM x JOIN m USING (course) GROUP BY course),
+    h AS (SELECT course, CASE WHEN lessons % 2 = 0 THEN lessons * 1000 END AS total_words FROM g)
+    SELECT d.doc_id, d.source AS course, g.lessons, coalesce(h.total_words, g.total_words)::BIGINT AS course_words, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS lesson
+    FROM documents d JOIN g ON d.source = g.course JOIN h ON h.course = g.course""")
+def a6_p15_course_view(spark, sf):
+    """Lessons under their course's header, whose own total goes before the sum."""
+    d = table(spark, sf, "documents").withColumnRenamed("source", "course")
+    lessons = d.select("course", F.when(F.col("n_chars") > 200, F.col("n_chars")).alias("words"), F.lit(None).cast("double").alias("pct"), F.lit(0.0).alias("duration"))
+    stats = course.course_stats(lessons, "course", "words", "pct", "duration").select("course", "lessons", "total_words")
+    header = stats.select("course", F.when(F.col("lessons") % 2 == 0, F.col("lessons") * 1000).alias("total_words"))
+    view = course.with_header(stats, header, "course", ["total_words"]).withColumnRenamed("total_words", "course_words")
+    place = M.places(d.select("doc_id", "course"), "course", [F.expr("doc_id div 1000")], ["doc_id"], "lesson")
+    return place.join(view, "course").select("doc_id", "course", "lessons", "course_words", "lesson")
+
+
 @query("""SELECT o_orderpriority AS band, round(avg(least(1, greatest(0, o_totalprice / 400000))), 9) AS mean_confidence,
       round(count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 250000)::DOUBLE / nullif(count(*) FILTER (o_totalprice > 250000), 0), 9) AS accept_precision FROM orders GROUP BY 1""")
 def a15_a16_calibration(spark, sf):

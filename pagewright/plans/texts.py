@@ -170,6 +170,18 @@ def o8_previews(spark, sf):
 def j7_transcript_matches(spark, sf):
     """For each book, the three chapters whose head is most like the transcript (its second chapter's head)."""
     rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("pos"), T.alignment_text(F.col("text")).alias("body"))
-    heard = rows.filter("pos = 1").select("book", F.left("body", F.lit(120)).alias("transcript"))
+    heard = rows.filter("pos = 1").select("book", F.col("body").alias("transcript"))
     found = alignment.decided(alignment.transcript_matches(heard, rows, "book", "pos"), "book")
     return found.select("book", "pos", F.round("score", 6).alias("score"), F.round("gap", 6).alias("gap"), "verdict")
+
+
+@query(None)
+def j8_j9_other_sides(spark, sf):
+    """The chapter whose whole text, and the later one whose end, is most like the transcript (no SQL twin: probes and scores)."""
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("pos"), T.alignment_text(F.col("text")).alias("body"))
+    heard = rows.filter("pos = 2").select("book", F.col("body").alias("transcript"))
+    found = [
+        alignment.decided(alignment.transcript_matches(heard, rows, "book", "pos", side, after=F.col("pos") > least), "book").withColumn("side", F.lit(side))
+        for side, least in (("body", -1), ("tail", 0))
+    ]
+    return found[0].unionByName(found[1]).select("book", "side", "pos", F.round("score", 6).alias("score"), "verdict")

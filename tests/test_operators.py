@@ -298,3 +298,52 @@ def test_candidate_groups_fold_only_the_first_of_equal_keys(spark, monkeypatch):
     monkeypatch.setattr(GroupedData, "applyInPandas", noted)
     found = library.candidate_groups(df, "part", "position", ["k1", "k2"]).collect()
     assert len(found) == 600 and {r.position: r.leader for r in found} == want and folded[0] <= 20
+
+
+def test_titles_give_a_range(spark):
+    titles = ["the long rain", "the short sun", "night falls", "chapter 1", "the end of it"]  # in their form for alignment
+    c = spark.createDataFrame([(b, i, t) for b in (1, 2, 3) for i, t in enumerate(titles)], "book int, pos long, title string")
+    wanted = lambda rows: alignment.best_titles(spark.createDataFrame(rows, "book int, wanted string"), c, "book", "pos")
+    starts, ends = wanted([(1, "the short sun"), (2, "chapter 1"), (3, "the end of it")]), wanted([(1, "the end of it"), (2, "night falls"), (3, "night falls")])
+    assert {r.book: (r.pos, r.accepted) for r in starts.collect()} == {1: (1, True), 2: (3, False), 3: (4, True)}
+    found = [(r.book, r.start_pos, r.end_pos, r.confidence) for r in alignment.title_range(starts, ends, "book", "pos").collect()]
+    assert found == [(1, 1, 4, 1.0)]  # generic titles are never accepted, an end before the start is none
+
+
+def test_transcripts_match_each_side(spark):
+    bodies = ["it was a long rain that fell on the town " * 9, "the sun came out and the children ran to the river " * 9, "night fell and nobody spoke of the stranger again " * 9]
+    bodies[1] += "and then the old clock struck twelve in the empty hall"
+    c = spark.createDataFrame(list(enumerate(bodies)), "pos long, body string").withColumn("book", F.lit(1))
+    heard = lambda text: spark.createDataFrame([(1, text)], "book int, transcript string")
+    best = lambda *a, **k: alignment.decided(alignment.transcript_matches(*a, **k), "book").first()
+    r = best(heard("and the children ran to the river the sun came out"), c, "book", "pos")
+    assert (r.pos, r.verdict) == (1, "confident")
+    r = best(heard("the old clock struck twelve in the empty hall"), c, "book", "pos", "tail", after=F.col("pos") > 0)
+    assert (r.pos, r.verdict) == (1, "confident")
+    assert best(heard("nobody spoke"), c, "book", "pos", "body").verdict == "poor"
+
+
+def test_course_header_goes_first(spark):
+    from pagewright.operators import course
+
+    lessons = spark.createDataFrame([("a", 100, 50.0, 1.0), ("a", None, 100.0, None), ("b", None, None, None)], "c string, w long, p double, d double")
+    stats = course.course_stats(lessons, "c", "w", "p", "d")
+    rows = {r.c: r for r in course.with_header(stats, spark.createDataFrame([("a", 999)], "c string, total_words long"), "c", ["total_words"]).collect()}
+    assert (rows["a"].lessons, rows["a"].total_words, rows["a"].progress, rows["a"].lessons_read) == (2, 999, 75, 1)
+    assert (rows["b"].lessons, rows["b"].total_words, rows["b"].progress) == (1, None, None)
+
+
+def test_plans_of_odd_mappings(spark):
+    """Nulls, an unknown track, a missing entry, a skipped chapter's track, parked tracks."""
+    from pagewright.operators import mapping
+
+    every = spark.createDataFrame([(b, o, f"text {o}" if o else None) for b in (1, 2, 3) for o in range(5)], "book int, turn long, text string")
+    c = matching.numbered(every.filter("turn <> 3"), "book", ["turn"], "pos")
+    t = spark.createDataFrame([(b, k) for b in (1, 2, 3) for k in range(5)], "book int, pos long")
+    m = [(1, 0, 0), (1, 1, 0), (1, 2, None), (1, 3, 3), (1, 4, 1), (2, 0, 0), (2, 1, 9), (2, 2, 1), (2, 4, 1), (3, 0, 0), (3, 1, 1), (3, 4, 2)]
+    m = spark.createDataFrame(m, "book int, turn long, track long")
+    assert {r.book: r.error for r in mapping.mapping_errors(c, t, m, "book", "pos", "turn").collect()} == {2: "unknown track", 3: "no entry"}
+    steps = mapping.plan_of(m, spark.createDataFrame([(1, 4)], "book int, pos long"), c, every, t, "book", "pos", "turn", "text").collect()
+    assert sorted((r.book, r.chapter_index, r.track, r.degraded, r.body) for r in steps) == [
+        (1, 0, 0, False, "\n\ntext 1"), (1, 4, 1, False, "text 4"), (1, 7, 2, True, " "),
+    ]
