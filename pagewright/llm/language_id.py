@@ -4,7 +4,8 @@ A text is a vector of hashed runs of one, two and three bytes (lower-cased), squ
 come from a table of language codes; a code that is not in it is a family of its own. A linear
 one-versus-rest support vector machine picks the family, one-versus-one machines vote on the language within
 it. Every machine is fitted in a task of its own on a bounded sample (``SAMPLE`` rows in all, shared evenly
-by the languages); weights are broadcast, a few numbers per pair of related languages.
+by the languages); weights are broadcast, a few numbers per pair of related languages. The sample is drawn from
+ids, hashes and languages before any text moves, and a drawn text goes on as its profile, never longer than BUCKETS.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and when nothing can be
 learned; null languages teach nothing; ties of votes go to the larger sum of margins, then to the language
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.hashes import portions
-from pagewright.llm.sampling import bounded_sample
+from pagewright.llm.sampling import bounded_sample, marked, texts_of
 from pagewright.llm.shared import crc_of_id, keep
 
 BUCKETS = 4096
@@ -67,6 +68,22 @@ def profiles(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def packed(profile: np.ndarray) -> bytes:
+    """The buckets of a profile that are not 0, then their numbers."""
+    at = np.flatnonzero(profile[:BUCKETS])
+    return at.astype(np.uint16).tobytes() + profile[at].tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """The profiles of packed rows."""
+    out = np.zeros((len(rows), BUCKETS + 1), np.float32)
+    out[:, BUCKETS] = 1
+    for r, row in enumerate(rows):
+        n = len(row) // 6
+        out[r, np.frombuffer(row, np.uint16, n)] = np.frombuffer(row, np.float32, n, 2 * n)
+    return out
+
+
 def machine(x: np.ndarray, sign: np.ndarray, cost: float = 30.0, steps: int = 150) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, by accelerated gradient descent."""
     w = np.zeros(x.shape[1], np.float32)
@@ -126,10 +143,22 @@ class Machines:
 
 
 def language_machines(labelled: DataFrame, most: int = SAMPLE) -> Machines:
-    """Fit on at most ``most`` rows of ``labelled`` (doc_id, text, lang)."""
+    """Fit on at most ``most`` rows of ``labelled`` (doc_id, text, lang); a row that is there twice is one row."""
     spark = labelled.sparkSession
-    some = bounded_sample(labelled.filter("lang IS NOT NULL AND text IS NOT NULL"), "lang", most, ["doc_id", "text"]).select("lang", "text")
-    rows = keep(some, "language-sample")
+    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
+    names = ["doc_id", "mark", "lang"]
+    drawn = keep(bounded_sample(marked(known, "lang").distinct(), "lang", most, ["doc_id", "mark"]), "drawn")
+
+    def profiled(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                made = pa.array([packed(x) for x in profiles(part.column(3).cast(pa.large_string()))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], made], [*names, "profile"])
+
+    found = texts_of(known.select("doc_id", F.xxhash64("text").alias("mark"), "text"), drawn).select(*names, "text")
+    once = found.mapInArrow(profiled, found.drop("text").schema.add("profile", "binary")).groupBy(*names).agg(F.first("profile").alias("profile"))
+    rows = keep(once, "language-sample")
     languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     families = {f: [x for x in languages if family_of(x) == f] for f in {family_of(x) for x in languages}}
     jobs = [(f"family {f}", x, 1 if x in own else -1) for f, own in families.items() for x in languages if len(families) > 1]
@@ -139,8 +168,8 @@ def language_machines(labelled: DataFrame, most: int = SAMPLE) -> Machines:
     tasks = spark.createDataFrame(jobs, "job string, lang string, sign int")
 
     def trained(key, pdf):
-        x = profiles(pa.array(pdf["text"], pa.large_string()))
-        return pa_frame(key[0], machine(x, pdf["sign"].to_numpy(np.float32)))
+        pdf = pdf.sort_values(["doc_id", "mark"])
+        return pa_frame(key[0], machine(unpacked(pdf["profile"].tolist()), pdf["sign"].to_numpy(np.float32)))
 
     def pa_frame(job, w):
         import pandas as pd
