@@ -29,10 +29,10 @@ def best_titles(wanted: DataFrame, chapters: DataFrame, book: str, order: str) -
 
 
 def title_range(starts: DataFrame, ends: DataFrame, book: str, order: str) -> DataFrame:
-    """First and last chapter by their titles: both accepted, and the end after the start."""
-    s = starts.filter("accepted").select(book, F.col(order).alias("start_pos"), F.col("score").alias("_s"))
-    e = ends.filter("accepted").select(book, F.col(order).alias("end_pos"), F.col("score").alias("_e"))
-    both = s.join(e, book).filter("end_pos > start_pos")
+    """First and last chapter by two titles: both accepted, not the same title, and the end not before the start."""
+    s = starts.filter("accepted").select(book, F.col(order).alias("start_pos"), F.col("score").alias("_s"), F.col("wanted").alias("_first"))
+    e = ends.filter("accepted").select(book, F.col(order).alias("end_pos"), F.col("score").alias("_e"), F.col("wanted").alias("_last"))
+    both = s.join(e, book).filter("end_pos >= start_pos AND _first <> _last")
     return both.select(book, "start_pos", "end_pos", ((F.col("_s") + F.col("_e")) / 2).alias("confidence"))
 
 

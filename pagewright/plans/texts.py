@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import identity
 from pagewright.functions import text as T
-from pagewright.operators import alignment, library
+from pagewright.operators import alignment, detection, library
 from pagewright.plans.registry import query, table
 
 
@@ -185,3 +186,17 @@ def j8_j9_other_sides(spark, sf):
         for side, least in (("body", -1), ("tail", 0))
     ]
     return found[0].unionByName(found[1]).select("book", "side", "pos", F.round("score", 6).alias("score"), "verdict")
+
+
+@query(None)
+def p11_p12_detection(spark, sf):
+    """Where each book's recording starts and ends: titles, else transcripts of its ends or of each track's head (no SQL twin: scores)."""
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("book"), "turn", T.alignment_text(F.col("text")).alias("body"))
+    rows = rows.withColumn("pos", (F.row_number().over(Window.partitionBy("book").orderBy("turn", "body")) - 1).cast("long"))
+    chapters = rows.select("book", "pos", F.left("body", F.lit(24)).alias("title"), "body")
+    heard = rows.filter("pos % 2 = 0 AND (pos = 0 OR book % 3 > 0)").select(
+        "book", F.expr("pos div 2").alias("track"), F.when(F.col("book") % 5 == 0, F.left("body", F.lit(24))).alias("title"), F.left("body", F.lit(120)).alias("head"),
+        F.right("body", F.lit(120)).alias("tail"),
+    )
+    found = detection.detected(heard, chapters, "book")
+    return found.withColumns({"confidence": F.round("confidence", 6), "starts": F.array_join(F.transform("starts", lambda x: F.concat(x["track"], F.lit(":"), x["pos"])), ",")})
