@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,57 +83,127 @@ def latest(events: DataFrame, keys: list[str], order: list[str], columns: list[s
     return events.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in columns])
 
 
+def folded_in_order(df: DataFrame, key: str, order: list[str], fold: Callable[[], Callable[[dict], dict | None]], schema: str) -> DataFrame:
+    """The rows that each key's fold gives, its rows in the order of ``order``.
+
+    ``fold()`` starts a key; what it returns is called with every row and gives the row's answer, or None; a key's end
+    calls it with an empty row. A task reads its keys' rows sorted, in batches, and holds one key's state, never its rows.
+    """
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step, types = None, None, None
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if step is None or row[key] != at:
+                    out.append(step({}) if step else None)
+                    at, step = row[key], fold()
+                out.append(step(row))
+            types = _arrow_types(schema) if types is None else types
+            yield _batch(out, names, types)
+        if step is not None:
+            yield _batch([step({})], names, types)
+
+    rows = df.select(key, *[c for c in df.columns if c != key])
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(answers, schema)
+
+
+def _arrow_types(schema: str) -> list[pa.DataType]:
+    of = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "timestamp": pa.timestamp("us", "UTC")}
+    return [of[c.strip().split(" ")[1]] for c in schema.split(", ")]
+
+
+def _batch(rows: list[dict | None], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    kept = [r for r in rows if r is not None]
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in kept], t) for n, t in zip(names, types, strict=True)], names)
+
+
 def mapping_log(ops: DataFrame, book: str, tracks: int) -> DataFrame:
     """Apply a log of mapping changes per book: (book, seq, op_id, accepted, error) and the mapping after each.
 
     ``ops`` has seq, expected, kind, chapter, track. Only an operation whose expected number is one over the book's
     is applied. park sends a chapter's track to the parking lot, unpark brings a parked one to an empty chapter,
-    reassign sets a known track, swap exchanges two chapters' tracks (``track`` names the other chapter).
+    reassign sets a known track, swap exchanges two chapters' tracks (``track`` names the other chapter). A null number
+    is stale, a null chapter, track or kind unknown; operations of one seq go in the order of their other columns.
     """
 
-    def fold(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold() -> Callable[[dict], dict | None]:
         held: dict[int, int | None] = {i: i for i in range(tracks)}
         parked: set[int] = set()
-        at, out = 0, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            error = _change(held, parked, r, tracks) if r.expected == at + 1 else "stale"
+        at = 0
+
+        def step(r: dict) -> dict | None:
+            nonlocal at
+            if not r:
+                return None
+            error = _change(held, parked, r["kind"], r["chapter"], r["track"], tracks) if r["expected"] == at + 1 else "stale"
             at += error is None
-            out.append((keys[0], r.seq, at, error is None, error, ",".join(f"{c}:{'' if t is None else t}" for c, t in sorted(held.items()))))
-        return pd.DataFrame(out, columns=["book", "seq", "op_id", "accepted", "error", "mapping"])
+            shown = ",".join(f"{c}:{'' if t is None else t}" for c, t in sorted(held.items()))
+            return {"book": r["book"], "seq": r["seq"], "op_id": at, "accepted": error is None, "error": error, "mapping": shown}
+
+        return step
 
-    kind = ops.schema[book].dataType.simpleString()
-    return ops.groupBy(book).applyInPandas(fold, f"book {kind}, seq long, op_id long, accepted boolean, error string, mapping string")
+    rows = ops.select(F.col(book).alias("book"), "seq", "expected", "kind", "chapter", "track")
+    kind = rows.schema["book"].dataType.simpleString()
+    return folded_in_order(rows, "book", ["seq", "expected", "kind", "chapter", "track"], fold, f"book {kind}, seq long, op_id long, accepted boolean, error string, mapping string")
 
 
-def _change(held: dict, parked: set, r, tracks: int) -> str | None:
-    if r.chapter not in held:
+def _change(held: dict, parked: set, kind: str | None, chapter: int | None, track: int | None, tracks: int) -> str | None:
+    if chapter not in held:
         return "unknown chapter"
-    if r.kind == "park":
-        if held[r.chapter] is None:
+    if kind == "park":
+        if held[chapter] is None:
             return "nothing to park"
-        parked.add(held[r.chapter])
-        held[r.chapter] = None
-    elif r.kind == "unpark":
-        if r.track not in parked:
+        parked.add(held[chapter])
+        held[chapter] = None
+    elif kind == "unpark":
+        if track not in parked:
             return "not parked"
-        if held[r.chapter] is not None:
+        if held[chapter] is not None:
             return "target is not empty"
-        parked.discard(r.track)
-        held[r.chapter] = r.track
-    elif r.kind == "reassign":
-        if not 0 <= r.track < tracks:
+        parked.discard(track)
+        held[chapter] = track
+    elif kind == "reassign":
+        if track is None or not 0 <= track < tracks:
             return "unknown track"
-        parked.discard(r.track)
-        held[r.chapter] = r.track
-    elif r.kind == "swap":
-        if r.track not in held:
+        parked.discard(track)
+        held[chapter] = track
+    elif kind == "swap":
+        if track not in held:
             return "unknown chapter"
-        held[r.chapter], held[r.track] = held[r.track], held[r.chapter]
+        held[chapter], held[track] = held[track], held[chapter]
     else:
         return "unknown operation"
     return None
 
 
+def debounced(changes: DataFrame, key: str, at: str, quiet: timedelta, longest: timedelta) -> DataFrame:
+    """(key, opened, changes): a batch ends when ``quiet`` passes without a change, or ``longest`` after it opened.
+
+    Changes without a time are left out; changes of one time are in one batch.
+    """
+
+    def fold() -> Callable[[dict], dict | None]:
+        state: dict = {}
+
+        def step(r: dict) -> dict | None:
+            done = None
+            if state and (not r or r["at"] - state["last"] >= quiet or r["at"] - state["opened"] >= longest):
+                done = {"key": state["key"], "opened": state["opened"], "changes": state["changes"]}
+                state.clear()
+            if r:
+                state.update(key=r["key"], opened=state.get("opened", r["at"]), last=r["at"], changes=state.get("changes", 0) + 1)
+            return done
+
+        return step
+
+    rows = changes.filter(F.col(at).isNotNull()).select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"))
+    kind = rows.schema["key"].dataType.simpleString()
+    found = folded_in_order(rows, "key", ["at"], fold, f"key {kind}, opened timestamp, changes long")
+    return found.select(F.col("key").alias(key), F.col("opened").cast(changes.schema[at].dataType).alias("opened"), "changes")
+
+
 def stateful_validator(_key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """One job's events of a micro-batch, for applyInPandasWithState: the same rules as ``validated``."""
     life, detection = state.get if state.exists else ("waiting", False)

@@ -27,6 +27,24 @@ def orphans(skipped: DataFrame, chapters: DataFrame, book: str, order: str) -> D
     return skipped.join(chapters.select(book, order), [book, order], "left_anti")
 
 
+def bounded_slice(chapters: DataFrame, ranges: DataFrame, book: str, chapter: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """The chapters between each book's two boundary chapters (book, start, end), both included, and each book's error.
+
+    Errors, the first that applies: empty (no chapters), missing and duplicate of the start, then of the end, reversed. Books
+    with an error have no chapters in the slice.
+    """
+    places = chapters.groupBy(book, chapter).agg(F.count("*").alias("_n"), F.min(order).alias("_at"))
+    of = lambda name: places.select(book, F.col(chapter).alias(name), F.struct("_n", "_at").alias(f"_{name}"))
+    some = chapters.select(book).distinct().withColumn("_some", F.lit(True))
+    rows = ranges.select(book, "start", "end").join(some, book, "left").join(of("start"), [book, "start"], "left").join(of("end"), [book, "end"], "left")
+    error = F.when(F.col("_some").isNull(), "empty")
+    for side in ("start", "end"):
+        error = error.when(F.col(f"_{side}").isNull(), f"missing {side}").when(F.col(f"_{side}._n") > 1, f"duplicate {side}")
+    checked = rows.withColumn("error", error.when(F.col("_end._at") < F.col("_start._at"), "reversed"))
+    good = checked.filter("error IS NULL").select(book, F.col("_start._at").alias("_lo"), F.col("_end._at").alias("_hi"))
+    return chapters.join(good, book).filter(F.col(order).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi"), checked.select(book, "start", "end", "error")
+
+
 def by_ranges(chapters: DataFrame, ranges: DataFrame, book: str, position: str, order: str, track: str = "track") -> DataFrame:
     """The mapping of ranges (book, track, first_chapter, end_chapter); chapters in none of them have no track."""
     first, end = F.col("first_chapter").cast("long"), F.col("end_chapter").cast("long")

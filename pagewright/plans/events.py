@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from pagewright.operators import events as E
@@ -74,6 +76,15 @@ def t7_debounced_batches(spark, sf):
     return table(spark, sf, "events").groupBy("user_id", w.alias("w")).agg(F.min("ts").alias("opened"), F.count("*").alias("changes")).select("user_id", "opened", "changes")
 
 
+@query("""WITH RECURSIVE g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS MATERIALIZED (SELECT user_id, ts, event_id, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g),
+    b AS (SELECT user_id, n, min(ts) AS opened FROM s GROUP BY ALL UNION ALL SELECT b.user_id, b.n, min(s.ts) FROM b JOIN s ON s.user_id = b.user_id AND s.n = b.n AND s.ts >= b.opened + INTERVAL 8 HOUR GROUP BY b.user_id, b.n)
+    SELECT user_id, opened, count(*) AS changes FROM (SELECT s.user_id, s.event_id, max(b.opened) AS opened FROM s JOIN b ON s.user_id = b.user_id AND s.n = b.n AND b.opened <= s.ts GROUP BY ALL) GROUP BY ALL""")
+def t7_longest_wait(spark, sf):
+    """Batches that also end a longest wait after they opened."""
+    return E.debounced(table(spark, sf, "events"), "user_id", "ts", timedelta(hours=6), timedelta(hours=8))
+
+
 @query(None)
 def t5_t6_mapping_log(spark, sf):
     """An optimistic log of mapping changes (no SQL twin: every change depends on all before it)."""

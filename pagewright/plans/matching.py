@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pagewright.operators import mapping
 from pagewright.operators import matching as M
 from pagewright.operators import silence
 from pagewright.plans.registry import query, table
@@ -213,6 +214,19 @@ def f6_bounded_slice(spark, sf):
     return rows.join(ends, "book").filter("turn BETWEEN lo AND hi").select("book", "turn", "chars")
 
 
+@query("""WITH c AS (SELECT conv_id AS book, turn, CASE WHEN conv_id % 7 = 0 THEN 0 ELSE turn END AS id FROM conversations),
+    n AS (SELECT book, id, count(*) AS n, min(turn) AS at FROM c GROUP BY ALL), r AS (SELECT DISTINCT conv_id + (conv_id % 11 = 0)::INT * 1000000000 AS book, conv_id % 3 AS s, conv_id % 4 AS e FROM conversations)
+    SELECT r.book, CASE WHEN NOT EXISTS (SELECT 1 FROM c WHERE c.book = r.book) THEN 'empty' WHEN a.n IS NULL THEN 'missing start' WHEN a.n > 1 THEN 'duplicate start' WHEN z.n IS NULL THEN 'missing end'
+      WHEN z.n > 1 THEN 'duplicate end' WHEN z.at < a.at THEN 'reversed' END AS error FROM r LEFT JOIN n a ON a.book = r.book AND a.id = s LEFT JOIN n z ON z.book = r.book AND z.id = e""")
+def f6_slice_errors(spark, sf):
+    """Why a range of chapters cannot be taken: no chapters, boundaries that are missing or doubled, an end before the start."""
+    c = table(spark, sf, "conversations").withColumn("book", F.col("conv_id"))
+    chapters = c.select("book", "turn", F.when(F.col("book") % 7 == 0, 0).otherwise(F.col("turn")).alias("id"))
+    shifted = F.col("book") + F.when(F.col("book") % 11 == 0, 1_000_000_000).otherwise(0)
+    ranges = c.select("book").distinct().select(shifted.alias("book"), (F.col("book") % 3).alias("start"), (F.col("book") % 4).alias("end"))
+    return mapping.bounded_slice(chapters, ranges, "book", "id", "turn")[1].select("book", "error")
+
+
 @query(f"""WITH {_CHAPTERS}, {_TRACKS}, k AS (SELECT book, pos, turn, l_partkey, 'paired' AS step FROM c JOIN t USING (book, pos)),
     base AS (SELECT book, max(pos) + 1 AS base FROM c GROUP BY book),
     rest AS (SELECT book, pos, l_partkey FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.book = t.book AND c.pos = t.pos) AND book IN (SELECT book FROM c))

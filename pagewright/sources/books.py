@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,23 @@ def _entry(z: zipfile.ZipFile, name: str) -> bytes:
     return z.read(name)
 
 
+def partial_tree(xml: str) -> ET.Element:
+    """The tree of what can be read: a malformed table of contents keeps the part before its error."""
+    parser = ET.XMLPullParser(["start"])
+    root = ET.Element("nothing")
+    try:
+        parser.feed(xml)
+        parser.close()
+    except ET.ParseError:
+        pass
+    try:
+        for _, node in parser.read_events():
+            root = node if root.tag == "nothing" else root
+    except ET.ParseError:
+        pass
+    return root
+
+
 def ncx_titles(xml: str, base: str) -> dict[str, str]:
     """Titles by path; points are nested and the one that closes last wins, so a parent overrides its child."""
     out: dict[str, str] = {}
@@ -96,13 +114,13 @@ def ncx_titles(xml: str, base: str) -> dict[str, str]:
             if path and title:
                 out[path] = title
 
-    visit(ET.fromstring(xml))
+    visit(partial_tree(xml))
     return out
 
 
 def nav_titles(xml: str, base: str) -> dict[str, str]:
     """Titles by path of the table of contents (or the only list); the first of a path wins."""
-    navs = [n for n in ET.fromstring(re.sub(r"&(?!#|amp;|lt;|gt;|quot;|apos;)\w+;", " ", xml)).iter() if local(n.tag) == "nav"]
+    navs = [n for n in partial_tree(re.sub(r"&(?!#|amp;|lt;|gt;|quot;|apos;)\w+;", " ", xml)).iter() if local(n.tag) == "nav"]
     toc = [n for n in navs if any(local(k) == "type" and "toc" in v.split() for k, v in n.attrib.items())]
     out: dict[str, str] = {}
     for nav in toc[:1] or (navs if len(navs) == 1 else []):
@@ -124,7 +142,7 @@ def epub_items(path: str, data: bytes) -> Iterator[dict]:
     titles: dict[str, str] = {}
     names = set(z.namelist())
     kinds = [(ncx_titles, lambda n: n.get("media-type") == "application/x-dtbncx+xml"), (nav_titles, lambda n: "nav" in (n.get("properties") or "").split())]
-    for read, fits in kinds:  # the second overrides the first; a malformed table gives no titles
+    for read, fits in kinds:  # the second overrides the first; a malformed table gives the titles before its error
         for item in filter(fits, manifest.values()):
             at = resolved(opf_path, item.get("href", ""))
             if at in names:
@@ -279,14 +297,27 @@ def libation_candidates(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("folder", title.alias("title"), asin.alias("asin"), F.transform("_f", lambda x: x["path"]).alias("audio"), F.lit("libation").alias("source_id"))
 
 
-#: Readers of candidates by source.
-SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"calibre": calibre_candidates, "libation": libation_candidates}
+def manual_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Files picked by hand: the audio files of one folder are one candidate, titled by the first one's name; none without any."""
+    rows = audio_files(spark, path).groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("sort_key", "path"))).alias("_f"))  # one folder's files
+    return rows.select("folder", stem(F.col("_f")[0]["path"]).alias("title"), F.transform("_f", lambda x: x["path"]).alias("audio"), F.lit("manual").alias("source_id"))
+
+
+#: Readers of candidates by source, in the order in which they are asked.
+SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"manual": manual_candidates, "calibre": calibre_candidates, "libation": libation_candidates}
 
 
 def scan(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """Candidates of all sources; ``roots`` names the folder of each."""
-    frames = [SOURCES[k](spark, root) for k, root in roots.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    """Candidates of all sources; ``roots`` names the folder of each. A source whose folder cannot be read, or that is not
+    known, gives one row with its error, and the others go on; error is null for candidates."""
+    schema = "source_id string, error string"
+    out = spark.createDataFrame([], schema)
+    for name, root in sorted(roots.items(), key=lambda kv: list(SOURCES).index(kv[0]) if kv[0] in SOURCES else len(SOURCES)):
+        try:
+            found = SOURCES[name](spark, root) if name in SOURCES else None
+            failed = None if found is not None else "unknown source"
+        except AnalysisException as e:
+            failed = e.getCondition() or str(e)
+        rows = spark.createDataFrame([(name, failed)], schema) if failed else found.withColumn("error", F.lit(None).cast("string"))
+        out = out.unionByName(rows, allowMissingColumns=True)
     return out

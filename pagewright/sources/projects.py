@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 SCHEMA = """schema_version int, join_key string, title string, language string, authors array<string>, cursor long, confirmed_at timestamp,
     receipts array<struct<chapter_index: long, track_index: long, lesson_id: long, degraded: boolean, uploaded_at: timestamp>>,
-    skipped array<long>, cover_use boolean, updated_at timestamp, _corrupt string"""
+    skipped array<long>, cover_use boolean, updated_at timestamp, completed_lesson_ids array<long>, cover_path string,
+    series struct<name: string, position: double>, collection_id long, last_activity_at timestamp,
+    matcher_decision struct<condition: string, response: string>, sources struct<audio: struct<kind: string, paths: array<string>>,
+    chapter_manifest: struct<chapters: array<struct<title: string>>>>, _corrupt string"""
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +26,22 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
+def summaries(projects: DataFrame) -> DataFrame:
+    """One row per project that can be read, for lists: counts for what is long, flags for what is there.
+
+    A project without receipts has no degraded one; without a manifest its length is null; a null list has no members.
+    """
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).alias
+    last = F.try_element_at("receipts", F.lit(-1))["degraded"]
+    return projects.filter("health = 'ok'").select(
+        F.col("join_key").alias("project"), "title", "language", size("receipts")("receipt_count"), size("completed_lesson_ids")("completed_lesson_count"), "cover_path",
+        F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "series", "collection_id", "last_activity_at", "cursor",
+        F.col("matcher_decision").isNotNull().alias("has_matcher_decision"), F.col("sources.audio").isNotNull().alias("has_audio_source"),
+        F.coalesce(last, F.lit(False)).alias("last_receipt_degraded"),
+        F.when(F.col("sources.chapter_manifest").isNotNull(), F.size("sources.chapter_manifest.chapters")).alias("chapter_manifest_len"), "confirmed_at",
+    )
+
+
 def upserted(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """The table after the changes: the latest row of every key; a change among equals wins."""
     both = current.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)), allowMissingColumns=True)

@@ -1,3 +1,4 @@
+import datetime
 import io
 import random
 import struct
@@ -7,7 +8,7 @@ import zipfile
 import numpy as np
 import pytest
 from pagewright.functions import identity, text as T
-from pagewright.operators import alignment, events, library, matching
+from pagewright.operators import alignment, events, library, mapping, matching
 from pagewright.sources import books, projects
 from pagewright.streaming import jobs
 from pyspark.sql import GroupedData, functions as F
@@ -347,3 +348,57 @@ def test_plans_of_odd_mappings(spark):
     assert sorted((r.book, r.chapter_index, r.track, r.degraded, r.body) for r in steps) == [
         (1, 0, 0, False, "\n\ntext 1"), (1, 4, 1, False, "text 4"), (1, 7, 2, True, " "),
     ]
+
+
+def test_slices_and_their_errors(spark):
+    chapters = spark.createDataFrame([(b, i, f"c{i}") for b in (1, 2, 3) for i in range(4)] + [(2, 9, "c1")], "book int, pos long, id string")
+    ranges = [(1, "c1", "c2"), (2, "c0", "c1"), (3, "c2", "c1"), (4, "c0", "c0"), (3, "x", "c1"), (1, "c0", None)]
+    kept, errors = mapping.bounded_slice(chapters, spark.createDataFrame(ranges, "book int, start string, end string"), "book", "id", "pos")
+    assert [(r.book, r.pos) for r in kept.orderBy("pos").collect()] == [(1, 1), (1, 2)]
+    want = {(1, "c1"): None, (2, "c0"): "duplicate end", (3, "c2"): "reversed", (4, "c0"): "empty", (3, "x"): "missing start", (1, "c0"): "missing end"}
+    assert {(r.book, r.start): r.error for r in errors.collect()} == want
+
+
+def test_batches_end_after_the_longest_wait(spark):
+    at = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=k)
+    rows = [(1, at(k)) for k in (0, 200, 400, 600, 800, 2000)] + [(2, at(0)), (2, at(0)), (None, at(5)), (3, None)]
+    half = datetime.timedelta(milliseconds=500)
+    found = events.debounced(spark.createDataFrame(rows, "book int, ts timestamp"), "book", "ts", half, half).collect()
+    assert sorted((r.book or 0, r.opened, r.changes) for r in found) == [(0, at(5), 1), (1, at(0), 3), (1, at(600), 2), (1, at(2000), 1), (2, at(0), 2)]
+
+
+def test_mapping_logs_of_odd_operations(spark):
+    ops = [(None, 1, 1, "park", 0, None), (1, 1, None, "park", 0, 0), (1, 2, 1, "reassign", 0, None), (1, 3, 1, None, 0, 1), (1, 4, 1, "swap", 0, None)]
+    df = spark.createDataFrame(ops, "book int, seq long, expected long, kind string, chapter long, track long")
+    found = {(r.book, r.seq): r.error for r in events.mapping_log(df, "book", 2).collect()}
+    assert found == {(None, 1): None, (1, 1): "stale", (1, 2): "unknown track", (1, 3): "unknown operation", (1, 4): "unknown chapter"}
+    assert events.mapping_log(df.limit(0), "book", 2).count() == 0
+
+
+def test_malformed_tables_of_contents_keep_what_was_read():
+    cut = NCX.replace("</navPoint></navMap></ncx>", "<navPoint><navLabel><text>Lost</navPoint>")
+    assert books.ncx_titles(cut, "OPS/toc.ncx")["OPS/a b.xhtml"] == "Part One"
+    assert books.ncx_titles("", "x") == {} and books.nav_titles("<a", "x") == {}
+
+
+def test_a_failing_source_does_not_stop_the_scan(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("b10.mp3", "b9.mp3"):
+        (tmp_path / "a" / name).write_bytes(b"x")
+    rows = books.scan(spark, {"libation": str(tmp_path / "none"), "other": "x", "manual": str(tmp_path)}).collect()
+    found = {r.source_id: r for r in rows}
+    assert len(rows) == 3 and found["manual"].title == "b9" and found["manual"].error is None
+    assert found["libation"].error == "PATH_NOT_FOUND" and found["other"].error == "unknown source"
+
+
+def test_summaries(spark, tmp_path):
+    for name, text in {
+        "a": '{"join_key": "k", "title": "T", "receipts": [{"chapter_index": 0, "degraded": true}, {"chapter_index": 1}], "completed_lesson_ids": [7], "authors": ["Ann"], '
+        '"matcher_decision": {"response": "pair_drop"}, "sources": {"audio": {"kind": "single"}, "chapter_manifest": {"chapters": [{"title": "x"}, {}]}}}',
+        "b": '{"join_key": "l", "receipts": [{"chapter_index": 0, "degraded": true}], "sources": {}}', "c": '{"join_key"',
+    }.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    rows = {r.project: r for r in projects.summaries(projects.read_projects(spark, str(tmp_path))).collect()}
+    assert set(rows) == {"k", "l"} and len(rows["k"]) == 16
+    shown = ("receipt_count", "completed_lesson_count", "has_matcher_decision", "has_audio_source", "last_receipt_degraded", "chapter_manifest_len")
+    assert [tuple(rows[k][c] for c in shown) for k in "kl"] == [(2, 1, True, True, False, 2), (1, 0, False, False, True, None)]
