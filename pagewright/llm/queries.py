@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.alignment import aligned
 from pagewright.llm.exact_dedup import exact_dedup
 from pagewright.llm.fingerprints import edited_fingerprints
 from pagewright.llm.language_id import language_id
@@ -13,6 +14,8 @@ from pagewright.llm.lm_scoring import lm_scores
 from pagewright.llm.mixing import mix, taken_words
 from pagewright.llm.near_join import near_join
 from pagewright.llm.packing import pack
+from pagewright.llm.resampling import drawn, importance
+from pagewright.llm.secrets import found_secrets, listed
 from pagewright.llm.sharding import shard_by_bytes
 from pagewright.llm.shared import documents
 from pagewright.llm.tokenfiles import read_token_files, token_folder, write_token_files
@@ -64,6 +67,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the secrets of every document."""
+    found = found_secrets(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("found", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda x: x.kind != "literal")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("found").alias("spans"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document; the target is the benchmark."""
+    return drawn(importance(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the byte-level ids and the pieces of every document line up."""
+    by_document, _ = aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return by_document
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_files": op2_token_files,
@@ -75,6 +97,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_sharding": op10_sharding,
+    "op11_secret_scans": op11_secret_scans,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL = {
@@ -85,4 +110,39 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    # a checksum by its table of 256 steps, once for each distinct feature
+    "op12_importance_resampling": r"""
+        WITH steps AS (
+            SELECT list(c ORDER BY i) AS step
+            FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+                  FROM range(256) r(i))),
+        words AS (
+            SELECT kind, place, doc_id, unnest(word) AS w, generate_subscripts(word, 1) AS k
+            FROM (SELECT kind, place, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS word
+                  FROM (SELECT 'd' AS kind, row_number() OVER () AS place, doc_id, text FROM documents
+                        UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark))),
+        features AS (
+            SELECT kind, place, w AS f FROM words
+            UNION ALL
+            SELECT kind, place, w || ' ' || following
+            FROM (SELECT kind, place, w, lead(w) OVER (PARTITION BY kind, place ORDER BY k) AS following FROM words) WHERE following IS NOT NULL),
+        buckets AS (
+            SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen(f)),
+                       lambda i: ('0x' || substr(hex(encode(f)), 2 * i::INT + 1, 2))::BIGINT)),
+                       lambda c, b: xor(c // 256, step[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT f FROM features), steps),
+        counts AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM features JOIN buckets USING (f) GROUP BY bucket),
+        gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM counts),
+        weights AS (
+            SELECT place, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+            FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY place),
+        scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM (SELECT row_number() OVER () AS place, doc_id FROM documents) LEFT JOIN weights USING (place)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 39 ORDER BY score DESC, doc_id) AS rank, count(*) FILTER (n_features >= 39) OVER () AS n FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 39 AND rank <= 25 * n // 100 THEN rank END AS rank FROM ranked""",
 }
