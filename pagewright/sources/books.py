@@ -10,7 +10,6 @@ import io
 import json
 import posixpath
 import re
-import struct
 import urllib.parse
 import wave
 import xml.etree.ElementTree as ET
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import extension, natural_key, stem
+from pagewright.sources import sound
 
 AUDIO = ("m4b", "m4a", "mp3", "flac", "ogg", "wav", "aac")
 #: Most bytes of one entry of a package.
@@ -207,49 +207,14 @@ def sidecar_chapters(spark: SparkSession, path: str) -> DataFrame:
     return decoded(files(spark, path, "*.json"), sidecar_rows, "path string, pos long, title string, start double, end double, error string")
 
 
-def _boxes(data: bytes, begin: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(kind, begin, end) of the boxes in a span."""
-    while begin + 8 <= end:
-        size, kind = struct.unpack_from(">I4s", data, begin)
-        head = 8
-        if size == 1:
-            size, head = struct.unpack_from(">Q", data, begin + 8)[0], 16
-        size = size or end - begin
-        if size < head or begin + size > end:
-            raise ValueError("a box reaches past its parent")
-        yield kind, begin + head, begin + size
-        begin += size
-
-
-def _inside(data: bytes, span: tuple[int, int], *kinds: bytes) -> tuple[int, int] | None:
-    for kind in kinds:
-        span = next(((b, e) for k, b, e in _boxes(data, *span) if k == kind), None)
-        if span is None:
-            return None
-    return span
-
-
-def nero_chapters(path: str, data: bytes) -> Iterator[dict]:
-    """Chapters of the chpl box: starts in units of 100 ns, ends where the next one starts."""
-    box = _inside(data, (0, len(data)), b"moov", b"udta", b"chpl")
-    if box is None:
-        return
-    mvhd = _inside(data, (0, len(data)), b"moov", b"mvhd")
-    wide = data[mvhd[0]] == 1
-    scale, length = struct.unpack_from(">IQ" if wide else ">II", data, mvhd[0] + (20 if wide else 12))
-    at = box[0] + (9 if data[box[0]] == 1 else 5)
-    count, found = data[at - 1], []
-    for _ in range(count):
-        start, n = struct.unpack_from(">QB", data, at)
-        found.append((start / 1e7, data[at + 9 : at + 9 + n].decode("utf-8", "replace")))
-        at += 9 + n
-    ends = [s for s, _ in found[1:]] + [length / scale if scale else 0.0]
-    for pos, ((start, title), end) in enumerate(zip(found, ends, strict=True)):
-        yield {"pos": pos, "title": title or None, "start": start, "end": end, "error": None}
+def mp4_chapters(spark: SparkSession, path: str) -> DataFrame:
+    """Chapters of all m4a and m4b files below a folder; see ``sound``."""
+    return sound.mp4_chapters(files(spark, path, "*.m4[ab]").select("path", "length"))
 
 
-def mp4_chapters(spark: SparkSession, path: str) -> DataFrame:
-    return decoded(files(spark, path, "*.m4[ab]"), nero_chapters, "path string, pos long, title string, start double, end double, error string")
+def durations(spark: SparkSession, path: str) -> DataFrame:
+    """Durations of all sound files below a folder, by their headers."""
+    return sound.durations(audio_files(spark, path).select("path", "length"))
 
 
 def wav_windows(path: str, data: bytes, window_ms: int = 30) -> Iterator[dict]:
