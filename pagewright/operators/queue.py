@@ -79,11 +79,38 @@ def sample_windows(start: Column, end: Column, skip: float = 5.0, target: float
 
 
 def bounds(start: Column, end: Column, probed: Column, declared: Column) -> Column:
-    """(from, to) of a track in its file: the probed duration, else the declared one; an empty window is the whole file."""
-    good = lambda c: F.when((c > 0) & (c < float("inf")), c)
+    """(from, to) of a track in its file: the probed duration, else the declared one; an empty window is the whole file.
+
+    Null where no duration is known or the window's ends are no numbers.
+    """
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    good = lambda c: F.when(finite(c) & (c > 0), c)
     whole = F.coalesce(good(probed), good(declared))
     a, b = F.greatest(F.coalesce(start, F.lit(0.0)), F.lit(0.0)), F.least(F.coalesce(end, whole), whole)
-    return F.when(whole.isNotNull(), F.when(b <= a, F.struct(F.lit(0.0).alias("from"), whole.alias("to"))).otherwise(F.struct(a.alias("from"), b.alias("to"))))
+    usable = whole.isNotNull() & F.coalesce(finite(start), F.lit(True)) & F.coalesce(finite(end), F.lit(True))
+    return F.when(usable, F.when(b <= a, F.struct(F.lit(0.0).alias("from"), whole.alias("to"))).otherwise(F.struct(a.alias("from"), b.alias("to"))))
+
+
+def sample_plans(tracks: DataFrame, book: str, order: list[str], path: str, skip: float = 5.0, target: float = 30.0, least: float = 10.0) -> DataFrame:
+    """One row a book: windows of its first track's head and its last track's tail, or why there are none.
+
+    ``tracks`` has start, end (a window in the file, or null), probed and declared seconds besides the columns named. A book of one track, or whose
+    first and last are the same whole file, is split at its middle, so that both sides never hear the same sound; it needs twice
+    the least sound. A side without sound enough refuses the book; a retry is only left out.
+    """
+    own = F.struct(F.col(path).alias("path"), "start", "end", bounds(F.col("start"), F.col("end"), F.col("probed"), F.col("declared")).alias("b"))
+    rows = tracks.groupBy(book).agg(F.count("*").alias("_n"), F.min_by(own, F.struct(*order)).alias("_h"), F.max_by(own, F.struct(*order)).alias("_t"))
+    h, t = F.col("_h"), F.col("_t")
+    whole = h["start"].isNull() & h["end"].isNull() & t["start"].isNull() & t["end"].isNull()
+    alone = (F.col("_n") == 1) | (F.coalesce(h["path"] == t["path"], F.lit(False)) & whole)
+    a, b = h["b"]["from"], h["b"]["to"]
+    middle = F.when(alone & (b - a - 2 * skip >= 2 * least), (a + b) / 2)
+    edge = F.struct(F.when(alone, middle).otherwise(t["b"]["from"]).alias("from"), F.when(alone, b).otherwise(t["b"]["to"]).alias("to"))
+    rows = rows.withColumns({"_head": F.struct(a.alias("from"), F.when(alone, middle).otherwise(b).alias("to")), "_tail": edge})
+    head, tail = sample_windows(F.col("_head.from"), F.col("_head.to"), skip, target, least), sample_windows(F.col("_tail.from"), F.col("_tail.to"), skip, target, least)
+    fine = head["head"].isNotNull() & tail["tail"].isNotNull() & (~alone | middle.isNotNull())
+    sides = {"head": head["head"], "head_retry": head["head_retry"], "tail": tail["tail"], "tail_retry": tail["tail_retry"]}
+    return rows.select(book, *[F.when(fine, w).alias(n) for n, w in sides.items()], F.when(~fine, "insufficient audio").alias("error"))
 
 
 def preview_error(confidence: Column, source: Column, provider: Column, head: Column, tail: Column) -> Column:
@@ -108,6 +135,7 @@ def vendor(kobo_most: Column, kobo_total: Column, kobo_files: Column, kindle: Co
     return kind, sure
 
 
+#: Fixed values here and in vendor(): marker names, thresholds and formulas of confidence.
 def marker_counts(body: Column) -> tuple[Column, Column]:
     """(Kobo, Kindle) markers of a file, its comments left out."""
     text = F.lower(F.regexp_replace(body, r"(?s)<!--.*?-->", ""))
@@ -129,9 +157,31 @@ def cover_name(mime: Column) -> Column:
 
 
 def trash_slots(trashed: DataFrame, slug: str, at: str) -> DataFrame:
-    """Adds slot: slug and time, with -2, -3 ... for further ones of the same second."""
-    n = F.row_number().over(Window.partitionBy(slug, at).orderBy("seq"))
-    return trashed.withColumn("slot", F.concat(slug, F.lit("-"), F.col(at).cast("string"), F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise("")))
+    """Adds slot: slug and time, with -1, -2 ... for further ones of the same second."""
+    n = F.row_number().over(Window.partitionBy(slug, at).orderBy("seq")) - 1
+    return trashed.withColumn("slot", F.concat(slug, F.lit("-"), F.col(at).cast("string"), F.when(n > 0, F.concat(F.lit("-"), n.cast("string"))).otherwise("")))
+
+
+def trash_requests(requests: DataFrame, trashed: DataFrame, live: DataFrame, slug: str) -> DataFrame:
+    """Answers to (seq, action, slot): restored, purged, not found, or conflict where the project's place is taken.
+
+    A slot's requests are answered in the order of seq, its first that succeeds takes it away; of several slots of one project that are
+    restored the first takes the place, the others are conflicts.
+    """
+    held = requests.join(trashed.select("slot", slug), "slot", "left").join(live.select(slug).distinct().withColumn("_live", F.lit(True)), slug, "left")
+    known, taken = F.col(slug).isNotNull(), F.col("_live").isNotNull()
+    own, place = Window.partitionBy("slot").orderBy("seq"), Window.partitionBy(slug).orderBy("seq")
+    before = lambda c, w: F.coalesce(F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    # a purge, or a restore to a free place, takes the slot away; a first restore takes the place
+    purged = before(known & (F.col("action") == "purge"), own)
+    tries = held.withColumn("_may", known & ~taken & (F.col("action") == "restore") & ~purged)
+    first = tries.withColumn("_placed", before("_may", place))
+    done = first.withColumn("_gone", purged | before(F.col("_may") & ~F.col("_placed"), own))
+    answer = (
+        F.when(~known | F.col("_gone"), "not found").when(F.col("action") == "purge", "purged")
+        .when(F.col("_may") & ~F.col("_placed"), "restored").otherwise("conflict")
+    )
+    return done.select("seq", "action", "slot", answer.alias("answer"))
 
 
 def restorable(trashed: DataFrame, live: DataFrame, slug: str) -> DataFrame:

@@ -190,6 +190,28 @@ def w10_sample_windows(spark, sf):
     return rows.select(*keys, w["head"]["to"].alias("head_to"), w["head_retry"]["from"].alias("retry_from"), w["tail"]["from"].alias("tail_from"), w["tail_retry"]["from"].alias("tail_retry_from"))
 
 
+@query("""WITH t AS (SELECT l_orderkey AS book, (l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, l_suppkey % 4 AS path, CASE WHEN l_partkey % 5 = 0 THEN l_quantity END AS s, CASE WHEN l_partkey % 5 = 0 THEN 3 * l_quantity - 9 END AS e,
+      CASE WHEN l_partkey % 7 > 0 THEN 3 * l_quantity ELSE 60.0 END AS d FROM lineitem),
+    v AS (SELECT *, CASE WHEN least(coalesce(e, d), d) <= coalesce(s, 0) THEN 0 ELSE coalesce(s, 0) END AS a, CASE WHEN least(coalesce(e, d), d) <= coalesce(s, 0) THEN d ELSE least(coalesce(e, d), d) END AS z FROM t),
+    g AS (SELECT book, count(*) AS k, arg_min({'p': path, 's': s, 'a': a, 'z': z}, n) AS h, arg_max({'p': path, 's': s, 'a': a, 'z': z}, n) AS l FROM v GROUP BY book),
+    o AS (SELECT *, k = 1 OR (h.p = l.p AND h.s IS NULL AND l.s IS NULL) AS alone FROM g),
+    m AS (SELECT *, CASE WHEN alone AND h.z - h.a >= 30 THEN (h.a + h.z) / 2 END AS middle FROM o),
+    c AS (SELECT book, h.a AS ha, CASE WHEN alone THEN middle ELSE h.z END AS hz, CASE WHEN alone THEN middle ELSE l.a END AS ta, CASE WHEN alone THEN h.z ELSE l.z END AS tz FROM m),
+    f AS (SELECT *, coalesce(least(ha + 35, hz) - (ha + 5) >= 10 AND (tz - 5) - greatest(ta, tz - 35) >= 10, false) AND hz IS NOT NULL AND ta IS NOT NULL AS fine FROM c)
+    SELECT book, CASE WHEN fine THEN ha + 5 END AS head_from, CASE WHEN fine THEN least(ha + 35, hz) END AS head_to, CASE WHEN fine AND least(ha + 65, hz) - (ha + 35) >= 10 THEN least(ha + 65, hz) END AS head_retry_to,
+      CASE WHEN fine THEN greatest(ta, tz - 35) END AS tail_from, CASE WHEN fine AND (tz - 35) - greatest(ta, tz - 65) >= 10 THEN greatest(ta, tz - 65) END AS tail_retry_from,
+      CASE WHEN NOT fine THEN 'insufficient audio' END AS error FROM f""")
+def w10_sample_plans(spark, sf):
+    """Sample windows of every book: head of its first track, tail of its last, a single file split at its middle."""
+    cut, q = F.col("l_partkey") % 5 == 0, F.col("l_quantity")
+    tracks = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("book"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.col("l_suppkey") % 4).alias("path"), F.when(cut, q).alias("start"), F.when(cut, 3 * q - 9).alias("end"),
+        F.when(F.col("l_partkey") % 7 > 0, 3 * q).otherwise(0.0).alias("probed"), F.lit(60.0).alias("declared"),
+    )
+    plans = Q.sample_plans(tracks, "book", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "path")
+    return plans.select("book", F.col("head.from").alias("head_from"), F.col("head.to").alias("head_to"), F.col("head_retry.to").alias("head_retry_to"), F.col("tail.from").alias("tail_from"), F.col("tail_retry.from").alias("tail_retry_from"), "error")
+
+
 @query("""WITH d AS (SELECT doc_id, n_chars / 1000.0 AS confidence, CASE WHEN doc_id % 2 = 0 THEN 'title' ELSE 'transcript' END AS source, CASE WHEN doc_id % 3 = 0 THEN 'x' END AS provider, substr(text, 1, 300) AS head FROM documents)
     SELECT doc_id, CASE WHEN confidence IS NULL OR confidence < 0 OR confidence > 1 THEN 'confidence' WHEN NOT coalesce((source = 'title' AND provider IS NULL) OR (source = 'transcript' AND provider IS NOT NULL), false) THEN 'provider'
       WHEN length(head) > 240 THEN 'preview' END AS error FROM d""")
@@ -251,7 +273,7 @@ def j23_k7_covers(spark, sf):
 
 
 @query("""WITH t AS (SELECT o_custkey AS slug, o_orderdate::DATE AS day, o_orderkey AS seq FROM orders WHERE o_orderstatus = 'F')
-    SELECT slug, seq, slug || '-' || strftime(day, '%Y-%m-%d') || CASE WHEN row_number() OVER w > 1 THEN '-' || row_number() OVER w ELSE '' END AS slot,
+    SELECT slug, seq, slug || '-' || strftime(day, '%Y-%m-%d') || CASE WHEN row_number() OVER w > 1 THEN '-' || (row_number() OVER w - 1) ELSE '' END AS slot,
       slug NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS restorable FROM t WINDOW w AS (PARTITION BY slug, day ORDER BY seq)""")
 def k4_s21_trash(spark, sf):
     """Slots of trashed projects, and whether they can come back."""
@@ -312,6 +334,26 @@ def a16_top1_recall(spark, sf):
 
 
 @query(f"WITH {_PROJECTS} SELECT segment, status, count(*) AS projects, max(activity) AS last_activity FROM s GROUP BY ALL")
-def a17_health_counts(spark, sf):
+def a8_shelf_statuses(spark, sf):
     """Projects by shelf and status, with their last activity."""
     return with_status(spark, sf).groupBy("segment", "status").agg(F.count("*").alias("projects"), F.max("activity").alias("last_activity"))
+
+
+_TRASHED = """t AS (SELECT o_custkey AS slug, o_orderkey AS seq, o_custkey || '-' || o_orderkey AS slot FROM orders WHERE o_orderstatus = 'F'),
+    q AS (SELECT o_orderkey * 2 + k AS seq, CASE WHEN (o_orderkey + k) % 3 = 0 THEN 'purge' ELSE 'restore' END AS action, o_custkey || '-' || o_orderkey AS slot FROM orders, (SELECT unnest([0, 1]) AS k) WHERE o_orderkey % 2 = 0),
+    h AS (SELECT q.*, slug, slug IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS taken FROM q LEFT JOIN t USING (slot)),
+    a AS (SELECT *, slug IS NOT NULL AND NOT taken AND action = 'restore' AND NOT coalesce(bool_or(slug IS NOT NULL AND action = 'purge') OVER w, false) AS may, coalesce(bool_or(slug IS NOT NULL AND action = 'purge') OVER w, false) AS purged
+          FROM h WINDOW w AS (PARTITION BY slot ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    b AS (SELECT *, coalesce(bool_or(may) OVER (PARTITION BY slug ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS placed FROM a),
+    c AS (SELECT *, purged OR coalesce(bool_or(may AND NOT placed) OVER (PARTITION BY slot ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM b)"""
+
+
+@query(f"""WITH {_TRASHED} SELECT seq, action, slot, CASE WHEN slug IS NULL OR gone THEN 'not found' WHEN action = 'purge' THEN 'purged' WHEN may AND NOT placed THEN 'restored' ELSE 'conflict' END AS answer FROM c""")
+def k4_trash_requests(spark, sf):
+    """What restoring and purging trashed projects comes to, in turn."""
+    orders, slot = table(spark, sf, "orders"), F.concat(F.col("o_custkey").cast("string"), F.lit("-"), F.col("o_orderkey").cast("string"))
+    trashed = orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("slug"), slot.alias("slot"))
+    asked = orders.filter("o_orderkey % 2 = 0").select("o_orderkey", slot.alias("slot"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    asked = asked.select((F.col("o_orderkey") * 2 + F.col("k")).alias("seq"), F.when((F.col("o_orderkey") + F.col("k")) % 3 == 0, "purge").otherwise("restore").alias("action"), "slot")
+    live = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("slug"))
+    return Q.trash_requests(asked, trashed, live, "slug")

@@ -12,6 +12,8 @@ def query(sql: str | None = None):
     """Register the function under its name, with its SQL twin if there is one."""
 
     def register(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
