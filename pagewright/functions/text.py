@@ -117,18 +117,52 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def longest_common_length(a: str, b: str) -> int:
-    """Length of the longest common substring, by doubling hashes of substrings over binary search."""
+    """Length of the longest common substring: the longer text read once against the suffix automaton of the shorter one.
+
+    Time and memory follow the sum of the lengths.
+    """
     if len(a) > len(b):
         a, b = b, a
-    low, high = 0, len(a)
-    while low < high:
-        mid = (low + high + 1) // 2
-        have = {a[i : i + mid] for i in range(len(a) - mid + 1)}
-        if any(b[i : i + mid] in have for i in range(len(b) - mid + 1)):
-            low = mid
+    if a in b:
+        return len(a)
+    # a state stands for the substrings that end at the same places: its steps, its longest length, and the state of its next shorter suffix
+    steps: list[dict[str, int]] = [{}]
+    length, shorter, last = [0], [-1], 0
+    for c in a:
+        new, at = len(steps), last
+        steps.append({})
+        length.append(length[last] + 1)
+        shorter.append(0)
+        while at >= 0 and c not in steps[at]:
+            steps[at][c] = new
+            at = shorter[at]
+        if at >= 0:
+            to = steps[at][c]
+            if length[to] == length[at] + 1:
+                shorter[new] = to
+            else:  # part the state: what is reached from here ends at more places
+                own = len(steps)
+                steps.append(dict(steps[to]))
+                length.append(length[at] + 1)
+                shorter.append(shorter[to])
+                while at >= 0 and steps[at].get(c) == to:
+                    steps[at][c] = own
+                    at = shorter[at]
+                shorter[to] = shorter[new] = own
+        last = new
+    best = at = held = 0
+    for c in b:
+        while at and c not in steps[at]:
+            at = shorter[at]
+            held = length[at]
+        to = steps[at].get(c)
+        if to is None:
+            held = 0
         else:
-            high = mid - 1
-    return low
+            at, held = to, held + 1
+            if held > best:
+                best = held
+    return best
 
 
 @F.pandas_udf(IntegerType())

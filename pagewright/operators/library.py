@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import edit_similarity, normal_form
+from pagewright.functions.text import normal_form
+from pagewright.operators.similarity import similar_texts
 
 STATUS_ORDER = ("running", "needs_match", "failed", "paused", "idle", "done")
 
@@ -51,22 +52,9 @@ def library_order(rank: Column, activity: Column, title: Column, done: Column) -
 def title_conflicts(new: DataFrame, old: DataFrame, least: float = 0.85) -> DataFrame:
     """(title, near, similarity): the most similar other existing title of each new one, the first in order among equals.
 
-    Titles that few edits part share one of as many pieces of the existing title, and one more, unchanged and hardly
-    moved. So titles are joined by (length, piece's number, piece), never all against all.
+    Titles are met by shared pieces, never all against all (``similar_texts``).
     """
-    edits = F.floor(F.col("_m") * ((1 - least) / least) + 1e-9).cast("int")  # that leave an existing title of length _m similar enough
-    cut = lambda i: F.expr(f"(({i}) * _m) div (_e + 1)")
-    o = old.select(F.col("title").alias("near"), F.lower("title").alias("_t"), F.length("title").alias("_m"), "pos").withColumn("_e", edits)
-    o = o.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_e")))).withColumn("_piece", F.substring(F.col("_t"), cut("_i") + 1, cut("_i + 1") - cut("_i")))
-    reach = F.sequence(F.ceil(F.col("_l") * least - 1e-9).cast("int"), F.floor(F.col("_l") / least + 1e-9).cast("int"))
-    n = new.select("title", F.lower("title").alias("_t"), F.length("title").alias("_l")).withColumn("_m", F.explode(reach)).withColumn("_e", edits)
-    n = n.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_e"))))
-    moved = F.sequence(F.greatest(F.lit(0), cut("_i") - F.col("_e")), F.least(F.col("_l"), cut("_i") + F.col("_e")))
-    n = n.withColumn("_at", F.explode(moved)).withColumn("_piece", F.substring(F.col("_t"), F.col("_at") + 1, cut("_i + 1") - cut("_i")))
-    pairs = n.select("title", "_m", "_i", "_piece").distinct().join(o.select("near", "pos", "_m", "_i", "_piece"), ["_m", "_i", "_piece"])
-    pairs = pairs.filter("title <> near").select("title", "near", "pos").distinct()
-    scored = pairs.withColumn("similarity", edit_similarity(F.col("title"), F.col("near"))).filter(F.col("similarity") >= least)
-    return freshest(scored, ["title"], [F.desc("similarity"), "pos"]).select("title", "near", "similarity")
+    return freshest(similar_texts(new, old, least), ["title"], [F.desc("similarity"), "pos"]).select("title", "near", "similarity")
 
 
 def candidate_groups(df: DataFrame, partition: str, position: str, keys: list[str]) -> DataFrame:

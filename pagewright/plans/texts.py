@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import identity
 from pagewright.functions import text as T
-from pagewright.operators import alignment, detection, library
+from pagewright.operators import alignment, detection, library, similarity
 from pagewright.plans.registry import query, table
 
 
@@ -98,31 +98,35 @@ def a9_vendor_markers(spark, sf):
     )
 
 
-_NAMES = "n AS (SELECT DISTINCT p_name AS t, split_part(p_name, ' ', 2) AS noun FROM part), q AS (SELECT a.t AS a, b.t AS b FROM n a JOIN n b ON a.noun = b.noun AND a.t < b.t)"
+_NAMES = "n AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS t FROM part), q AS (SELECT a.t AS a, b.t AS b FROM n a JOIN n b ON a.t < b.t)"
 
 
-def name_pairs(spark, sf):
-    n = table(spark, sf, "part").select(F.col("p_name").alias("t"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun")).distinct()
-    return n.select(F.col("t").alias("a"), "noun").join(n.select(F.col("t").alias("b"), "noun"), "noun").filter("a < b").select("a", "b")
+def names(spark, sf):
+    return table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t")).distinct()
 
 
-@query(f"""WITH {_NAMES}, s AS (SELECT a, b, replace(lower(a), ' ', '') AS x, replace(lower(b), ' ', '') AS y FROM q),
-    g AS (SELECT *, list_distinct(list_transform(range(1, len(x)), lambda i: substr(x, i, 2))) AS gx, list_distinct(list_transform(range(1, len(y)), lambda i: substr(y, i, 2))) AS gy FROM s)
-    SELECT a, b, round(2.0 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)), 9) AS dice FROM g""")
+@query(f"""WITH {_NAMES}, x AS (SELECT t, list_distinct(list_transform(range(1, len(x)), lambda i: substr(x, i, 2))) AS g FROM (SELECT t, replace(lower(t), ' ', '') AS x FROM n)),
+    s AS (SELECT a, b, 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS dice FROM q JOIN x ON x.t = a JOIN x y ON y.t = b) SELECT a, b, round(dice, 9) AS dice FROM s WHERE dice >= 0.85 - 1e-12""")
 def c6_dice(spark, sf):
-    """Bigram similarity of part names with the same noun."""
-    return name_pairs(spark, sf).select("a", "b", F.round(T.dice(T.squashed(F.col("a")), T.squashed(F.col("b"))), 9).alias("dice"))
+    """All names alike by their pairs of letters."""
+    found = similarity.similar_sets(names(spark, sf), "t", T.bigrams(T.squashed(F.col("t"))), 0.85, "dice")
+    return found.select("a", "b", F.round("similarity", 9).alias("dice"))
 
 
-@query(f"WITH {_NAMES} SELECT a, b, round(1 - levenshtein(lower(a), lower(b))::DOUBLE / greatest(length(a), length(b)), 9) AS similarity FROM q")
+@query(f"WITH {_NAMES}, s AS (SELECT a, b, 1 - levenshtein(lower(a), lower(b))::DOUBLE / greatest(length(a), length(b)) AS similarity FROM q) SELECT a, b, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.85")
 def c12_edit_similarity(spark, sf):
-    return name_pairs(spark, sf).select("a", "b", F.round(T.edit_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
+    """All names that few edits part."""
+    own = names(spark, sf).select(F.col("t").alias("title"), F.lit(0).alias("pos"))
+    found = similarity.similar_texts(own.select("title"), own, 0.85).filter("title < near")
+    return found.select(F.col("title").alias("a"), F.col("near").alias("b"), F.round("similarity", 9).alias("similarity"))
 
 
-@query(f"""WITH {_NAMES} SELECT a, b, round(len(list_intersect(string_split(a, ' '), string_split(b, ' ')))::DOUBLE
-      / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 9) AS jaccard FROM q""")
+@query(f"""WITH {_NAMES}, s AS (SELECT a, b, len(list_intersect(string_split(a, ' '), string_split(b, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS jaccard FROM q)
+    SELECT a, b, round(jaccard, 9) AS jaccard FROM s WHERE jaccard >= 0.6""")
 def u5_token_jaccard(spark, sf):
-    return name_pairs(spark, sf).select("a", "b", F.round(T.token_jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
+    """All names alike by their words."""
+    found = similarity.similar_sets(names(spark, sf), "t", F.split("t", " "), 0.6)
+    return found.select("a", "b", F.round("similarity", 9).alias("jaccard"))
 
 
 @query("""WITH n AS (SELECT p_name || ' ' || (p_size % 12) AS title, min(p_partkey) AS pos FROM part GROUP BY 1),
