@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -192,14 +193,13 @@ def _bounds(ids: DataFrame, ranges: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4000) -> DataFrame:
+def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     n = ids.count()
-    # beyond 200 ranges they may be ten times as large, so that what is broadcast stays small
-    ranges = max(1, min(-(-n // rows_per_range), 200), -(-n // (10 * rows_per_range)))
+    ranges = ranges or max(1, math.isqrt(n) // 4)  # a range is streamed, so both the ranges and their rows may grow with the root of the table
     held = spark.sparkContext.broadcast(np.array(_bounds(ids, ranges), np.int64))  # one number for each range
 
     @F.pandas_udf("int")

@@ -17,7 +17,10 @@ def bounded_sample(df: DataFrame, strata: str, most: int, order: list) -> DataFr
     share = max(1, most // values)
     rank = F.xxhash64(*order)
     chance = F.shiftrightunsigned(rank, 11) / F.lit(float(1 << 53))
-    thinned = df.join(sizes, strata).filter(chance <= F.lit(2.0 * share) / F.col("_n"))
+    # the first row of every value stays whatever the chance, so that a value with a small share is not lost
+    first = F.struct(rank, *order)
+    sizes = sizes.join(df.groupBy(strata).agg(F.min(first).alias("_first")), strata)
+    thinned = df.join(sizes, strata).filter((chance <= F.lit(2.0 * share) / F.col("_n")) | (first == F.col("_first"))).drop("_first")
     window = Window.partitionBy(strata).orderBy(rank, *order)
     return thinned.withColumn("_k", F.row_number().over(window)).filter(F.col("_k") <= share).drop("_n", "_k")
 

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,12 +78,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _has_places(df: DataFrame) -> bool:
+    """Whether ``df`` is a table as it was read, of a format that tells a row's file and place (Parquet does, JSON and ORC do not)."""
+    plan = getattr(df, "_jdf", None)  # a remote session shows no plan
+    if plan is None or plan.queryExecution().analyzed().nodeName() != "LogicalRelation" or "_metadata" in {c.lower() for c in df.columns}:
+        return False
+    try:
+        return bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a column ``name`` (source, place) that names each row for good.
 
-    A table as it was read is not written again: a row's file and place in it say which row it is. Any other
-    DataFrame is written to the shared folder with numbers, as numbers made anew could come out otherwise.
+    A table as it was read is not written again where its format tells each row's file and place. Any other DataFrame is written to the
+    shared folder with numbers, as numbers made anew could come out otherwise.
     """
-    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in {c.lower() for c in df.columns}:
+    if _has_places(df):
         return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("source"), F.col("_metadata.row_index").alias("place")))
     return keep(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("source"), F.monotonically_increasing_id().alias("place"))), "numbered")

@@ -113,7 +113,7 @@ def test_edited_fingerprints(odd, none):
     texts = [r.text or "" for r in rows]
     want = Counter((r.doc_id, len(t), hashlib.sha256(edited_text(t, texts[(i + 1) % len(texts)]).encode()).hexdigest()) for i, (r, t) in enumerate(zip(rows, texts, strict=True)))
     for size in (2, 4000):
-        found = edited_fingerprints(odd, rows_per_range=size).collect()
+        found = edited_fingerprints(odd, ranges=size).collect()
         assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in found) == want
         assert all(0 <= x <= 1 for r in found for x in (r.near_edited, r.near_next))
         assert len({r.fingerprint for r in found}) == len(set(texts))

@@ -223,3 +223,24 @@ def test_string_ids_and_repeats(spark):
     assert sorted((r.doc_id or "", r.kind, r.start, r.end) for r in rows) == [("", "assign", 0, 17), ("x", "assign", 0, 17)]
     rows = resampling.drawn(resampling.importance(df, df), percent=100, least_words=0).collect()
     assert sorted(r["rank"] for r in rows) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("form", ["json", "orc", "parquet"])
+def test_rows_are_named_whatever_the_format(spark, form, tmp_path):
+    from pagewright.llm.exact_dedup import deduplicated
+    from pagewright.llm.mixing import mixed_documents
+
+    rows = [(i, f"word {i % 7} again", "en", "s" if i % 3 else "t", 12) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.format(form).save(f"{tmp_path}/t")
+    df = spark.read.schema(schema).format(form).load(f"{tmp_path}/t")
+    assert sorted(r.doc_id for r in deduplicated(df).collect()) == list(range(33, 40))
+    assert sum(len(r.text.split()) for r in mixed_documents(df).collect()) == 120
+
+
+def test_every_label_is_drawn(spark):
+    from pagewright.llm.sampling import bounded_sample
+
+    df = spark.range(3000).selectExpr("id as doc_id", "cast(id % 300 as string) as lang")
+    drawn = bounded_sample(df, "lang", 300, ["doc_id"]).collect()
+    assert len({r.lang for r in drawn}) == 300 == len(drawn)
