@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import extension, natural_key, stem
@@ -196,15 +196,43 @@ def book_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sidecar_rows(path: str, data: bytes) -> Iterator[dict]:
-    """Chapters of a JSON sidecar: milliseconds to seconds, rows without a title dropped."""
-    for pos, c in enumerate(json.loads(text_of(data)).get("chapters") or []):
-        if isinstance(c, dict) and c.get("title"):
-            start, length = (float(c.get(k) or 0) / 1000 for k in ("start_offset_ms", "length_ms"))
-            yield {"pos": pos, "title": c["title"], "start": start, "end": start + length, "error": None}
+    """Chapters of a JSON sidecar: milliseconds to seconds, what is no whole number counts as 0, rows without a title are dropped."""
+    chapters = json.loads(text_of(data))
+    chapters = chapters.get("chapters") if isinstance(chapters, dict) else None
+    whole = lambda x: x if isinstance(x, int) and not isinstance(x, bool) and x >= 0 else 0
+    for pos, c in enumerate(chapters if isinstance(chapters, list) else []):
+        if isinstance(c, dict) and isinstance(c.get("title"), str):
+            start, length = (whole(c.get(k)) for k in ("start_offset_ms", "length_ms"))
+            yield {"pos": pos, "title": c["title"], "start": start / 1000, "end": (start + length) / 1000, "error": None}
 
 
 def sidecar_chapters(spark: SparkSession, path: str) -> DataFrame:
-    return decoded(files(spark, path, "*.json"), sidecar_rows, "path string, pos long, title string, start double, end double, error string")
+    """Chapters of every JSON file below a folder."""
+    return decoded(files(spark, path, "*.{json,JSON}"), sidecar_rows, "path string, pos long, title string, start double, end double, error string")
+
+
+def folder_of(path: str = "path") -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def chosen_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """folder, path and chapters of the one sidecar that each folder with sound is read by.
+
+    The file named as a folder's only sound file comes first; then the first that is named as any sound file beside it; then the first of all.
+    A file without chapters is passed over, and only the first of a rule is tried by it.
+    """
+    chapters = sidecar_chapters(spark, path).filter("error is null")
+    usable = chapters.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "start", "end"))).alias("chapters"))  # one file's
+    sound = files(spark, path).select("path").filter(extension(F.col("path")).isin("m4b", "m4a")).select(folder_of().alias("folder"), stem(F.col("path")).alias("stem"))
+    alone = sound.groupBy("folder").agg(F.count("*").alias("n"), F.min("stem").alias("only"))
+    own = files(spark, path, "*.{json,JSON}").select("path", folder_of().alias("folder"), stem(F.col("path")).alias("stem"))
+    own = own.join(alone, "folder").join(sound.distinct().withColumn("beside", F.lit(True)), ["folder", "stem"], "left").join(usable, "path", "left")
+    exact = (F.col("n") == 1) & (F.col("stem") == F.col("only"))
+    w = Window.partitionBy("folder")
+    own = own.withColumns({"_exact": F.min(F.when(exact, F.col("path"))).over(w), "_beside": F.min(F.when(F.col("beside"), F.col("path"))).over(w)})
+    rank = F.when(F.col("path") == F.col("_exact"), 1).when(F.col("path") == F.col("_beside"), 2).otherwise(3)
+    best = own.filter("chapters is not null").groupBy("folder").agg(F.min_by(F.struct("path", "chapters"), F.struct(rank, "path")).alias("b"))
+    return best.select("folder", "b.*")
 
 
 def mp4_chapters(spark: SparkSession, path: str) -> DataFrame:
@@ -252,14 +280,52 @@ def calibre_candidates(spark: SparkSession, path: str) -> DataFrame:
     return books.join(per, "folder", "left").withColumn("source_id", F.lit("calibre"))
 
 
+def asin_group(name: Column) -> Column:
+    """What the last bracket of an ASIN's shape holds."""
+    groups = F.filter(F.regexp_extract_all(name, F.lit(r"\[([^\]]*)\]"), 1), lambda x: x.rlike("^B0[A-Z0-9]{8}$"))
+    return F.try_element_at(groups, F.lit(-1))
+
+
+def without_asin(name: Column) -> Column:
+    """What stands before the last bracket of an ASIN's shape; the whole name where there is none."""
+    asin = asin_group(name)
+    behind = F.call_function("substring_index", name, F.concat(F.lit("["), asin, F.lit("]")), F.lit(-1))
+    return F.trim(F.when(asin.isNull(), name).otherwise(F.left(name, F.length(name) - F.length(behind) - 12)))
+
+
 def libation_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Audio books: one candidate per folder with m4b or m4a files, the ASIN from the last bracket of its name."""
-    name = F.element_at(F.split("folder", "/"), -1)
-    rows = audio_files(spark, path).filter(extension(F.col("path")).isin("m4b", "m4a")).groupBy("folder")
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct("sort_key", "path"))).alias("_f"))  # one folder's files
-    asin = F.try_element_at(F.regexp_extract_all(name, F.lit(r"\[(B0[A-Z0-9]{8})\]"), 1), F.lit(-1))
-    title = F.trim(F.regexp_replace(name, r"\s*\[B0[A-Z0-9]{8}\]", ""))
-    return rows.select("folder", title.alias("title"), asin.alias("asin"), F.transform("_f", lambda x: x["path"]).alias("audio"), F.lit("libation").alias("source_id"))
+    """Audio books below author/book folders with m4b or m4a files, by title: a single file or a folder, its ASIN and its sidecar's chapters."""
+    root = path.rstrip("/").removeprefix("file:").lstrip("/")
+    below = F.regexp_replace(F.regexp_replace("folder", "^[a-z0-9]+:/*", ""), F.lit(f"^{re.escape(root)}/"), F.lit(""))
+    rows = audio_files(spark, path).filter(extension(F.col("path")).isin("m4b", "m4a")).withColumn("_b", F.split(below, "/")).filter("size(_b) = 2")
+    rows = rows.groupBy("folder", "_b").agg(F.array_sort(F.collect_list(F.struct("sort_key", "path"))).alias("_f"))  # one folder's files
+    rows = rows.withColumn("audio", F.transform("_f", lambda x: x["path"]))
+    rows = rows.join(chosen_sidecars(spark, path).select("folder", F.col("path").alias("sidecar"), "chapters"), "folder", "left")
+    name = F.col("_b")[1]
+    kind = F.when(F.size("audio") == 1, "single").otherwise("folder")
+    return rows.select(
+        "folder", without_asin(name).alias("title"), F.array(F.col("_b")[0]).alias("authors"), asin_group(name).alias("asin"), kind.alias("audio_kind"), "audio", "sidecar", "chapters",
+        F.lit("libation").alias("source_id"),
+    ).orderBy("title", "folder")
+
+
+#: Ends of names that a project's sound may have.
+PROJECT_AUDIO = ("m4b", "m4a", "mp3", "wav", "ogg", "flac")
+
+
+def audio_paths(sources: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """(key, pos, path): the sound files of each project, in order.
+
+    ``sources`` has kind (single, manifest, folder, multiple), path and paths; ``listed`` has the path of every file there is. A single file or a manifest is itself, there
+    or not; a folder's own sound files come by path; picked files keep their order without those that are missing or no sound.
+    """
+    sound = listed.select("path").filter(extension(F.col("path")).isin(*PROJECT_AUDIO)).distinct()
+    one = sources.filter("kind in ('single', 'manifest')").select(key, F.lit(0).alias("at"), "path")
+    folder = sources.filter("kind = 'folder'").select(key, F.regexp_replace("path", "/+$", "").alias("folder"))
+    held = folder.join(sound.select("path", folder_of().alias("folder")), "folder").select(key, F.lit(0).alias("at"), "path")
+    picked = sources.filter("kind = 'multiple'").select(key, F.posexplode("paths").alias("at", "path")).join(sound, "path").select(key, "at", "path")
+    pos = (F.row_number().over(Window.partitionBy(key).orderBy("at", "path")) - 1).cast("long")
+    return one.unionByName(held).unionByName(picked).select(key, pos.alias("pos"), "path")
 
 
 def manual_candidates(spark: SparkSession, path: str) -> DataFrame:

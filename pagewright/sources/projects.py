@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = """schema_version int, join_key string, title string, language string, authors array<string>, cursor long, confirmed_at timestamp,
@@ -15,9 +16,10 @@ SCHEMA = """schema_version int, join_key string, title string, language string,
     chapter_manifest: struct<chapters: array<struct<title: string>>>>, _corrupt string"""
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """All project files; health is ok or corrupt, missing fields have their defaults."""
+def read_projects(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """All project files; health is ok or corrupt, missing fields have their defaults; with ``places`` also path and time of the last change."""
     raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(path)
+    raw = raw.withColumns({"path": F.col("_metadata.file_path"), "modified": F.col("_metadata.file_modification_time")}) if places else raw
     empty = F.expr("from_json('[]', 'array<struct<chapter_index: bigint, track_index: bigint, lesson_id: bigint, degraded: boolean, uploaded_at: timestamp>>')")
     health = F.when(F.col("_corrupt").isNotNull() | F.col("join_key").isNull(), "corrupt").otherwise("ok")
     return raw.withColumns({
@@ -26,6 +28,35 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     })
 
 
+#: Folder of trashed projects, which a scan leaves out.
+TRASH = ".trash"
+
+
+def scanned(spark: SparkSession, path: str) -> DataFrame:
+    """Every project file below ``path`` but the trash's, with its class: ok, corrupt, or deduped where a fresher file (of two of one time
+    the first by path) has its key."""
+    rows = read_projects(spark, path, places=True).filter(~F.col("path").contains(f"/{TRASH}/"))
+    fresh = F.row_number().over(Window.partitionBy("join_key", F.col("health") == "ok").orderBy(F.desc("modified"), "path"))
+    return rows.withColumn("class", F.when((F.col("health") == "ok") & (fresh > 1), "deduped").otherwise(F.col("health")))
+
+
+def health(rows: DataFrame) -> DataFrame:
+    """(class, files) of a scan."""
+    return rows.groupBy("class").agg(F.count("*").alias("files"))
+
+
+def trash_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Trashed projects that can be read, the latest first: slot, join_key, title, language, trashed_at; none where there is no trash."""
+    try:
+        rows = read_projects(spark, f"{path.rstrip('/')}/{TRASH}", places=True).filter(F.col("health") == "ok")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], "path string, join_key string, title string, language string, modified timestamp")
+    slot = F.regexp_extract("path", rf"/\{TRASH}/([^/]+)/", 1)
+    return rows.select(slot.alias("slot"), "join_key", "title", "language", F.col("modified").alias("trashed_at")).orderBy(F.desc("trashed_at"), "slot")
+
+
 def summaries(projects: DataFrame) -> DataFrame:
     """One row per project that can be read, for lists: counts for what is long, flags for what is there.
 
@@ -60,3 +91,20 @@ def write_index(df: DataFrame, path: str) -> str:
 def patched_receipts(receipts: Column, index: Column, lesson_id: Column) -> Column:
     """The receipts with the lesson of one slot set."""
     return F.transform(receipts, lambda x, i: F.when(i == index, x.withField("lesson_id", lesson_id)).otherwise(x))
+
+
+def patches(projects: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(projects with the slots set, refused requests with their error) for requests (key, seq, index, lesson_id).
+
+    A slot that does not exist is refused, and so is a project that does not; of several requests for one slot the last one (by seq) is kept.
+    """
+    sizes = projects.select(key, F.size("receipts").alias("_n"))
+    known = asked.join(sizes, key, "left")
+    out = F.col("index").isNull() | (F.col("index") < 0) | (F.col("index") >= F.col("_n"))
+    error = F.when(F.col("_n").isNull(), "not found").when(out, F.concat(F.lit("no slot "), F.coalesce(F.col("index").cast("string"), F.lit("null")), F.lit(" of "), F.col("_n").cast("string")))
+    known = known.withColumn("error", error)
+    last = known.filter("error is null").groupBy(key, "index").agg(F.max_by("lesson_id", "seq").alias("lesson_id"))
+    slots = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("index").cast("int"), "lesson_id"))).alias("_set"))  # one project's slots
+    done = F.transform("receipts", lambda x, i: F.when(F.map_contains_key("_set", i), x.withField("lesson_id", F.col("_set")[i])).otherwise(x))
+    rows = projects.join(slots, key, "left").withColumn("receipts", F.when(F.col("_set").isNull(), F.col("receipts")).otherwise(done)).drop("_set")
+    return rows, known.filter("error is not null").select(*asked.columns, "error")
