@@ -293,6 +293,35 @@ def clock(seconds: Column) -> Column:
     )
 
 
+def hours_minutes(seconds: Column) -> Column:
+    """Hours and minutes, rounded to the minute; a dash where nothing is known."""
+    total = F.floor(seconds / 60 + 0.5).cast("long")
+    hours, minutes = F.floor(total / 60), F.pmod(total, F.lit(60))
+    return F.when(seconds.isNull(), "—").when(hours > 0, F.format_string("%dh %dm", hours, minutes)).otherwise(F.format_string("%dm", minutes))
+
+
+def count_text(n: Column) -> Column:
+    """Digits in groups of three; a dash where nothing is known."""
+    return F.when(n.isNull(), "—").otherwise(F.format_number(n, 0))
+
+
+def relative_day(at: Column, now: Column) -> Column:
+    """today (and later), yesterday, the weekday within a week, else the date, with its year where that is another one."""
+    days = F.datediff(now, at)
+    date = F.when(F.year(at) == F.year(now), F.date_format(at, "MMM d")).otherwise(F.date_format(at, "MMM d, yyyy"))
+    return F.when(days <= 0, "today").when(days == 1, "yesterday").when(days < 7, F.date_format(at, "E")).otherwise(date)
+
+
+def age_text(at: Column, now: Column) -> Column:
+    """How long ago: just now, minutes, hours, from a day on the day; unknown for no time."""
+    minutes = F.floor((F.unix_millis(now.cast("timestamp")) - F.unix_millis(at.cast("timestamp"))) / 60_000)
+    hours = F.floor(minutes / 60)
+    return (
+        F.when(at.isNull(), "unknown").when(minutes < 1, "just now").when(minutes == 1, "1 minute ago").when(minutes < 60, F.format_string("%d minutes ago", minutes))
+        .when(hours == 1, "1 hour ago").when(hours < 24, F.format_string("%d hours ago", hours)).otherwise(relative_day(at, now))
+    )
+
+
 def scrub_secrets(c: Column) -> Column:
     """Key-shaped tokens, and the token after the word bearer, become [redacted]."""
     token = r"[A-Za-z0-9._~+/-]"

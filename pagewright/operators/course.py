@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,23 @@ def with_header(stats: DataFrame, header: DataFrame, course: str, columns: list[
     own = header.select(course, *[F.col(c).alias(f"_{c}") for c in columns])
     joined = stats.join(own, course, "left")
     return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def last_good(fetches: DataFrame, key: str) -> DataFrame:
+    """(key, view, fetched_at, error): what is shown after all fetches (key, at, seq, outcome, view), in a table or a stream.
+
+    The view is the last one that came; an error keeps it, a course that is gone takes it away until another comes. error is the outcome of the
+    last fetch where that was not ok. Streams give it in complete or update mode.
+    """
+    order = F.struct("at", "seq")
+    ok, gone = F.when(F.col("outcome") == "ok", order), F.when(F.col("outcome") == "gone", order)
+    rows = fetches.groupBy(key).agg(
+        F.max_by(F.struct("view", "at"), ok).alias("_v"), F.max(ok).alias("_ok"), F.max(gone).alias("_gone"), F.max_by("outcome", order).alias("_last")
+    )
+    shown = F.col("_ok").isNotNull() & (F.col("_gone").isNull() | (F.col("_ok") > F.col("_gone")))
+    return rows.select(key, F.when(shown, F.col("_v.view")).alias("view"), F.when(shown, F.col("_v.at")).alias("fetched_at"), F.when(F.col("_last") != "ok", F.col("_last")).alias("error"))
+
+
+def must_fetch(fetched_at: Column, now: Column, forced: Column, stale: str = "INTERVAL 15 MINUTES") -> Column:
+    """Whether a view is asked for again: by force, where there is none, or where it is as old as ``stale``."""
+    return forced | fetched_at.isNull() | (fetched_at + F.expr(stale) <= now)

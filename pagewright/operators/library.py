@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import normal_form
 from pagewright.operators.similarity import similar_texts
 
-STATUS_ORDER = ("running", "needs_match", "failed", "paused", "idle", "done")
+#: States in the order in which a library shows them.
+STATUS_ORDER = ("running", "needs_match", "paused", "done", "failed", "idle")
 
 
 def status(running: Column, confirmed: Column, receipts: Column, cursor: Column, total: Column, last_degraded: Column) -> Column:
@@ -27,6 +28,11 @@ def status(running: Column, confirmed: Column, receipts: Column, cursor: Column,
     )
 
 
+def status_reason(state: Column, last_chapter: Column) -> Column:
+    """Why a project failed: the chapter of its last receipt; null for any other state."""
+    return F.when(state == "failed", F.concat(F.lit("stopped at chapter "), F.coalesce(last_chapter, F.lit(0)).cast("string")))
+
+
 def is_pending(receipts: Column, unfinished: Column, cursor: Column, completed: Column, decided: Column) -> Column:
     """A receipt without a lesson, a cursor before the last receipt, or a decision with nothing done yet."""
     return (unfinished > 0) | (cursor < receipts) | ((receipts == 0) & (completed == 0) & decided)
@@ -44,9 +50,23 @@ def search(df: DataFrame, needle: str, columns: list[str]) -> DataFrame:
     return df.filter(hay.contains(unicodedata.normalize("NFC", needle).strip().lower()))
 
 
+def localised(title: Column) -> Column:
+    """A title that compares as readers sort it: letters before accents before case."""
+    return F.collate(title, "UNICODE")
+
+
 def library_order(rank: Column, activity: Column, title: Column, done: Column) -> list[Column]:
-    """Status rank, then the latest activity of what is done (nulls last), then the title."""
-    return [rank.asc(), F.when(done, activity).desc_nulls_last(), title.asc()]
+    """Status rank, then the latest activity of what is done (nulls last), then the title as readers sort it."""
+    return [rank.asc(), F.when(done, activity).desc_nulls_last(), localised(title).asc()]
+
+
+def title_bins(df: DataFrame, title: str, bins: int = 64) -> Column:
+    """How many of at most ``bins`` titles, drawn by their hash, are before a title in the readers' order: coarse places for ``places``.
+
+    A bin has about rows / bins rows but for titles that repeat.
+    """
+    drawn = df.filter(F.col(title).isNotNull()).select(F.col(title).alias("t")).distinct().orderBy(F.xxhash64("t")).limit(bins).collect()
+    return F.size(F.filter(F.array(*[F.lit(r.t) for r in drawn]).cast("array<string>"), lambda x: localised(x) < localised(F.col(title))))
 
 
 def title_conflicts(new: DataFrame, old: DataFrame, least: float = 0.85) -> DataFrame:
@@ -91,3 +111,51 @@ def candidate_groups(df: DataFrame, partition: str, position: str, keys: list[st
     led = keyed.select("_id", "_at").join(leaders, "_id")
     alone = rows.filter(keyless).select(F.col("_at").cast("long").alias("position"), F.col("_at").cast("long").alias("leader"))
     return led.select(F.col("_at").cast("long").alias("position"), "leader").unionByName(alone)
+
+
+def reconcile(candidates: DataFrame, store: DataFrame, partition: str, keys: list[str], least: float = 0.85) -> DataFrame:
+    """One row for each group of candidates: leader (its position), key, title, members, outcome and near.
+
+    ``candidates`` has position, title and identity keys, the strongest first; ``store`` has the key, title and pos of each project. A group whose
+    leader's first key the store has is merged; else a project with a title much like the leader's (or the same) is a conflict with it; else it
+    is created. Groups follow the order of candidates (``candidate_groups``), near is the key of the most similar project, the first among equals.
+    """
+    groups = candidate_groups(candidates, partition, "position", keys)
+    leaders = groups.groupBy("leader").agg(F.count("*").alias("members"))
+    own = candidates.select(F.col("position").cast("long").alias("leader"), F.coalesce(*keys).alias("key"), "title")
+    rows = leaders.join(own, "leader")
+    held = rows.join(store.select("key").distinct(), "key", "left_semi").select("leader").withColumn("merged", F.lit(True))
+    open_ones = rows.join(held, "leader", "left_anti")
+    titles = store.groupBy("title").agg(F.min_by("key", "pos").alias("near_key"), F.min("pos").alias("pos"))
+    # a title that the store has as it is, but for its case, is nearer than any other
+    lower = titles.groupBy(F.lower("title").alias("_t")).agg(F.min_by("near_key", "pos").alias("same"))
+    alike = title_conflicts(open_ones.select("title").distinct(), titles.select("title", "pos"), least)
+    alike = alike.join(titles.select(F.col("title").alias("near"), "near_key"), "near").select("title", "near_key")
+    found = open_ones.withColumn("_t", F.lower("title")).join(lower, "_t", "left").join(alike, "title", "left").select("leader", F.coalesce("same", "near_key").alias("near"))
+    out = rows.join(held, "leader", "left").join(found, "leader", "left")
+    outcome = F.when(F.col("merged"), "merged").when(F.col("near").isNotNull(), "conflict").otherwise("created")
+    return out.select("leader", "key", "title", "members", outcome.alias("outcome"), "near")
+
+
+def creations(asked: DataFrame, store: DataFrame, key_of, most: int = 100) -> DataFrame:
+    """Adds outcome (created, conflict, replaced, skipped, failed), project (the key) and shown (the title) to requests (seq, title, author, resolution).
+
+    ``key_of(title, author)`` gives a project's key; ``store`` has key and title. A key that is free is created; one that is taken is a conflict
+    with the project that has it, unless the request resolves it: replace it, skip, or make a new one under the first of ``most`` titles with `` (copy)`` whose key
+    is free. Each request meets the store as it is.
+    """
+    held = store.select("key", F.col("title").alias("_held")).dropDuplicates(["key"])
+    rows = asked.withColumn("key", key_of(F.col("title"), F.col("author"))).join(held, "key", "left")
+    taken = F.col("_held").isNotNull()
+    tries = rows.filter(taken & (F.col("resolution") == "new")).select("seq", "title", "author", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
+    tries = tries.withColumn("copy", F.concat("title", F.repeat(F.lit(" (copy)"), F.col("n")))).withColumn("key", key_of(F.col("copy"), F.col("author")))
+    first = tries.join(held, "key", "left_anti").groupBy("seq").agg(F.min_by(F.struct("key", "copy"), "n").alias("_c"))
+    rows = rows.join(first, "seq", "left")
+    outcome = (
+        F.when(~taken, "created").when(F.col("resolution") == "replace", "replaced").when(F.col("resolution") == "skip", "skipped")
+        .when((F.col("resolution") == "new") & F.col("_c").isNotNull(), "created").when(F.col("resolution") == "new", "failed").otherwise("conflict")
+    )
+    copied = taken & (F.col("resolution") == "new")
+    project = F.when(copied, F.col("_c.key")).otherwise(F.col("key"))
+    shown = F.when(copied, F.col("_c.copy")).when(taken & F.col("resolution").isNull(), F.col("_held")).otherwise(F.col("title"))
+    return rows.select(*asked.columns, outcome.alias("outcome"), project.alias("project"), shown.alias("shown"))

@@ -153,6 +153,12 @@ def bucket_islands(df: DataFrame, book: str, order: str, track: str, chars: str)
     return runs.agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("chapters"), F.sum(chars).alias("chars"))
 
 
+def bucket_densities(islands: DataFrame, durations: DataFrame, book: str, track: str, seconds: str) -> DataFrame:
+    """Adds seconds and density (characters a second) to runs of one track; 0 where the track has no known length."""
+    rows = islands.join(durations.select(book, track, seconds), [book, track], "left")
+    return rows.withColumn("density", F.when(F.col(seconds) > 0, F.col("chars") / F.col(seconds)).otherwise(F.lit(0.0)))
+
+
 def exact_median(df: DataFrame, value: str, out: str, bins: int = 1024) -> DataFrame:
     """One row with the median of the positive values (null without any), and no task that reads them all.
 

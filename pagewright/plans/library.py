@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import identity
 from pagewright.operators import course
 from pagewright.operators import library as L
 from pagewright.operators import matching as M
@@ -49,7 +50,10 @@ def p9_library_status(spark, sf):
     return with_status(spark, sf).select("project", "title", "receipts", "cursor", "total", F.coalesce("last_bad", F.lit(False)).alias("last_bad"), "status")
 
 
-@query(f"""WITH {_PROJECTS} SELECT segment, project, row_number() OVER (PARTITION BY segment ORDER BY list_position(['running', 'needs_match', 'failed', 'paused', 'idle', 'done'], status),
+_SHOWN = "['running', 'needs_match', 'paused', 'done', 'failed', 'idle']"
+
+
+@query(f"""WITH {_PROJECTS} SELECT segment, project, row_number() OVER (PARTITION BY segment ORDER BY list_position({_SHOWN}, status),
       CASE WHEN status = 'done' THEN activity END DESC NULLS LAST, title) AS place FROM s""")
 def o1_library_order(spark, sf):
     """Place of each project in its shelf: status, latest activity of what is done, title."""
@@ -59,6 +63,25 @@ def o1_library_order(spark, sf):
     return M.places(with_status(spark, sf), "segment", [rank, latest, F.left("title", F.lit(14))], order, "place").select("segment", "project", "place")
 
 
+@query("""WITH t AS (SELECT c_custkey, c_mktsegment AS segment, ['é', 'E', 'e', 'É', 'z', 'Zo', 'zo', 'ñ', 'n', '_', '9'][1 + c_custkey % 11] || CASE WHEN c_custkey % 3 = 0 THEN ' A' ELSE 'a' END || c_custkey % 101 AS title FROM customer)
+    SELECT segment, c_custkey, title, row_number() OVER (PARTITION BY segment ORDER BY icu_sort_key(title, 'en'), c_custkey) AS place FROM t""")
+def o1_localised_titles(spark, sf):
+    """Titles as readers sort them: letters before accents before case."""
+    key = F.col("c_custkey")
+    first = F.get(F.array(*[F.lit(x) for x in ("é", "E", "e", "É", "z", "Zo", "zo", "ñ", "n", "_", "9")]), (key % 11).cast("int"))
+    title = F.concat(first, F.when(key % 3 == 0, " A").otherwise("a"), (key % 101).cast("string"))
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), title.alias("title"))
+    return M.places(rows, "segment", [L.title_bins(rows, "title")], [L.localised(F.col("title")), F.col("c_custkey")], "place")
+
+
+@query(f"""WITH {_PROJECTS}, l AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) % 40 AS chapter FROM orders GROUP BY o_custkey)
+    SELECT project, status, CASE WHEN status = 'failed' THEN 'stopped at chapter ' || chapter END AS reason FROM s LEFT JOIN l ON o_custkey = project""")
+def p9_status_reasons(spark, sf):
+    """Why a project is where it is."""
+    last = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("project")).agg((F.max_by("o_orderkey", F.struct(*ACTIVITY)) % 40).alias("chapter"))
+    return with_status(spark, sf).join(last, "project", "left").select("project", "status", L.status_reason(F.col("status"), F.col("chapter")).alias("reason"))
+
+
 @query(f"WITH {_PROJECTS} SELECT project FROM s WHERE unfinished > 0 OR cursor < receipts OR (receipts = 0 AND confirmed)")
 def f12_pending_queue(spark, sf):
     """Projects whose job is to be resumed."""
@@ -232,3 +255,52 @@ def p10_candidate_groups(spark, sf):
         F.col("p_partkey").alias("position"), F.concat("p_brand", F.lit("/"), "p_name").alias("strong"), F.concat_ws("/", "p_name", F.col("p_size").cast("string")).alias("content"), "p_name"
     )
     return L.candidate_groups(rows, "p_name", "position", ["strong", "content"])
+
+
+@query(None)
+def p10_reconcile_chain(spark, sf):
+    """Candidates of two shelves grouped by shared keys, then merged, in conflict or created (no SQL twin: order decides)."""
+    title = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    parts = table(spark, sf, "part").select("p_partkey", title.alias("title"), "p_name", F.when(F.col("p_partkey") % 3 > 0, F.concat_ws("/", F.lit("isbn"), "p_name", "p_size")).alias("strong"))
+    parts = parts.withColumn("content", F.concat(F.lit("ch:"), identity.content_hash(F.col("title"), F.lit(""))))
+    candidates = parts.select(F.col("p_partkey").alias("position"), "title", "p_name", "strong", "content")
+    kept = parts.filter("p_partkey % 7 = 0").groupBy(F.coalesce("strong", "content").alias("key")).agg(F.min_by("title", "p_partkey").alias("title"), F.min("p_partkey").alias("pos"))
+    return L.reconcile(candidates, kept, "p_name", ["strong", "content"])
+
+
+_ASKED = """e AS (SELECT 'k:' || n_name || repeat(' (copy)', (n_nationkey % 3)::INT) AS key, n_name || repeat(' (copy)', (n_nationkey % 3)::INT) AS title FROM nation WHERE n_nationkey % 4 > 0
+      UNION SELECT 'k:' || n_name, n_name FROM nation WHERE n_nationkey % 2 = 0),
+    a AS (SELECT c_custkey AS seq, n_name AS title, [NULL, 'replace', 'skip', 'new'][1 + c_custkey % 4] AS resolution FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    f AS (SELECT title, min(k) AS k FROM (SELECT DISTINCT title FROM a), (SELECT unnest(range(1, 101)) AS k) WHERE 'k:' || title || repeat(' (copy)', k::INT) NOT IN (SELECT key FROM e) GROUP BY title)"""
+
+
+@query(f"""WITH {_ASKED} SELECT seq, a.title, resolution, CASE WHEN e.key IS NULL THEN 'created' ELSE coalesce(['replaced', 'skipped', 'created'][list_position(['replace', 'skip', 'new'], resolution)], 'conflict') END AS outcome,
+      CASE WHEN e.key IS NOT NULL AND resolution = 'new' THEN 'k:' || a.title || repeat(' (copy)', k::INT) ELSE 'k:' || a.title END AS project,
+      CASE WHEN e.key IS NOT NULL AND resolution = 'new' THEN a.title || repeat(' (copy)', k::INT) ELSE a.title END AS shown FROM a LEFT JOIN e ON e.key = 'k:' || a.title LEFT JOIN f ON f.title = a.title""")
+def p14_creations(spark, sf):
+    """New projects whose key is free or taken, and what each choice comes to."""
+    n, copy = table(spark, sf, "nation"), F.lit(" (copy)")
+    key_of = lambda title, author: F.concat(F.lit("k:"), title)
+    held = n.filter("n_nationkey % 4 > 0").select(F.concat("n_name", F.repeat(copy, (F.col("n_nationkey") % 3).cast("int"))).alias("title")).union(n.filter("n_nationkey % 2 = 0").select("n_name")).distinct()
+    choice = F.get(F.array(F.lit(None).cast("string"), F.lit("replace"), F.lit("skip"), F.lit("new")), (F.col("c_custkey") % 4).cast("int"))
+    asked = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("seq"), F.col("n_name").alias("title"), F.lit(None).cast("string").alias("author"), choice.alias("resolution"))
+    return L.creations(asked, held.withColumn("key", key_of(F.col("title"), None)), key_of).drop("author")
+
+
+_FETCHES = "x AS (SELECT user_id AS course, event_type AS lang, ts AS came, event_id AS seq, ['ok', 'error', 'ok', 'gone', 'error', 'error'][1 + event_id * 7 % 6] AS outcome, 'view ' || event_id AS view FROM events)"
+
+
+@query(f"""WITH {_FETCHES}, g AS (SELECT course || '/' || lang AS key, max((came, seq)) FILTER (outcome = 'ok') AS o, max((came, seq)) FILTER (outcome = 'gone') AS g, arg_max(view, (came, seq)) FILTER (outcome = 'ok') AS view,
+      arg_max(came, (came, seq)) FILTER (outcome = 'ok') AS got, arg_max(outcome, (came, seq)) AS last FROM x GROUP BY ALL),
+    s AS (SELECT key, CASE WHEN g IS NULL OR o > g THEN view END AS view, CASE WHEN g IS NULL OR o > g THEN got END AS fetched_at, nullif(last, 'ok') AS error FROM g)
+    SELECT key, view, fetched_at, error, fetched_at IS NULL OR key LIKE '1%' OR fetched_at + INTERVAL 15 MINUTE <= (SELECT max(came) FROM x) AS fetch_again FROM s""")
+def t8_last_good_views(spark, sf):
+    """The view that each course shows after all its fetches, and whether it is asked for again."""
+    n = F.col("event_id")
+    outcome = F.get(F.array(*[F.lit(x) for x in ("ok", "error", "ok", "gone", "error", "error")]), (n * 7 % 6).cast("int"))
+    e = table(spark, sf, "events")
+    fetches = e.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").alias("at"), n.alias("seq"), outcome.alias("outcome"), F.concat(F.lit("view "), n.cast("string")).alias("view"))
+    now = e.agg(F.max("ts").alias("now")).withColumn("one", F.lit(1))
+    shown = course.last_good(fetches, "key").withColumn("one", F.lit(1)).join(F.broadcast(now), "one")  # one row
+    again = course.must_fetch(F.col("fetched_at"), F.col("now"), F.col("key").like("1%"))
+    return shown.select("key", "view", "fetched_at", "error", again.alias("fetch_again"))

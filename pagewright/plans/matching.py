@@ -155,6 +155,17 @@ def w7_bucket_islands(spark, sf):
     return M.bucket_islands(rows, "book", "event_id", "track", "chars")
 
 
+@query(f"""WITH {_ISLANDS}, r AS (SELECT book, island::BIGINT AS island, track, sum(chars)::BIGINT AS chars FROM i WHERE track IS NOT NULL GROUP BY ALL),
+    d AS (SELECT user_id AS book, event_type AS track, CASE WHEN user_id % 4 > 0 THEN count(*) * (user_id % 3) ELSE NULL END AS seconds FROM events GROUP BY user_id, event_type)
+    SELECT book, island, track, chars, round(CASE WHEN seconds > 0 THEN chars / seconds ELSE 0 END, 9) AS density FROM r LEFT JOIN d USING (book, track)""")
+def a3_bucket_densities(spark, sf):
+    """Characters a second of every run of one track."""
+    e = table(spark, sf, "events")
+    seconds = e.groupBy(F.col("user_id").alias("book"), F.col("event_type").alias("track")).agg(F.when(F.col("user_id") % 4 > 0, F.count("*") * (F.col("user_id") % 3)).alias("seconds"))
+    runs = w7_bucket_islands(spark, sf)
+    return M.bucket_densities(runs, seconds, "book", "track", "seconds").select("book", "island", "track", "chars", F.round("density", 9).alias("density"))
+
+
 @query("""WITH e AS (SELECT user_id AS book, event_id, CASE WHEN event_type = 'signup' THEN event_id % 7 END AS track FROM events)
     SELECT book, event_id, track, coalesce(last_value(track IGNORE NULLS) OVER (PARTITION BY book ORDER BY event_id ROWS UNBOUNDED PRECEDING),
       greatest(first_value(track IGNORE NULLS) OVER (PARTITION BY book ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 1, 0)) AS squeezed FROM e""")

@@ -29,7 +29,7 @@ _HASHED = "h AS (SELECT doc_id, source, sha256(lower(trim(regexp_replace(text, '
 
 
 def hashed(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", F.sha2(identity.normalised(F.col("text")), 256).alias("title_hash"))
+    return table(spark, sf, "documents").select("doc_id", "source", identity.title_hash(F.col("text")).alias("title_hash"))
 
 
 @query(f"WITH {_HASHED} SELECT doc_id, title_hash FROM h WHERE source <> 'src0' AND title_hash NOT IN (SELECT title_hash FROM h WHERE source = 'src0' AND title_hash IS NOT NULL)")
@@ -155,6 +155,29 @@ def c24_confidence_band(spark, sf):
     return table(spark, sf, "events").select("event_id", T.confidence_band(F.col("value") / 100).alias("band"))
 
 
+@query("""WITH e AS (SELECT event_id, ts AS t, TIMESTAMP '2024-03-01 12:00:00' + INTERVAL 1 MINUTE * (event_id % 50000 - 100) AS seen, CASE WHEN event_id % 11 > 0 THEN value END AS v FROM events),
+    a AS (SELECT *, TIMESTAMP '2024-03-01 12:00:00' + INTERVAL 1 MINUTE * 40000 AS now FROM e), d AS (SELECT *, date_diff('day', seen::DATE, now::DATE) AS days, date_diff('minute', seen, now) AS m FROM a),
+    r AS (SELECT *, CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 7 THEN strftime(seen, '%a') WHEN year(seen) = year(now) THEN strftime(seen, '%b %-d') ELSE strftime(seen, '%b %-d, %Y') END AS day FROM d)
+    SELECT event_id, day, CASE WHEN m < 1 THEN 'just now' WHEN m = 1 THEN '1 minute ago' WHEN m < 60 THEN m || ' minutes ago' WHEN m < 120 THEN '1 hour ago' WHEN m < 1440 THEN (m // 60) || ' hours ago' ELSE day END AS age,
+      CASE WHEN v IS NULL THEN '—' WHEN floor(v * 97 / 60 + 0.5) >= 60 THEN (floor(v * 97 / 60 + 0.5)::BIGINT // 60) || 'h ' || (floor(v * 97 / 60 + 0.5)::BIGINT % 60) || 'm' ELSE floor(v * 97 / 60 + 0.5)::BIGINT || 'm' END AS length,
+      CASE WHEN v IS NULL THEN '—' ELSE format('{:,}', event_id * 37) END AS words FROM r""")
+def c25_ages(spark, sf):
+    """Days, ages, lengths and counts as they are shown."""
+    n = F.col("event_id")
+    start = F.to_timestamp(F.lit("2024-03-01 12:00:00"))
+    at, now = F.timestamp_seconds(F.unix_seconds(start) + 60 * (n % 50000 - 100)), F.timestamp_seconds(F.unix_seconds(start) + 60 * 40000)
+    v = F.when(n % 11 > 0, F.col("value"))
+    return table(spark, sf, "events").select("event_id", T.relative_day(at, now).alias("day"), T.age_text(at, now).alias("age"), T.hours_minutes(v * 97).alias("length"), T.count_text(F.when(v.isNotNull(), n * 37)).alias("words"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'Track ' || (p_size % 9 + 1) ELSE replace(p_name, ' ', '.') || '.v' || p_size END AS title,
+      CASE WHEN p_size % 6 = 0 THEN '' ELSE 'mp3' END AS ending, CASE WHEN p_size % 6 = 0 THEN '' ELSE replace(p_name, ' ', '.') || '.v' || p_size || '.MP3' END AS name FROM part""")
+def c23_c29_file_names(spark, sf):
+    """Base names, ends and titles of sound files; a file without a name is its track's number."""
+    path = F.when(F.col("p_size") % 6 == 0, "").otherwise(F.concat(F.lit("/a.b/"), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(".v"), F.col("p_size").cast("string"), F.lit(".MP3")))
+    return table(spark, sf, "part").select("p_partkey", T.audio_title(path, F.col("p_size") % 9).alias("title"), T.extension(path).alias("ending"), T.base_name(path).alias("name"))
+
+
 @query("""SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', text, source)), 'idiot')""")
 def f9_search(spark, sf):
     """Library search over two columns."""
