@@ -203,12 +203,17 @@ def clean_body(html: Column) -> Column:
     Lines are trimmed, and a run of blank lines is one. A ``<`` that no ``>`` follows stays; an element that is never
     closed goes to the end.
     """
-    element = r"(style|script|head)(?=[>/ \t\r\n])(?:[^>]*/>|.*?(?:</\1[^>]*(?:>|\z)|\z))"
+    element = "|".join(rf"{n}(?=[>/ \t\r\n])(?:[^>]*/>|.*?(?:</{n}[^>]*(?:>|\z)|\z))" for n in ("style", "script", "head"))
     text = F.regexp_replace(strip_ruby(html), rf"(?is)<(?:{element}|[^>]*>)", "")
+
+    def lined(c: Column) -> Column:
+        c = F.regexp_replace(c, r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n")
+        return trimmed(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+    plain = text
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#x3000;", "\u3000"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n")
-    return trimmed(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return F.when(F.contains(html, F.lit("&")), lined(text)).otherwise(lined(plain))
 
 
 def heading(html: Column) -> Column:
@@ -346,10 +351,11 @@ _CJK = r"[぀-ヿ㐀-鿿豈-﫿]"
 
 def strip_ruby(html: Column) -> Column:
     """Readings (rt, rp and what they hold) go, ruby and rb tags are unwrapped, gaps between CJK characters close."""
+    held = [F.contains(html, F.lit(x)) for x in ("<r", "<R", "</r", "</R")]
     text = F.regexp_replace(html, r"(?is)<r[tp](?:\s[^>]*)?>.*?(?:</r[tp]\s*>|(?=<r[tpb]|</ruby))", "")
     text = F.regexp_replace(text, r"(?is)</?(?:ruby|rb|rtc)(?:\s[^>]*)?>", "")
-    text = F.regexp_replace(text, rf"(?<={_CJK})[ \t\r\n]+(?={_CJK})", "")
-    return F.when(F.contains(html, F.lit("<")), text).otherwise(html)
+    close = lambda c: F.regexp_replace(c, rf"(?<={_CJK})[ \t\r\n]+(?={_CJK})", "")
+    return F.when(~F.contains(html, F.lit("<")), html).when(held[0] | held[1] | held[2] | held[3], close(text)).otherwise(close(html))
 
 
 def natural_key(c: Column) -> Column:
