@@ -161,10 +161,15 @@ def fitted(coded: DataFrame, counts: Counts) -> dict:
     parts = training_parts(coded, shards)
     flat = averaged(fit_from(parts.filter("shard = 0"), gru.packed(start)))
     if shards > 1:
-        flat = averaged(fit_from(parts.repartition(2 * shards, "shard"), flat))
+        flat = averaged(fit_from(parts.repartition(spread_over(shards), "shard"), flat))
     return gru.unpacked(flat)
 
 
+def spread_over(groups: int) -> int:
+    """Partitions for so many groups: two for each, in large tables fewer, with the root of their number, so that a task takes many in turn."""
+    return max(1, min(2 * groups, 64 * math.isqrt(max(1, groups))))
+
+
 def training_parts(coded: DataFrame, shards: int) -> DataFrame:
     """shard, hash, doc_id, at and symbols (16 bits each) of every part of every training text; a part's shard is drawn by its hash."""
 
@@ -212,7 +217,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     held = spark.sparkContext.broadcast(counts)
 
     portions_ = max(1, encoded.count())
-    spread = 2 * portions_
+    spread = spread_over(portions_)
     known = each.select("portion", "word").join(vocabulary, "word").select(F.col("portion").alias("of"), "word", "c", "symbol").repartition(spread, "of")
     texts = encoded.select("portion", "doc_ids", "held_out", "sizes", "codes", "words").repartition(spread, "portion")
 

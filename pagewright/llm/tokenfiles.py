@@ -23,12 +23,14 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -149,13 +151,16 @@ def write_token_files(
     df: DataFrame, vocabulary: str, folder: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text",
     file_bytes: int = FILE_BYTES, files: int | None = None,
 ) -> DataFrame:
-    """Write the files, ``files`` of them or one for each ``file_bytes`` of text.
+    """Write the files, one for each ``file_bytes`` of text or less where a range ends.
+
+    Ranges are one for each file in small tables and grow with the root of their number in large ones (or ``files`` of them); a task
+    writes the files of its range one after another and holds one.
 
     Returns one row per file: part, path, documents, tokens, base (ids in files before it).
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if files is None:
-        files = max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
+        files = tasks_for(-(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
     # the hash and the draw cut ranges within an id that many rows share
     keyed = rows.withColumns({"mark": F.xxhash64("text"), "draw": F.rand(5)})
     ordered = keyed.repartitionByRange(files, "doc_id", "mark", "draw").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
@@ -164,39 +169,65 @@ def write_token_files(
     def write(batches):
         task = TaskContext.get()
         encode = encoder(vocabulary).encode
-        doc_ids, counts, parts = [], [], []
-        for b in batches:
-            ids, offsets = encode(b.column(1))
-            n = np.diff(offsets)
-            if end_id is not None:
-                ids, n = np.insert(ids, offsets[1:], end_id), n + 1
-            doc_ids += b.column(0).to_pylist()
-            counts.append(n)
-            parts.append(ids.astype(f"<u{wide}"))
-        if not doc_ids:
-            return
         fs, root = _file_system(folder)
-        fs.create_dir(root, recursive=True)
-        name = f"{root}/part-{task.partitionId():06d}.ef"
-        draft = f"{name}.{task.taskAttemptId()}"
-        with fs.open_output_stream(draft) as out:
-            for data in _bytes_of(doc_ids, np.concatenate(counts), parts, wide):
-                out.write(data)
-        fs.move(draft, name)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([task.partitionId()], pa.int32()), pa.array([f"{folder.rstrip('/')}/part-{task.partitionId():06d}.ef"]),
-             pa.array([len(doc_ids)], pa.int64()), pa.array([int(sum(map(np.sum, counts)))], pa.int64())],
-            ["part", "path", "documents", "tokens"],
-        )
+        doc_ids, counts, parts, held, made = [], [], [], 0, []
+
+        def close() -> None:
+            """Write what is held as the task's next file."""
+            nonlocal held
+            fs.create_dir(root, recursive=True)
+            name = f"part-{task.partitionId():06d}-{len(made):05d}.ef"
+            draft = f"{root}/{name}.{task.taskAttemptId()}"
+            with fs.open_output_stream(draft) as out:
+                for data in _bytes_of(doc_ids, np.concatenate(counts), parts, wide):
+                    out.write(data)
+            fs.move(draft, f"{root}/{name}")
+            made.append((name, len(doc_ids), int(sum(map(np.sum, counts)))))
+            doc_ids.clear(), counts.clear(), parts.clear()
+            held = 0
+
+        for b in batches:
+            upto = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            begin = 0
+            while begin < b.num_rows:
+                done = upto[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(upto, done + file_bytes - held, "right")))
+                some = b.slice(begin, end - begin)
+                ids, offsets = encode(some.column(1))
+                n = np.diff(offsets)
+                if end_id is not None:
+                    ids, n = np.insert(ids, offsets[1:], end_id), n + 1
+                doc_ids += some.column(0).to_pylist()
+                counts.append(n)
+                parts.append(ids.astype(f"<u{wide}"))
+                held += int(upto[end - 1] - done)
+                begin = end
+                if held >= file_bytes or begin < b.num_rows:
+                    close()
+        if doc_ids:
+            close()
+        if made:
+            names, documents, tokens = zip(*made, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([task.partitionId()] * len(made), pa.int32()), pa.array([f"{folder.rstrip('/')}/{x}" for x in names]), pa.array(documents, pa.int64()), pa.array(tokens, pa.int64())],
+                ["part", "path", "documents", "tokens"],
+            )
 
     written = keep(ordered.mapInArrow(write, "part int, path string, documents long, tokens long"), "token-files")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    return keep(written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "manifest")
+    order = Window.orderBy("part", "path")  # one row per file
+    base = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = written.withColumns({"base": base, "nth": (F.row_number().over(order) - 1).cast("int")})
+    return keep(numbered.select(F.col("nth").alias("part"), "path", "documents", "tokens", "base"), "manifest")
+
+
+def tasks_for(files: int) -> int:
+    """One for each file, in large tables fewer, with the root of their number: some ten thousands for millions of files."""
+    return max(1, min(files, 32 * math.isqrt(max(1, files))))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids (unsigned 32-bit little-endian) of each document, from the files."""
-    n = manifest.count()
+    tasks = tasks_for(manifest.count())
 
     def read(batches):
         for pdf in batches:
@@ -214,7 +245,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         "n_tokens": sizes, "ids": [x.astype("<u4").tobytes() for x in ids],
                     })
 
-    spread = manifest.select("part", "path", "base").repartitionById(max(1, n), F.col("part"))
+    spread = manifest.select("part", "path", "base").repartitionById(tasks, F.col("part") % tasks)
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
 
 

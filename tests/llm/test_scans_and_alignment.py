@@ -244,3 +244,15 @@ def test_every_label_is_drawn(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "cast(id % 300 as string) as lang")
     drawn = bounded_sample(df, "lang", 300, ["doc_id"]).collect()
     assert len({r.lang for r in drawn}) == 300 == len(drawn)
+
+
+def test_a_task_writes_several_files(spark, small):
+    from pagewright.llm.tokenfiles import read_token_files, tasks_for, token_folder, write_token_files
+
+    one = read_token_files(write_token_files(small, A, token_folder(spark), end_id=0)).collect()
+    manifest = write_token_files(small, A, token_folder(spark), end_id=0, file_bytes=20_000, files=3)
+    files = manifest.orderBy("part").collect()
+    assert len(files) > 12 and len({r.path.rsplit("-", 1)[0] for r in files}) == 3 and [r.part for r in files] == list(range(len(files)))
+    key = lambda r: (r.doc_id, r.start, r.n_tokens, bytes(r.ids))
+    assert sorted(map(key, one)) == sorted(map(key, read_token_files(manifest).collect()))
+    assert [tasks_for(n) for n in (0, 1, 27, 1000, 5_000_000)] == [1, 1, 27, 992, 71552]
