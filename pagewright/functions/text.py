@@ -97,7 +97,11 @@ def bigrams(c: Column) -> Column:
 
 def dice(a: Column, b: Column) -> Column:
     """Similarity of two squashed titles by their distinct character pairs: 1 if equal, 0 where there are none."""
-    x, y = bigrams(a), bigrams(b)
+    return dice_of(a, b, bigrams(a), bigrams(b))
+
+
+def dice_of(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """The same with the titles' pairs of characters at hand."""
     return F.when(a == b, F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(
         2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
     )

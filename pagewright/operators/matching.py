@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import dice, squashed
+from pagewright.functions.text import bigrams, dice_of, squashed
 
 #: Condition, allowed responses, and the one chosen beforehand.
 RESPONSES = (
@@ -119,13 +119,16 @@ def title_anchors(chapters: DataFrame, tracks: DataFrame, book: str, position: s
     The first of equal scores wins. A book keeps its anchors only with two of them and half of the shorter side.
     Scores are per pair inside a book; the greedy walk is a fold over the book's own tracks.
     """
-    c = chapters.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), squashed(F.col(title)).alias("t")))).alias("_c"))
-    t = tracks.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), squashed(F.col(title)).alias("t")))).alias("_t"))
+    def sides(df: DataFrame, out: str) -> DataFrame:  # pairs of letters once, before the fold
+        own = df.select(book, F.col(position).alias("p"), squashed(F.col(title)).alias("t")).withColumn("g", bigrams(F.col("t")))
+        return own.groupBy(book).agg(F.array_sort(F.collect_list(F.struct("p", "t", "g"))).alias(out))
+
+    c, t = sides(chapters, "_c"), sides(tracks, "_t")
     start = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<chapter:bigint,track:bigint>>").alias("found"))
 
     def step(state: Column, track: Column) -> Column:
         scored = F.transform(
-            F.filter(F.col("_c"), lambda x: x["p"] > state["last"]), lambda x: F.struct(dice(x["t"], track["t"]).alias("s"), (-x["p"]).cast("long").alias("p"))
+            F.filter(F.col("_c"), lambda x: x["p"] > state["last"]), lambda x: F.struct(dice_of(x["t"], track["t"], x["g"], track["g"]).alias("s"), (-x["p"]).cast("long").alias("p"))
         )
         best = F.array_max(F.filter(scored, lambda x: x["s"] >= least))
         pair = F.struct((-best["p"]).cast("long").alias("chapter"), track["p"].cast("long").alias("track"))

@@ -187,3 +187,24 @@ def trash_requests(requests: DataFrame, trashed: DataFrame, live: DataFrame, slu
 def restorable(trashed: DataFrame, live: DataFrame, slug: str) -> DataFrame:
     """Trashed rows whose slot no live project has; the rest are conflicts."""
     return trashed.join(live.select(slug), slug, "left_anti")
+
+
+def queue_states(operations: DataFrame, queue: str, order: str) -> DataFrame:
+    """After each operation (push with its job, or advance): length, current (the job in front) and popped, the job an advance took.
+
+    The n-th advance that finds a job takes the n-th that was pushed. An advance that finds none changes nothing; how many there were is how far the
+    running sum of pushes less advances ever fell below 0. So a queue is told by running sums and one join, never by a walk.
+    """
+    w = Window.partitionBy(queue).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("op") == "push", 1).otherwise(-1)
+    rows = operations.withColumns({"_pushed": F.sum((F.col("op") == "push").cast("long")).over(w), "_sum": F.sum(step).over(w)})
+    rows = rows.withColumn("_missed", -F.least(F.lit(0), F.min("_sum").over(w)))
+    rows = rows.withColumns({"length": F.col("_sum") + F.col("_missed"), "_taken": F.col("_pushed") - F.col("_sum") - F.col("_missed")})
+    before = F.coalesce(F.lag("_taken").over(Window.partitionBy(queue).orderBy(order)), F.lit(0))
+    rows = rows.withColumn("_took", F.when(F.col("_taken") > before, F.col("_taken")))
+    pushed = rows.filter("op = 'push'").select(F.col(queue).alias("_q"), F.col("_pushed").alias("_n"), "job")
+    front, popped = (pushed.select(F.col("_q").alias(f"_q{x}"), F.col("_n").alias(f"_n{x}"), F.col("job").alias(x)) for x in ("current", "popped"))
+    at_front = F.when(F.col("length") > 0, F.col("_taken") + 1)
+    out = rows.join(front, F.col(queue).eqNullSafe(F.col("_qcurrent")) & (at_front == F.col("_ncurrent")), "left")
+    out = out.join(popped, F.col(queue).eqNullSafe(F.col("_qpopped")) & (F.col("_took") == F.col("_npopped")), "left")
+    return out.select(*operations.columns, F.col("length").cast("long").alias("length"), "current", "popped")

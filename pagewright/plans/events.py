@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import events as E
 from pagewright.plans.registry import query, table
+from pagewright.streaming.mapping import batched_log
 
 #: Stand-ins for the kinds of job events.
 KINDS = {"signup": "started", "purchase": "result", "view": "stage_changed", "click": "progress", "error": "log"}
@@ -95,3 +96,15 @@ def t5_t6_mapping_log(spark, sf):
         kind.alias("kind"), (F.col("event_id") % 8).alias("chapter"), (F.floor(F.col("value")) % 8).cast("long").alias("track"),
     )
     return E.mapping_log(ops, "book", 8)
+
+
+@query(None)
+def t5_t7_batched_log(spark, sf):
+    """Mapping changes in batches that end with a pause, a longest wait or their first failure (no SQL twin: every change depends on all before it)."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("park", "unpark", "reassign", "swap")]), (F.col("event_id") % 4 + 1).cast("int"))
+    nth = F.expr("row_number() over (partition by user_id order by ts, event_id)")
+    ops = table(spark, sf, "events").select(
+        F.col("user_id").alias("book"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), (nth - F.floor(nth / 4)).cast("long").alias("expected"), kind.alias("kind"),
+        (F.col("event_id") % 8).alias("chapter"), (F.floor(F.col("value")) % 8).cast("long").alias("track"),
+    )
+    return batched_log(ops, 8, timedelta(hours=6), timedelta(hours=8))

@@ -14,7 +14,7 @@ TRACK_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extend
 
 
 def chapters(spark, sf):
-    rows = table(spark, sf, "conversations").filter(F.trim("text") != "")
+    rows = table(spark, sf, "conversations").filter(F.col("text").rlike(r"(?U)\S"))  # all white space is no body
     rows = rows.select(F.col("conv_id").alias("book"), "turn", "role", "text", F.length("text").cast("long").alias("chars"))
     return M.numbered(rows, "book", ["turn"], "pos")
 
@@ -201,6 +201,15 @@ def w2_boundaries(spark, sf):
     return silence.boundaries(rows, "first_win", "end", "drop").select("user_id", "run", "cut_at", "kind")
 
 
+@query(f"""WITH {_QUIET} SELECT 'forward' AS policy, user_id, run, last_win + 1 AS cut_at, 'cut' AS kind FROM n UNION ALL SELECT 'backward', user_id, run, first_win, 'cut' FROM n
+    UNION ALL SELECT 'drop', user_id, run, first_win, 'drop_start' FROM n UNION ALL SELECT 'drop', user_id, run, last_win + 1, 'drop_end' FROM n""")
+def w2_all_policies(spark, sf):
+    """Cuts by each policy: at the end of a quiet run, at its start, or at both."""
+    rows = quiet_runs(spark, sf).withColumn("end", F.col("last_win") + 1)
+    each = [silence.boundaries(rows, "first_win", "end", p).select(F.lit(p).alias("policy"), "user_id", "run", "cut_at", "kind") for p in ("forward", "backward", "drop")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 @query(f"""WITH {_CHAPTERS}, h AS (SELECT *, role = 'user' AS hit FROM c), g AS (SELECT *, sum(hit::INT) OVER (PARTITION BY book ORDER BY turn ROWS UNBOUNDED PRECEDING) AS gid FROM h),
     k AS (SELECT *, CASE WHEN gid = 0 THEN pos ELSE -1 END AS sub FROM g)
     SELECT book, row_number() OVER (PARTITION BY book ORDER BY min(turn)) - 1 AS chapter, min(turn) AS first_turn, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS body_md5

@@ -357,3 +357,19 @@ def k4_trash_requests(spark, sf):
     asked = asked.select((F.col("o_orderkey") * 2 + F.col("k")).alias("seq"), F.when((F.col("o_orderkey") + F.col("k")) % 3 == 0, "purge").otherwise("restore").alias("action"), "slot")
     live = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("slug"))
     return Q.trash_requests(asked, trashed, live, "slug")
+
+
+_OPS = """o AS (SELECT user_id, event_id, CASE WHEN event_id * 7 % 11 < 6 THEN 'push' ELSE 'advance' END AS op, CASE WHEN event_id * 7 % 11 < 6 THEN event_id * 3 END AS job FROM events),
+    s AS (SELECT *, sum((op = 'push')::INT) OVER w AS pushed, sum(CASE WHEN op = 'push' THEN 1 ELSE -1 END) OVER w AS total FROM o WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    m AS (SELECT *, -least(0, min(total) OVER (PARTITION BY user_id ORDER BY event_id)) AS missed FROM s),
+    t AS (SELECT *, total + missed AS length, pushed - total - missed AS taken FROM m),
+    k AS (SELECT *, CASE WHEN taken > coalesce(lag(taken) OVER (PARTITION BY user_id ORDER BY event_id), 0) THEN taken END AS took FROM t)"""
+
+
+@query(f"""WITH {_OPS} SELECT k.user_id, k.event_id, k.op, k.job, k.length::BIGINT AS length, f.job AS current, p.job AS popped FROM k
+    LEFT JOIN k f ON f.op = 'push' AND f.user_id = k.user_id AND f.pushed = CASE WHEN k.length > 0 THEN k.taken + 1 END LEFT JOIN k p ON p.op = 'push' AND p.user_id = k.user_id AND p.pushed = k.took""")
+def t9_queue_states(spark, sf):
+    """Each user's queue after every push and advance."""
+    push = F.col("event_id") * 7 % 11 < 6
+    ops = table(spark, sf, "events").select("user_id", "event_id", F.when(push, "push").otherwise("advance").alias("op"), F.when(push, F.col("event_id") * 3).alias("job"))
+    return Q.queue_states(ops, "user_id", "event_id")

@@ -10,6 +10,7 @@ import io
 import json
 import posixpath
 import re
+import unicodedata
 import urllib.parse
 import wave
 import xml.etree.ElementTree as ET
@@ -211,6 +212,15 @@ def sidecar_chapters(spark: SparkSession, path: str) -> DataFrame:
     return decoded(files(spark, path, "*.{json,JSON}"), sidecar_rows, "path string, pos long, title string, start double, end double, error string")
 
 
+def text_rows(path: str, data: bytes) -> Iterator[dict]:
+    yield {"text": unicodedata.normalize("NFC", text_of(data)), "error": None}
+
+
+def loose_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Plain texts, their byte order mark dropped, in composed form."""
+    return decoded(files(spark, path, "*.{txt,text,md}"), text_rows, "path string, text string, error string")
+
+
 def folder_of(path: str = "path") -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 

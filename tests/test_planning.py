@@ -54,3 +54,25 @@ def test_names_are_registered_once():
 
     with pytest.raises(ValueError, match="two queries"):
         query(None)(next(iter(QUERIES.values())))
+
+
+def test_queue_states_follow_a_queue(spark):
+    import random
+    from collections import deque
+
+    from pagewright.operators import queue
+
+    rng, rows, want = random.Random(9), [], {}
+    queues = {q: deque() for q in ("a", "b", None)}
+    for i in range(200):
+        q = rng.choice(list(queues))
+        popped, job = None, None
+        if rng.random() < 0.5:
+            job = i
+            queues[q].append(i)
+        elif queues[q]:
+            popped = queues[q].popleft()
+        rows.append((q, i, "push" if job is not None else "advance", job))
+        want[i] = (len(queues[q]), queues[q][0] if queues[q] else None, popped)
+    got = queue.queue_states(spark.createDataFrame(rows, "q string, i int, op string, job long"), "q", "i").collect()
+    assert {r.i: (r.length, r.current, r.popped) for r in got} == want and len(got) == 200

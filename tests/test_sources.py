@@ -72,3 +72,11 @@ def test_patches_refuse_what_is_not_there(spark):
     assert {r.join_key: [x.lesson_id for x in r.receipts] for r in rows.collect()} == {"a": [8, None], "b": []}
     assert sorted((r.seq, r.error) for r in refused.collect()) == [(3, "no slot 2 of 2"), (4, "no slot 0 of 0"), (5, "not found"), (6, "no slot null of 2")]
     assert rows.columns == held.columns and F is not None
+
+
+def test_loose_texts_are_composed(spark, tmp_path):
+    touch(tmp_path / "a.txt", b"\xef\xbb\xbf" + "e\u0301a\u200b".encode())
+    touch(tmp_path / "b.txt", "e\u0301".encode("utf-16"))
+    touch(tmp_path / "c.txt", b"\xff\xff")
+    rows = {r.path[-5:]: (r.text, (r.error or "")[:10]) for r in books.loose_texts(spark, f"file://{tmp_path}").collect()}
+    assert rows == {"a.txt": ("\xe9a\u200b", ""), "b.txt": ("\xe9", ""), "c.txt": (None, "ValueError")}
