@@ -10,6 +10,7 @@ from pagewright.functions import text as T
 from pagewright.operators import queue as Q
 from pagewright.plans.library import _PROJECTS, projects, with_status
 from pagewright.plans.registry import query, table
+from pagewright.sources import packages
 
 
 @query("""WITH l AS (SELECT p_brand AS k, min(p_partkey) AS leader, arg_min(p_size, p_partkey) AS size FROM part GROUP BY p_brand),
@@ -373,3 +374,67 @@ def t9_queue_states(spark, sf):
     push = F.col("event_id") * 7 % 11 < 6
     ops = table(spark, sf, "events").select("user_id", "event_id", F.when(push, "push").otherwise("advance").alias("op"), F.when(push, F.col("event_id") * 3).alias("job"))
     return Q.queue_states(ops, "user_id", "event_id")
+
+
+_PACKAGES = """p AS (SELECT page_id % 50 AS package, page_id, CASE page_id % 9 WHEN 0 THEN replace(html, '<p', '<p class="kobospan"') WHEN 1 THEN replace(html, '<div', '<div class="font-140per"') WHEN 2 THEN html || '<!-- kf8 --> KF8' ELSE html END AS html FROM pages),
+    l AS (SELECT package, page_id, lower(regexp_replace(left(html, 65536), '(?s)<!--.*?(?:-->|\\z)', '', 'g')) AS t, row_number() OVER (PARTITION BY package ORDER BY page_id) AS n FROM p),
+    c AS (SELECT package, len(regexp_extract_all(t, 'kobospan')) AS span, len(regexp_extract_all(t, 'font-1[246]0per')) AS font, len(regexp_extract_all(t, 'amzn-page-break|kindle:embed|kindle:position|kf8|"calibre')) AS kindle FROM l WHERE n <= 12),
+    g AS (SELECT package, max(span) AS span, max(font) AS font, max(span + font) AS most, sum(span + font)::BIGINT AS total, count(*) FILTER (span + font > 0) AS files, sum(kindle)::BIGINT AS kindle, package % 4 = 0 AS ncx FROM c GROUP BY package)"""
+
+
+def _label(name: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN '{name}_x' || CASE WHEN {n} >= 12 THEN '12+' WHEN {n} >= 6 THEN '6+' WHEN {n} >= 3 THEN '3+' ELSE {n}::VARCHAR END END"
+
+
+def package_entries(spark, sf):
+    """Pages as the entries of packages, some marked as shops mark theirs; every fourth package has a table of contents of the old kind."""
+    n, html = F.col("page_id") % 9, F.col("html")
+    marked = (
+        F.when(n == 0, F.replace(html, F.lit("<p"), F.lit('<p class="kobospan"'))).when(n == 1, F.replace(html, F.lit("<div"), F.lit('<div class="font-140per"')))
+        .when(n == 2, F.concat(html, F.lit("<!-- kf8 --> KF8"))).otherwise(html)
+    )
+    package = (F.col("page_id") % 50).cast("string")
+    pages = table(spark, sf, "pages").select(package.alias("path"), F.format_string("p%d.xhtml", "page_id").alias("entry"), F.col("page_id").alias("place"), F.left(marked, F.lit(65536)).alias("looked"))
+    contents = pages.filter("cast(path as int) % 4 = 0").groupBy("path").agg(F.lit("toc.ncx").alias("entry"), F.lit(-1).cast("long").alias("place"), F.lit(None).cast("string").alias("looked"))
+    return pages.unionByName(contents).withColumn("error", F.lit(None).cast("string"))
+
+
+@query(f"""WITH {_PACKAGES} SELECT package::VARCHAR AS package, CASE WHEN most >= 3 OR files >= 3 THEN 'kobo' WHEN ncx OR kindle >= 2 THEN 'kindle' ELSE 'generic' END AS vendor,
+    round(CASE WHEN most >= 3 OR files >= 3 THEN least(0.99, 0.6 + least(total, 12) / 30) WHEN kindle >= 2 OR (ncx AND kindle >= 1) THEN least(0.99, 0.6 + least(kindle, 8) / 20) WHEN ncx THEN 0.6
+      WHEN total + kindle = 0 THEN 0.2 ELSE 0.35 END, 6) AS confidence,
+    concat_ws(',', {_label('kobo_span', 'span')}, {_label('font_per', 'font')}, {_label('kindle_marker', 'kindle')}, CASE WHEN ncx THEN 'toc_ncx' END) AS signals FROM g""")
+def a9_c28_package_vendors(spark, sf):
+    """Vendor, confidence and all labels of packages, by what is looked at of their first pages."""
+    found = packages.vendors(package_entries(spark, sf))
+    return found.select(F.col("path").alias("package"), "vendor", F.round("confidence", 6).alias("confidence"), F.array_join("signals", ",").alias("signals"))
+
+
+_SHELVES = """s AS (SELECT page_id % 40 AS package, page_id, 'p' || page_id || '.xhtml' AS entry, page_id AS place, CASE WHEN length(html) % 3 > 0 THEN 'img/' || (page_id // 40 % 6) || '.jpg' END AS shown FROM pages),
+    i AS (SELECT DISTINCT package, k, CASE WHEN k = 5 AND package % 7 = 0 THEN 'img/cover.png' ELSE 'img/' || k || '.jpg' END AS entry FROM s, (SELECT unnest(range(6)) AS k)),
+    h AS (SELECT package, shown AS entry, arg_min(entry, page_id) AS host FROM s WHERE shown IS NOT NULL GROUP BY ALL),
+    g AS (SELECT package, arg_min(shown, page_id) AS entry, arg_min(entry, page_id) AS page FROM s WHERE shown IS NOT NULL AND package % 2 = 0 GROUP BY package),
+    f AS (SELECT package, entry, 1 AS rank, k AS n, 'property' AS rung, NULL AS page FROM i WHERE package % 5 = 0 AND k IN (2, 3) UNION ALL SELECT package, entry, 2, k, 'meta', NULL FROM i WHERE package % 3 = 0 AND k = 1
+      UNION ALL SELECT package, entry, 3, 0, 'guide', page FROM g UNION ALL SELECT package, entry, 4, k, 'name', NULL FROM i WHERE entry = 'img/cover.png'),
+    o AS (SELECT package, unnest(arg_min({'entry': entry, 'rung': rung, 'page': page}, (rank, n))) FROM f GROUP BY package)"""
+
+
+@query(f"""WITH {_SHELVES} SELECT o.package::VARCHAR AS package, rung, o.entry, 'cover.' || right(o.entry, 3) AS sidecar, CASE WHEN rung = 'guide' THEN page WHEN rung <> 'name' THEN host END AS host
+    FROM o LEFT JOIN h ON h.package = o.package AND h.entry = o.entry""")
+def j23_package_covers(spark, sf):
+    """Covers of packages by the first of four rules, and the page that shows each."""
+    key, package = F.col("page_id"), F.col("page_id") % 40
+    shown = F.when(F.length("html") % 3 > 0, F.format_string("img/%d.jpg", F.floor(key / 40) % 6))
+    pages = table(spark, sf, "pages").select(package.alias("package"), F.format_string("p%d.xhtml", key).alias("entry"), key.alias("place"), shown.alias("first_image"))
+    first = pages.filter("first_image is not null and package % 2 = 0").groupBy("package").agg(F.min_by("entry", "place").alias("entry"), F.lit(True).alias("is_guide_cover"))
+    pages = pages.join(first, ["package", "entry"], "left").select("package", "entry", "place", "first_image", F.coalesce("is_guide_cover", F.lit(False)).alias("is_guide_cover"), F.lit(None).cast("long").alias("k"))
+    k = F.col("k")
+    images = pages.select("package").distinct().select("package", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("k"))
+    name = F.when((k == 5) & (F.col("package") % 7 == 0), "img/cover.png").otherwise(F.format_string("img/%d.jpg", k))
+    images = images.select("package", name.alias("entry"), k.alias("place"), F.lit(None).cast("string").alias("first_image"), F.lit(False).alias("is_guide_cover"), "k")
+    kind = F.when(k.isNull(), "application/xhtml+xml").when(F.col("entry").endswith("png"), "image/png").otherwise("image/jpeg")
+    rows = pages.unionByName(images).select(
+        F.col("package").cast("string").alias("path"), "entry", "place", "first_image", "is_guide_cover", kind.alias("media_type"), F.coalesce(k, F.col("place")).alias("manifest_pos"),
+        F.when(k.isNull(), F.col("place")).alias("spine_pos"), F.coalesce((F.col("package") % 5 == 0) & k.isin(2, 3), F.lit(False)).alias("is_cover_property"),
+        F.coalesce((F.col("package") % 3 == 0) & (k == 1), F.lit(False)).alias("is_cover_meta"), F.lit(None).cast("string").alias("error"),
+    )
+    return packages.covers(rows).select(F.col("path").alias("package"), "rung", "entry", "sidecar", "host")
