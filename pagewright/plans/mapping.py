@@ -9,7 +9,7 @@ from pagewright.operators import mapping as P
 from pagewright.operators import matching as M
 from pagewright.plans.matching import _CHAPTERS, _TRACKS, a1_count_classify, chapters, tracks
 from pagewright.plans.planning import p6_decided_plan
-from pagewright.plans.registry import ORACLE_SQL, query
+from pagewright.plans.registry import ORACLE_SQL, query, table
 
 _SKIPS = "turn % 5 = 3"
 _UPLOADED = "role = 'assistant' AND turn % 10 = 3"
@@ -60,6 +60,20 @@ def p2_seeded_mapping(spark, sf):
     return seeded(spark, sf).select("book", "turn", "track")
 
 
+@query(None)
+def p2_seeded_by_titles(spark, sf):
+    """Pairs by titles where a book has anchors, else by position; the rest follows its anchor, or is dropped (no SQL twin: a fold with scores).
+
+    Brands are books: their parts by name are chapters, by number (without every fifth) tracks.
+    """
+    part = table(spark, sf, "part").groupBy(F.col("p_brand").alias("book"), F.concat_ws(" ", "p_name", "p_type").alias("title")).agg(F.min("p_partkey").alias("n"), F.sum("p_size").alias("chars"))
+    c = M.numbered(part, "book", ["title"], "pos").withColumn("turn", F.col("pos"))
+    t = M.numbered(part.filter("n % 5 > 0"), "book", ["n"], "pos").withColumn("seconds", F.col("chars").cast("double"))
+    decisions = part.select("book").distinct().withColumn("response", F.when(F.col("book").endswith("1"), "pair_drop").otherwise("pair_accept"))
+    anchors = M.title_anchors(c, t, "book", "pos", "title")
+    return P.seeded(c, t, decisions, "book", "pos", "turn", "chars", "seconds", anchors).select("book", "turn", "track")
+
+
 @query(f"""WITH {_SEEDED} SELECT book, pos, l_partkey FROM t WHERE book IN (SELECT book FROM m) AND NOT EXISTS (SELECT 1 FROM m WHERE m.book = t.book AND m.track = t.pos)""")
 def j24_parked_tracks(spark, sf):
     """Tracks that the seeded mapping leaves over."""

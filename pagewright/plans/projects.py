@@ -297,11 +297,13 @@ def s6_c23_manual_candidates(spark, sf):
     return rows.groupBy("book").agg(files.alias("files"), F.when(files > 1, "multiple").when(files == 1, "single").alias("kind"), title.alias("title"))
 
 
-@query(None)
+@query("""SELECT p_partkey, lower(p_name) || ' ' || p_size AS shown, sha256(lower(p_name) || ' ' || p_size) AS title_hash FROM part""")
 def c2_c4_title_forms(spark, sf):
-    """Shown form and hash of titles (no SQL twin: DuckDB has no compatibility forms)."""
-    title = F.col("p_name")
-    return table(spark, sf, "part").select("p_partkey", T.shown_title(title).alias("shown"), identity.title_hash(title).alias("title_hash"))
+    """Shown form and hash of titles with wide letters, wide spaces and what shows nothing: as of the plain titles that the SQL has."""
+    key, plain = F.col("p_partkey"), F.concat_ws("  ", "p_name", F.col("p_size").cast("string"))
+    wide = F.when(key % 3 == 0, F.translate(plain, "abcdeghino 0123456789", "ａｂＣｄｅｇｈｉｎｏ\u3000０１２３４５６７８９")).otherwise(F.upper(plain))
+    unseen = F.when(key % 5 < 2, F.regexp_replace(wide, "[rtｔ]", "$0\u200b")).otherwise(wide)
+    return table(spark, sf, "part").select("p_partkey", T.shown_title(unseen).alias("shown"), identity.title_hash(wide).alias("title_hash"))
 
 
 @query("""WITH k AS (SELECT o_orderkey, list_position(['P', 'O', 'F'], o_orderstatus) AS now, 1 + o_custkey % 6 AS wanted FROM orders), s AS (SELECT ['new', 'parsed', 'mapped', 'transcoded', 'uploaded', 'done'] AS s)

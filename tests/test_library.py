@@ -97,3 +97,49 @@ def test_ages(spark, ago, shown):
 def test_titles_as_readers_sort_them(spark):
     df = spark.createDataFrame([("zebra",), ("Éclair",), ("eclair",), ("Zoo",), ("éclair",), ("Eclair",), ("_x",), ("9",)], "t string")
     assert [r.t for r in df.orderBy(L.localised(F.col("t"))).collect()] == ["_x", "9", "eclair", "Eclair", "éclair", "Éclair", "zebra", "Zoo"]
+
+
+def greedy(chapters, tracks, least=0.6):
+    def score(a, b):
+        a, b = ("".join(x.lower().split()) for x in (a, b))
+        x, y = ({t[i : i + 2] for i in range(len(t) - 1)} for t in (a, b))
+        return 1.0 if a == b else 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+
+    out, last = {}, -1
+    for t, title in enumerate(tracks):
+        best = max(((score(c, title), -i) for i, c in enumerate(chapters) if i > last), default=(0, 0))
+        if best[0] >= least:
+            last = -best[1]
+            out[last] = t
+    return out if len(out) >= 2 and 2 * len(out) >= min(len(chapters), len(tracks)) else {}
+
+
+def test_seeding_by_titles_squeezes_or_drops(spark):
+    from pagewright.operators import mapping, matching
+
+    rng = random.Random(11)
+    words = ["Dawn", "The Dusk", "Rivers", "A Road", "Home", "Storm", "Harvest", "Winter Night"]
+    books = {}
+    for b in range(12):
+        chapters = [rng.choice(words) + rng.choice(["", " I", " II"]) for _ in range(rng.randint(2, 6))]
+        tracks = rng.sample(chapters, rng.randint(1, len(chapters))) if b % 3 else [rng.choice(words) for _ in range(rng.randint(1, 6))]
+        books[b] = (chapters, sorted(tracks, key=chapters.index) if b % 3 == 1 else tracks, "pair_drop" if b % 2 else "pair_accept")
+    c = spark.createDataFrame([(b, i, i, t, 1) for b, (x, _, _) in books.items() for i, t in enumerate(x)], "book int, pos long, turn long, title string, chars long")
+    t = spark.createDataFrame([(b, i, t, 1.0) for b, (_, x, _) in books.items() for i, t in enumerate(x)], "book int, pos long, title string, seconds double")
+    d = spark.createDataFrame([(b, r) for b, (_, _, r) in books.items()], "book int, response string")
+    got = {(r.book, r.turn): r.track for r in mapping.seeded(c, t, d, "book", "pos", "turn", "chars", "seconds", matching.title_anchors(c, t, "book", "pos", "title")).collect()}
+    anchored = 0
+    for b, (chapters, tracks, response) in books.items():
+        found = greedy(chapters, tracks)
+        anchored += bool(found)
+        track = None
+        for i in range(len(chapters)):
+            if not found:
+                want = i if i < len(tracks) else None
+            elif response == "pair_drop":
+                want = found.get(i)
+            else:
+                track = found.get(i, track)
+                want = max(found[min(found)] - 1, 0) if track is None else track
+            assert got[b, i] == want, (b, i)
+    assert 2 < anchored < 12
