@@ -20,6 +20,7 @@ import uuid
 from functools import reduce
 from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,18 +62,25 @@ class CommitLog:
     def _create(self, version: int, folders: list[tuple[int, str]]) -> bool:
         """Create a manifest whole, only if its number is free."""
         text, target = json.dumps({"version": version, "folders": folders}), self._manifest(version)
-        if urlparse(target).scheme in ("", "file"):
-            place = unquote(urlparse(target).path)
-            os.makedirs(os.path.dirname(place), exist_ok=True)
-            with open(own := f"{place}.{uuid.uuid4().hex}", "w") as f:
-                f.write(text)
-            try:
-                os.link(own, place)
-            except FileExistsError:
-                return False
-            finally:
-                os.unlink(own)
-            return True
+        local = urlparse(target).scheme in ("", "file")
+        return self._linked(text, unquote(urlparse(target).path)) if local else self._renamed(text, target)
+
+    @staticmethod
+    def _linked(text: str, place: str) -> bool:
+        """On a local file system a hard link is made only where there is none."""
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        with open(own := f"{place}.{uuid.uuid4().hex}", "w") as f:
+            f.write(text)
+        try:
+            os.link(own, place)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(own)
+        return True
+
+    def _renamed(self, text: str, target: str) -> bool:
+        """In Hadoop's file systems a rename without overwriting is refused where the name is taken."""
         jvm, folder, fs = self._fs()
         own, place = jvm.org.apache.hadoop.fs.Path(folder, f"{uuid.uuid4().hex}.part"), jvm.org.apache.hadoop.fs.Path(target)
         out = fs.create(own, False)
@@ -82,11 +90,12 @@ class CommitLog:
         plain = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)  # without overwriting
         try:
             context.rename(own, place, plain)
-        except Exception as e:
-            if fs.exists(place):
-                fs.delete(own, False)
-                return False
-            raise e
+        except Py4JJavaError:
+            taken = fs.exists(place)
+            fs.delete(own, False)
+            if not taken:
+                raise
+            return False
         return True
 
     # rows

@@ -139,3 +139,11 @@ def test_guarded_counters_side_by_side(spark, tmp_path):
     threads = [threading.Thread(target=add) for _ in range(2)]
     [t.start() for t in threads], [t.join() for t in threads]
     assert held(CommitLog(spark, path, "k").read()) == {"n": 6}
+
+
+def test_manifests_by_renaming(spark, tmp_path):
+    """The way that other file systems than the local one take."""
+    log = CommitLog(spark, f"file://{tmp_path}/log", "k")
+    assert log._renamed('{"folders": []}', log._manifest(1)) and not log._renamed("{", log._manifest(1))
+    assert log.version() == 1 and log.folders(1) == [] and log.read() is None
+    assert sorted(n for n in os.listdir(tmp_path / "log" / "log") if not n.startswith(".")) == ["00000000000000000001.json"]
