@@ -4,7 +4,8 @@ Symbols are the ``head`` (the end of a text and the most frequent words, in clas
 one symbol for each form class of the other repeated words, one for words seen once or never, and the start.
 The output is factored: the class from the state, then, for head classes, the word from the state; in the other
 classes words have fixed shares. Training is truncated backpropagation through time: windows of ``WINDOW``
-steps over parallel streams, the state carried from window to window and cleared at the start of a text.
+steps over parallel streams, the state carried from window to window and cleared at the start of a text; in training a text of over
+4,096 words is several parts, each from a cleared state. Scoring carries the state through the whole text.
 """
 
 from __future__ import annotations

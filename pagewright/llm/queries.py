@@ -23,45 +23,55 @@ from pagewright.llm.toxicity import toxicity
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix takes, and its source's size and target."""
     return taken_words(*mix(documents(spark, sf_dir)))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, lengths and checksums of every document's ids, read back from the files."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     manifest = write_token_files(documents(spark, sf_dir), vocabulary, token_folder(spark), end_id=0)
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
     pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
     return language_id(documents(spark, sf_dir))
 
 
 def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of every document by Jaccard similarity of runs of five words from 0.8 on."""
     return near_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document under the network and under word counts."""
     return lm_scores(documents(spark, sf_dir))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, 0 to 1, and the decision at 0.3."""
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document which row of its equal texts stays."""
     return exact_dedup(documents(spark, sf_dir))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how alike it is to that and to the next text."""
     return edited_fingerprints(documents(spark, sf_dir))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, shards of near equal bytes."""
     return shard_by_bytes(documents(spark, sf_dir), shards=40).select(
         F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
