@@ -32,13 +32,14 @@ def folder(spark, odd, small, labels, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     df.repartition(3).write.parquet(f"{path}/documents.parquet")
     labels.write.parquet(f"{path}/labels.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
     return path
 
