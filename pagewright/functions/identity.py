@@ -25,7 +25,8 @@ HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
 
 def title_hash(c: Column, unicode: bool = True) -> Column:
     """Hex SHA-256 of a title with full-width letters folded, single spaces, lower case."""
-    return F.sha2(normalised(F.translate(c, FULL_WIDTH, HALF_WIDTH), unicode), 256)
+    folded = F.when(c.rlike("[\uff01-\uff5e\u3000]"), F.translate(c, FULL_WIDTH, HALF_WIDTH)).otherwise(c)  # letter by letter only where it must
+    return F.sha2(normalised(folded, unicode), 256)
 
 
 def valid_asin(c: Column) -> Column:
