@@ -9,6 +9,9 @@
    worked on once. In a leaf all pairs are compared exactly, by products of incidence matrices; a leaf over
    ``BLOCK`` sets is cut into blocks whose pairs of blocks are tasks of their own. A pair counts in the
    smallest leaf that it shares, so links are exact counts however often a pair meets.
+   In a leaf over ``BLOCK`` sets, ``PIVOTS`` of them are representatives. Jaccard distance is a metric, so any two sets within half the
+   greatest distance of one representative are linked: they are its ball, and the links within are counted from the ball's size, without
+   comparing (nor listing) its pairs. A set belongs to one ball at most. Only pairs that are not of one ball are compared.
 4. Runs are repeated until a pair at the threshold shares a leaf with chance ``recall``, over all draws of the sampled
    tokens and of the paths. Paths are as long as it takes until groups that share ``SHARED`` of their tokens by
    chance have come down to a leaf's size, so they grow with the logarithm of the table.
@@ -28,7 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.hashes import shingle_sets
@@ -39,6 +42,10 @@ SIMILARITY = 0.8
 COORDINATES = 64
 LEAF = 32
 BLOCK = 512
+#: Representatives tried for each leaf over one block.
+PIVOTS = 8
+#: Parts of a group of any size where a table with a row for each group is joined to its members.
+SALTS = 32
 #: Share of the sets of a group that go on together by a token that need not make them alike.
 SHARED = 0.15
 #: Share of its parent from which a group counts as dense and is a leaf.
@@ -152,19 +159,16 @@ def once(leaves: DataFrame) -> DataFrame:
     return keep(leaves.select("path", "rep").join(kept, "path"), "leaves")
 
 
-def by_blocks(leaves: DataFrame, payload: DataFrame, block: int, work, names: list[str], schema: str) -> DataFrame:
-    """Apply ``work`` (rows of one leaf, or of two of its blocks, as lists by name -> tuples) where they meet.
+def spread(members: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``members`` joined to ``groups`` (one row for each of ``on``), a group's members (rep) over ``SALTS`` tasks."""
+    salted = groups.withColumn("_salt", F.expr(f"explode(sequence(0, {SALTS - 1}))"))
+    own = members.withColumn("_salt", F.expr(f"cast(pmod(xxhash64(rep, 3), {SALTS}) AS int)"))
+    return own.join(salted, [*on, "_salt"], how).drop("_salt")
 
-    Every two blocks of a leaf must meet once, so a set goes to as many tasks as its leaf has blocks: to one, where
-    the leaf has at most ``block`` sets.
-    """
-    own = F.expr(f"cast(pmod(xxhash64(rep), ceil(n / {block})) AS int)")
-    placed = leaves.withColumn("block", own).withColumn("blocks", F.expr(f"cast(ceil(n / {block}) AS int)"))
-    pairs = placed.withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
-    pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("n", "blocks", "other")
-    # a merge join at every size: what is estimated of the leaves says little, and they grow with the table
-    rows = pairs.hint("merge").join(payload, "rep")
-    rows = rows.repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "rep").select(*names)
+
+def in_groups(rows: DataFrame, keys: list[str], order: list[str], names: list[str], work, schema: str) -> DataFrame:
+    """Apply ``work`` to the rows (as dicts of ``names``) of each group, which one task holds at a time; groups are bounded by what calls this."""
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*names)
     shape = [(c.strip().split(" ")) for c in schema.split(",")]
 
     def run(batches):
@@ -173,7 +177,7 @@ def by_blocks(leaves: DataFrame, payload: DataFrame, block: int, work, names: li
         table = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(len(shape))], [n for n, _ in shape])
         for b in batches:
             for r in b.to_pylist():
-                if held and any(held[0][k] != r[k] for k in ("path", "lo", "hi")):
+                if held and any(held[0][k] != r[k] for k in keys):
                     found += work(held)
                     held = []
                 held.append(r)
@@ -187,6 +191,27 @@ def by_blocks(leaves: DataFrame, payload: DataFrame, block: int, work, names: li
     return rows.mapInArrow(run, schema)
 
 
+def by_blocks(leaves: DataFrame, payload: DataFrame, block: int, work, names: list[str], schema: str) -> DataFrame:
+    """Apply ``work`` (rows of one leaf, or of two of its blocks, as dicts) where they meet.
+
+    ``leaves`` has path, rep, n, and inner: null, or how many of the leaf's n sets need not meet one another, the same for all its rows, with
+    within telling whether this set is one of them. Every two other blocks of a leaf must meet once, so a set goes to as many tasks as its
+    leaf has such blocks: to one, where the leaf has at most ``block`` sets.
+    """
+    inner = "coalesce(inner, 0)"
+    placed = leaves.withColumn("first", F.expr(f"cast(ceil({inner} / {block}) AS int)")).withColumn("blocks", F.expr(f"first + cast(ceil((n - {inner}) / {block}) AS int)"))
+    own = F.expr("cast(if(within, pmod(xxhash64(rep), first), first + pmod(xxhash64(rep), blocks - first)) AS int)")
+    pairs = placed.filter("blocks > first").withColumn("block", own)
+    pairs = pairs.withColumn("other", F.expr("explode(sequence(if(within, first, 0), blocks - 1))"))
+    pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("n", "first", "blocks", "inner", "within", "other")
+    # a merge join at every size: what is estimated of the leaves says little, and they grow with the table
+    return in_groups(pairs.hint("merge").join(payload, "rep"), ["path", "lo", "hi"], ["rep"], names, work, schema)
+
+
+def uncut(leaves: DataFrame) -> DataFrame:
+    return leaves.withColumns({"inner": F.lit(None).cast("long"), "within": F.lit(False)})
+
+
 def plausible(leaves: DataFrame, reps: DataFrame, similarity: float, block: int) -> DataFrame:
     """The leaves without sets that are like no other in them, by their sampled tokens: agreement five standard
     deviations below ``similarity`` is let through; by the exact binomial tail a pair at 0.8 fails here 4.2 times in a million. Leaves over
@@ -204,7 +229,7 @@ def plausible(leaves: DataFrame, reps: DataFrame, similarity: float, block: int)
         return [(rows[i]["path"], rows[i]["rep"]) for i in np.flatnonzero(near.any(1)).tolist()]
 
     names = ["path", "lo", "hi", "block", "rep", "sample"]
-    rows = by_blocks(small, reps.select("rep", "sample"), block, likely, names, "path long, rep long")
+    rows = by_blocks(uncut(small), reps.select("rep", "sample"), block, likely, names, "path long, rep long")
     return once(keep(rows.unionByName(large.select("path", "rep")), "plausible"))
 
 
@@ -236,6 +261,63 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return out
 
 
+def near_pivots(rows: list[dict], similarity: float, size: int) -> list[tuple]:
+    """(rep, pivot) for the members of one block that are within half the greatest distance of a pivot of its leaf."""
+    sets = list(shingle_sets(pa.array(unpacked([r["packed"] for r in rows]), pa.large_string()), size))
+    members = [i for i, r in enumerate(rows) if not r["is_pivot"]]
+    if not members:
+        return []
+    sizes = np.array([len(sets[i]) for i in members], np.int64)
+    tokens = np.concatenate([sets[i] for i in members])
+    ends = np.cumsum(sizes)
+    found = []
+    for i, r in enumerate(rows):
+        own = sets[i]
+        if not r["is_pivot"] or not len(own):
+            continue
+        at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+        upto = np.concatenate([[0], np.cumsum(own[at] == tokens)])
+        both = upto[ends] - upto[ends - sizes]
+        # the margin keeps rounding from letting in a pair that is just too far
+        close = both >= (1 + similarity) / 2 * (sizes + len(own) - both) + 1e-9
+        found += [(rows[members[j]]["rep"], r["rep"]) for j in np.flatnonzero(close).tolist()]
+    return found
+
+
+def balls(leaves: DataFrame, payload: DataFrame, similarity: float, size: int, block: int) -> DataFrame:
+    """(rep, ball): for sets of leaves over one block, the pivot whose ball they belong to, the largest of those that hold them.
+
+    A leaf's pivots are the sets that come first by a hash, so leaves that share most of their sets share pivots too.
+    """
+    large = leaves.filter(F.col("n") > block).withColumn("blocks", F.expr(f"cast(ceil(n / {block}) AS int)"))
+    first = F.expr(f"slice(array_sort(collect_list(struct(h, rep))), 1, {PIVOTS})")
+    drawn = large.withColumn("h", F.xxhash64("rep", F.lit(11)))
+    # the first of each part of a leaf, then of the leaf: no list is longer than a part's few
+    least = F.row_number().over(Window.partitionBy("path", "part").orderBy("h", "rep"))
+    drawn = drawn.withColumn("part", F.expr("cast(pmod(xxhash64(rep, 5), blocks) AS int)")).withColumn("at", least).filter(F.col("at") <= PIVOTS)
+    least = F.row_number().over(Window.partitionBy("path", "upper").orderBy("h", "rep"))
+    drawn = drawn.withColumn("upper", F.expr("cast(part div ceil(sqrt(blocks)) AS int)")).withColumn("at", least).filter(F.col("at") <= PIVOTS)
+    pivots = drawn.groupBy("path", "blocks").agg(first.alias("p")).select("path", "blocks", F.expr("explode(p.rep) AS rep"))
+    pivots = pivots.select("path", "rep", F.expr("explode(sequence(0, blocks - 1)) AS lo"), F.lit(True).alias("is_pivot"))
+    members = large.select("path", "rep", F.expr("cast(pmod(xxhash64(rep), blocks) AS int) AS lo"), F.lit(False).alias("is_pivot"))
+    rows = pivots.unionByName(members).hint("merge").join(payload, "rep")
+    names = ["path", "lo", "rep", "is_pivot", "packed"]
+    near = in_groups(rows, ["path", "lo"], ["rep"], names, lambda rows: near_pivots(rows, similarity, size), "rep long, ball long")
+    near = keep(near.distinct(), "near-pivots")
+    held = spread(near, near.groupBy("ball").agg(F.count("*").alias("held")), ["ball"])
+    return keep(held.groupBy("rep").agg(F.max_by("ball", F.struct("held", "ball")).alias("ball")), "balls")
+
+
+def cut_by_balls(leaves: DataFrame, owned: DataFrame, block: int) -> DataFrame:
+    """``leaves`` with ball, and for those over one block inner and within by the ball that has most of their sets."""
+    rows = leaves.join(owned, "rep", "left")
+    sizes = rows.filter((F.col("n") > block) & F.col("ball").isNotNull()).groupBy("path", "ball").agg(F.count("*").alias("inner"))
+    main = sizes.groupBy("path").agg(F.max("inner").alias("inner"), F.max_by("ball", F.struct("inner", "ball")).alias("main"))
+    small = uncut(rows.filter(F.col("n") <= block))
+    large = spread(rows.filter(F.col("n") > block), main, ["path"], "left").withColumn("within", F.expr("ball IS NOT NULL AND ball <=> main")).drop("main")
+    return small.unionByName(large)
+
+
 def local_roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The least id of each row's component."""
     root = ids.copy()
@@ -257,6 +339,8 @@ def compared(rows: list[dict], similarity: float, size: int) -> list[tuple]:
     if not near.any():
         return []
     root = local_roots(near, ids)
+    ball = np.array([-1 if r["ball"] is None else r["ball"] for r in rows], np.int64)
+    near &= (ball[:, None] != ball[None, :]) | (ball[:, None] < 0)  # pairs of one ball are counted by its size
     earlier = sorted({p for r in rows for p in r["paths"] if p < leaf})
     if earlier:  # pairs that share a smaller leaf are counted there
         place = {p: i for i, p in enumerate(earlier)}
@@ -300,10 +384,14 @@ def classed(made: DataFrame, similarity: float, size: int, recall: float, depth:
         leaves = leaves_of(groups.select("rep", "sample"), runs_for(recall, similarity, depth), depth, leaf)
         leaves = plausible(leaves, groups, similarity, block)
         lists = leaves.groupBy("rep").agg(F.collect_set("path").alias("paths"))  # a leaf of each run and branch at most
-        wanted = leaves.join(lists, "rep").join(groups.select("rep", "copies"), "rep")
         payload = made.select("packed", F.col("rid").alias("rep"))
-        names = ["path", "lo", "hi", "block", "rep", "copies", "paths", "packed"]
-        met = keep(by_blocks(wanted, payload, block, lambda rows: compared(rows, similarity, size), names, "rep long, links long, root long"), "links")
+        owned = balls(leaves, payload, similarity, size, block)
+        wanted = cut_by_balls(leaves, owned, block).join(lists, "rep").join(groups.select("rep", "copies"), "rep")
+        names = ["path", "lo", "hi", "block", "rep", "copies", "paths", "ball", "packed"]
+        across = by_blocks(wanted, payload, block, lambda rows: compared(rows, similarity, size), names, "rep long, links long, root long")
+        within = owned.join(groups.select("rep", "copies"), "rep")
+        within = spread(within, within.groupBy("ball").agg(F.sum("copies").alias("all")), ["ball"])
+        met = keep(across.unionByName(within.select("rep", (F.col("all") - F.col("copies")).alias("links"), F.col("ball").alias("root"))), "links")
     drop(spark, meanwhile[:-1])
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -1,9 +1,11 @@
 import hashlib
 import itertools
+import math
+import random
 from collections import Counter
 
 from pagewright.llm.exact_dedup import absorb, deduplicated, digest, exact_dedup
-from pagewright.llm.near_join import near_deduplicated, near_join, runs_for
+from pagewright.llm.near_join import by_blocks, cut_by_balls, near_deduplicated, near_join, runs_for
 from pagewright.llm.sharding import shard_by_bytes
 
 
@@ -75,6 +77,62 @@ def test_near_join_over_blocks(spark):
     assert found == dict(enumerate(links))
 
 
+def variant(rng, base, edits):
+    words = list(base)
+    for i in range(edits):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**9)}x{i}"
+    return " ".join(words)
+
+
+def test_near_join_by_balls(spark):
+    """Two templates whose variants lie within and outside of the balls of pivots, with copies: links as by all pairs."""
+    rng = random.Random(3)
+    bases = [[f"{a}{i}" for i in range(150)] for a in "ab"]
+    texts = [variant(rng, bases[k % 5 == 0], rng.choice([0, 1, 1, 1, 2, 3, 4, 6])) for k in range(240)]
+    texts += texts[:20] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    rows = df.collect()
+    links, classes = brute(rows)
+    found = near_join(df, leaf=8, block=16).collect()
+    assert {r.doc_id: n for r, n in zip(rows, links, strict=True)} == {r.doc_id: r.n_links for r in found}
+    assert len({r.class_id for r in found}) == classes == near_deduplicated(df, leaf=8, block=16).count()
+
+
+def test_a_ball_is_not_compared(spark):
+    """Variants of one template that all lie in one ball: every pair is counted, none is compared."""
+    made = spark.createDataFrame([(p, i, 3000) for p in (1, 2) for i in range(3000)], "path long, rep long, n long")
+    owned = spark.range(2990).selectExpr("id AS rep", "7L AS ball")
+    cut = cut_by_balls(made, owned, 64)
+    met = by_blocks(cut, made.select("rep").distinct(), 64, lambda rows: [(len(rows), rows[0]["path"])], ["path", "lo", "hi", "block", "rep"], "n long, path long").collect()
+    # the ten others meet each of the ball's blocks and themselves
+    assert sum(r.n for r in met) == 2 * (2990 + 47 * 10 + 10) and max(r.n for r in met) <= 160
+    whole = cut_by_balls(made, spark.range(3000).selectExpr("id AS rep", "7L AS ball"), 64)
+    assert not by_blocks(whole, made.select("rep").distinct(), 64, lambda rows: [(len(rows),)], ["path", "lo", "hi", "rep"], "n long").collect()
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(i, variant(rng, base, 1)) for i in range(2500)], "doc_id long, text string").repartition(4)
+    found = near_join(df).collect()
+    assert len(found) == 2500 and all(r.n_links == 2499 and r.class_id == 0 for r in found)
+
+
+def test_near_join_finds_pairs_at_the_threshold(spark):
+    """10,000 sets with 500 planted pairs whose similarity is 0.80 to 0.85."""
+    rng = random.Random(5)
+    texts, pairs = [], 0
+    for k in range(500):
+        n = rng.randrange(60, 120)
+        words = [f"p{k}w{i}" for i in range(n)]
+        # with a tail of t words of its own: n - 4 of n - 4 + t shingles are shared
+        t = rng.randrange(math.ceil((n - 4) * (1 / 0.85 - 1)), math.floor((n - 4) / 4) + 1)
+        assert 0.8 <= (n - 4) / (n - 4 + t) <= 0.85
+        texts += [" ".join(words), " ".join(words + [f"q{k}w{i}" for i in range(t)])]
+        pairs += 1
+    texts += [" ".join(rng.choice("red green blue bird tree cat mat sun moon sea".split()) for _ in range(40)) for _ in range(9000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in near_join(df).collect()}
+    assert [found[i] for i in range(2 * pairs)] == [(i - i % 2, 1) for i in range(2 * pairs)]
+
+
 def test_runs_reach_the_recall():
     assert runs_for(0.9, 0.8, 2) < runs_for(0.9999, 0.8, 2) < runs_for(0.9999, 0.8, 4)
 
