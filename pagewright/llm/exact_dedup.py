@@ -35,7 +35,9 @@ def digest(text: str | None) -> str:
 def text_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256), one row per input row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    # lower() would fold letters beyond A-Z too, which only texts with more octets than characters have
+    plain = F.octet_length(text) == F.char_length(text)
+    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
     return df.select(F.col(id_col).alias("doc_id"), F.sha2(lowered.cast("binary"), 256).alias("text_sha256"))
 
 
