@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import WORD, drop, fresh, keep, numbered, tables
+from pagewright.llm.shared import WORD, drop, fresh, keep, numbered, slices, tables
 
 BLOCK_WORDS = 512
 SHARD_SLOTS = 4096
+#: Bytes of texts that are cut, and given back, at once.
+AT_ONCE = 4_000_000
 MOST_REPEATS = 3
 
 
@@ -258,11 +260,11 @@ def mixed_documents(df: DataFrame, text_col: str = "text", length_col: str | Non
         taken = keep(taken.withColumnRenamed("rid", row), "taken")
     drop(df.sparkSession, meanwhile[:-1])
     rows = base.join(taken, row).select(*[F.col(f"`{c}`") for c in df.columns], got)
-    out = df.schema
+    out, text_no = df.schema, df.columns.index(text_col)
 
     def cut(batches):
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+        for b in (part for batch in batches for part in slices(batch, text_no, AT_ONCE)):
+            texts = b.column(text_no).to_pylist()
             index, made = [], []
             for i, held in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 for k in sorted({x["pass"] for x in held}):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.hashes import shingle_sets
-from pagewright.llm.shared import drop, keep, tables
+from pagewright.llm.shared import drop, keep, slices, tables
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -430,7 +430,7 @@ def near_deduplicated(
     stays = made.join(lost, "rid", "left_anti").select(*[f"c{i}" for i in range(len(carry))], "packed")
 
     def whole(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, len(carry), 1_000_000)):
             columns = dict(zip(carry, b.columns[:-1], strict=True)) | {text_col: pa.array(unpacked(b.column(len(carry)).to_pylist()), pa.string())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 

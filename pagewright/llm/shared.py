@@ -6,6 +6,9 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +81,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """Runs of the batch's rows with at most ``at_once`` bytes in a column (or one larger row), so that what is made of a run stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + at_once, "right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _has_places(df: DataFrame) -> bool:
     """Whether ``df`` is a table as it was read, of a format that tells a row's file and place (Parquet does, JSON and ORC do not)."""
     plan = getattr(df, "_jdf", None)  # a remote session shows no plan

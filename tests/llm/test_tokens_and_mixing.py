@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pagewright.llm.mixing import joined_runs, mix, mixed_documents, permuted, taken_texts, taken_words, targets
 from pagewright.llm.packing import cuts, pack
+from pagewright.llm.shared import slices
 from pagewright.llm.tokenfiles import EliasFano, elias_fano, read_token_files, token_folder, write_token_files
 from pagewright.llm.tokens import Encoder
 from tokenizers import Tokenizer
@@ -102,3 +103,12 @@ def test_mixed_documents_hold_the_words_taken(odd, none):
     assert out.columns == odd.columns and sum(len((r.text or "").encode().split()) for r in out.collect()) == taken
     assert mixed_documents(none).count() == 0
     assert taken_texts(" a b  c ", [(0, 3), (1, 3)]) == [" a b  c ", "b  c"] and joined_runs([(5, 2), (0, 5), (9, 1)]) == [(0, 7), (9, 10)]
+
+
+def test_slices_hold_bounded_texts_and_all_rows():
+    texts = ["a" * 10, None, "b" * 300, "", "c" * 50, "d" * 50, "é" * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["n", "text"])
+    found = [p.column(1).to_pylist() for p in slices(batch, 1, 100)]
+    assert [t for p in found for t in p] == texts and len(found) == 4
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 100 for p in found)
+    assert not list(slices(batch.slice(0, 0), 1, 100)) and next(slices(batch.slice(2, 2), 1, 100)).column(0).to_pylist() == [2]
