@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import edit_similarity
-
 #: Rows of a key on one side that one task gets.
 MOST = 5_000
 
@@ -28,8 +26,10 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], most: int = M
         mine = F.pmod(F.xxhash64(*(values or keys)), F.col(own_parts)).cast("int")
         return df.join(parts, keys).select(*df.columns, mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)).alias(other))
 
-    both = dealt(left, "_l", "_r", "_left", "_right").join(dealt(right, "_r", "_l", "_right", "_left"), [*keys, "_l", "_r"])
-    return both.drop("_l", "_r")
+    # rows are few beside the pairs that come of them, so tasks are not left to be merged by the size of what they read
+    tasks, on = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "_l", "_r"]
+    a, b = dealt(left, "_l", "_r", "_left", "_right"), dealt(right, "_r", "_l", "_right", "_left")
+    return a.repartition(tasks, *on).join(b.repartition(tasks, *on), on).drop("_l", "_r")
 
 
 def similar_sets(df: DataFrame, text: str, members: Column, least: float, measure: str = "jaccard", most: int = MOST) -> DataFrame:
@@ -55,20 +55,40 @@ def similar_sets(df: DataFrame, text: str, members: Column, least: float, measur
     return pairs.select(F.col("ta").alias("a"), F.col("tb").alias("b"), alike.alias("similarity")).filter(F.col("similarity") >= least - 1e-12)
 
 
+def _marks(text: Column, width: int) -> Column:
+    """64 bits: which of the text's runs of ``width`` letters there are, by their hashes."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(width)))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    # never null: else a join on marks would look for nulls among them in every row that is read, copies too
+    return F.coalesce(F.aggregate(runs, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x))), F.lit(0).cast("long"))
+
+
 def similar_texts(new: DataFrame, old: DataFrame, least: float = 0.85, most: int = MOST) -> DataFrame:
     """(title, near, pos, similarity): all pairs of a new title and another existing one (title, pos) whose edit similarity is ``least`` or more.
 
-    Titles are joined by (length, piece's number, piece). Empty titles are alike to nothing else.
+    Titles are joined by (length, piece's number, piece). A pair that shares several pieces is met at the first of them alone, so pairs are never made
+    distinct, and distances are counted no further than the edits allowed. An edit alters at most two of the letters that a text has and four of its pairs
+    of letters, so most other pairs are told apart by bits. Empty titles are alike to nothing else.
     """
     edits = F.floor(F.col("_m") * ((1 - least) / least) + 1e-9).cast("int")  # that leave an existing title of length _m similar enough
-    cut = lambda i: F.expr(f"(({i}) * _m) div (_e + 1)")
-    o = old.select(F.col("title").alias("near"), F.lower("title").alias("_t"), F.length("title").alias("_m"), "pos").withColumn("_e", edits)
-    o = o.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_e")))).withColumn("_piece", F.substring(F.col("_t"), cut("_i") + 1, cut("_i + 1") - cut("_i")))
-    reach = F.sequence(F.ceil(F.col("_l") * least - 1e-9).cast("int"), F.floor(F.col("_l") / least + 1e-9).cast("int"))
-    n = new.select("title", F.lower("title").alias("_t"), F.length("title").alias("_l")).withColumn("_m", F.explode(reach)).withColumn("_e", edits)
-    n = n.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_e"))))
-    moved = F.sequence(F.greatest(F.lit(0), cut("_i") - F.col("_e")), F.least(F.col("_l"), cut("_i") + F.col("_e")))
-    n = n.withColumn("_at", F.explode(moved)).withColumn("_piece", F.substring(F.col("_t"), F.col("_at") + 1, cut("_i + 1") - cut("_i")))
-    pairs = split_join(n.select("title", "_m", "_i", "_piece").distinct(), o.select("near", "pos", "_m", "_i", "_piece"), ["_m", "_i", "_piece"], most)
-    pairs = pairs.filter("title <> near").select("title", "near", "pos").distinct()
-    return pairs.withColumn("similarity", edit_similarity(F.col("title"), F.col("near"))).filter(F.col("similarity") >= least)
+    cut = lambda i: F.floor(i * F.col("_m") / (F.col("_e") + 1)).cast("int")
+    piece = lambda text, at, i: F.substring(text, at + 1, cut(i + 1) - cut(i))
+    first, last = lambda i: F.greatest(F.lit(0), cut(i) - F.col("_e")), lambda i: F.least(F.col("_n"), cut(i) + F.col("_e"))
+    i = F.col("_i")
+    lower, marks = F.lower("title"), [_marks(F.lower("title"), k) for k in (1, 2)]
+    tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a title makes hundreds of rows
+    o = old.select("title", "pos").distinct().repartition(tasks, "title").select(F.col("title").alias("near"), "pos", lower.alias("_u"), F.length(lower).alias("_m"), marks[0].alias("_y1"), marks[1].alias("_y2"))
+    o = o.withColumn("_e", edits).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_e")))).withColumn("_piece", piece(F.col("_u"), cut(i), i)).drop("_e")
+    reach = F.sequence(F.ceil(F.col("_n") * least - 1e-9).cast("int"), F.floor(F.col("_n") / least + 1e-9).cast("int"))
+    n = new.select("title").distinct().repartition(tasks, "title").select("title", lower.alias("_t"), F.length(lower).alias("_n"), marks[0].alias("_x1"), marks[1].alias("_x2"))
+    n = n.withColumn("_m", F.explode(reach)).withColumn("_e", edits).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_e"))))
+    n = n.withColumn("_piece", F.explode(F.array_distinct(F.transform(F.sequence(first(i), last(i)), lambda at: piece(F.col("_t"), at, i))))).drop("_e")
+    longest = F.greatest("_n", "_m")
+    allowed = F.floor(longest * (1 - least) + 1e-9).cast("int")
+    apart = lambda k: F.bit_count(F.col(f"_x{k}").bitwiseXOR(F.col(f"_y{k}")))
+    pairs = split_join(n, o, ["_m", "_i", "_piece"], most).filter((F.col("title") != F.col("near")) & (apart(1) <= 2 * allowed) & (apart(2) <= 4 * allowed))
+    pairs = pairs.withColumns({"_d": F.call_function("levenshtein", F.col("_t"), F.col("_u"), allowed), "_e": edits}).filter("_d >= 0")
+    within = lambda j: F.substring(F.col("_t"), first(j) + 1, last(j) - first(j) + cut(j + 1) - cut(j))
+    met = F.exists(F.sequence(F.lit(0), i), lambda j: (j < i) & (F.call_function("instr", within(j), piece(F.col("_u"), cut(j), j)) > 0))
+    similarity = F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.col("_d") / longest)
+    return pairs.filter(~met).select("title", "near", "pos", similarity.alias("similarity")).filter(F.col("similarity") >= least)

@@ -64,6 +64,19 @@ def test_similar_texts(spark, most):
     assert len(rows) == len(got) and got == pytest.approx(want) and len(want) > 10
 
 
+def test_similar_texts_are_met_once_and_in_many_tasks(spark):
+    """Titles of few words share most pieces; their pairs are not made distinct, and the join's tasks are as many as are asked for."""
+    words = ["large ring", "small ring", "hot bolt", "cold bolt"]
+    texts = [f"{w} {k} Brand#{b}" for w in words for k in ("LARGE", "PROMO") for b in range(7, 18)]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "title string, pos int")
+    found = similarity.similar_texts(df.select("title"), df)
+    rows = [(r.title, r.near) for r in found.collect()]
+    want = {(a, b) for a in texts for b in texts if a != b and 1 - distance(a.lower(), b.lower()) / max(len(a), len(b)) >= 0.85}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert "Aggregate [title" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert similarity.split_join(df, df.withColumnRenamed("pos", "at"), ["title"]).rdd.getNumPartitions() == 4
+
+
 def test_split_join_equals_a_join(spark):
     left = spark.createDataFrame([(i % 3, i) for i in range(50)] + [(9, 1), (None, 2)], "k int, x int")
     right = spark.createDataFrame([(i % 3, -i) for i in range(40)] + [(8, 1), (None, 2)], "k int, y int")
