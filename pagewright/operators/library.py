@@ -147,10 +147,13 @@ def creations(asked: DataFrame, store: DataFrame, key_of, most: int = 100) -> Da
     held = store.select("key", F.col("title").alias("_held")).dropDuplicates(["key"])
     rows = asked.withColumn("key", key_of(F.col("title"), F.col("author"))).join(held, "key", "left")
     taken = F.col("_held").isNotNull()
-    tries = rows.filter(taken & (F.col("resolution") == "new")).select("seq", "title", "author", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
+    # a title's copies are tried once, however many ask for it
+    wanted = rows.filter(taken & (F.col("resolution") == "new")).select("title", "author").distinct()
+    tries = wanted.select("title", "author", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
     tries = tries.withColumn("copy", F.concat("title", F.repeat(F.lit(" (copy)"), F.col("n")))).withColumn("key", key_of(F.col("copy"), F.col("author")))
-    first = tries.join(held, "key", "left_anti").groupBy("seq").agg(F.min_by(F.struct("key", "copy"), "n").alias("_c"))
-    rows = rows.join(first, "seq", "left")
+    first = tries.join(held, "key", "left_anti").groupBy("title", "author").agg(F.min_by(F.struct("key", "copy"), "n").alias("_c"))
+    first = first.select(F.col("title").alias("_title"), F.col("author").alias("_author"), "_c")
+    rows = rows.join(first, F.col("title").eqNullSafe(F.col("_title")) & F.col("author").eqNullSafe(F.col("_author")), "left")
     outcome = (
         F.when(~taken, "created").when(F.col("resolution") == "replace", "replaced").when(F.col("resolution") == "skip", "skipped")
         .when((F.col("resolution") == "new") & F.col("_c").isNotNull(), "created").when(F.col("resolution") == "new", "failed").otherwise("conflict")
