@@ -168,9 +168,11 @@ def trash_requests(requests: DataFrame, trashed: DataFrame, live: DataFrame, slu
     A slot's requests are answered in the order of seq, its first that succeeds takes it away; of several slots of one project that are
     restored the first takes the place, the others are conflicts.
     """
-    held = requests.join(trashed.select("slot", slug), "slot", "left").join(live.select(slug).distinct().withColumn("_live", F.lit(True)), slug, "left")
+    places = trashed.filter(F.col(slug).isNotNull()).select("slot", slug).join(live.select(slug).distinct().withColumn("_live", F.lit(True)), slug, "left")
+    held = requests.join(places, "slot", "left")
     known, taken = F.col(slug).isNotNull(), F.col("_live").isNotNull()
-    own, place = Window.partitionBy("slot").orderBy("seq"), Window.partitionBy(slug).orderBy("seq")
+    # requests for slots that nobody has are by slot, never all in one task
+    own, place = Window.partitionBy("slot").orderBy("seq"), Window.partitionBy(slug, F.when(~known, F.col("slot"))).orderBy("seq")
     before = lambda c, w: F.coalesce(F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     # a purge, or a restore to a free place, takes the slot away; a first restore takes the place
     purged = before(known & (F.col("action") == "purge"), own)

@@ -1,6 +1,9 @@
 """Work of queries over copies of their tables: what one task or one Python process gets must not grow with them."""
 
+import re
+
 from pagewright.operators import library as L
+from pagewright.operators import queue
 from pyspark.sql import functions as F
 
 
@@ -14,3 +17,12 @@ def test_copies_of_a_title_are_tried_once(spark):
     lines = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
     tried = next(i for i, x in enumerate(lines) if "Generate explode" in x)
     assert any("Aggregate [title" in x for x in lines[tried:])
+
+
+def test_requests_for_unknown_slots_are_spread(spark):
+    asked = spark.range(4000).selectExpr("id AS seq", "'restore' AS action", "concat('no-', id) AS slot")
+    trashed = spark.createDataFrame([("a", "a-1"), ("b", "b-1")], "slug string, slot string")
+    answers = queue.trash_requests(asked, trashed, trashed.select("slug").limit(0), "slug")
+    assert {(r.answer, r["count"]) for r in answers.groupBy("answer").count().collect()} == {("not found", 4000)}
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"windowspecdefinition\(slug#\d+, ", plan) and not re.search(r"windowspecdefinition\(slug#\d+, seq", plan)
