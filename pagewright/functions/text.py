@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -61,15 +62,26 @@ IGNORABLE = (
 STAGES = ("new", "parsed", "mapped", "transcoded", "uploaded", "done")
 
 
+#: Texts that Python holds as its own objects at a time.
+HELD = 64
+
+
 def normal_form(form: str):
-    """A function of a column for a Unicode normal form (NFC, NFKC ...); only texts that are not plain ASCII go to Python."""
+    """A function of a column for a Unicode normal form (NFC, NFKC ...); only texts with a letter that it may alter go to Python.
+
+    Letters below U+0300 do not combine with each other, so a text of such letters that are their own form is its own form.
+    """
+    altered = [i for i in range(0x300) if unicodedata.normalize(form, chr(i)) != chr(i)]
+    risky = "[" + "".join(rf"\x{{{i:x}}}" for i in altered) + r"\x{300}-\x{10ffff}]"
 
-    @F.pandas_udf("string")
-    def normalised(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+    @F.arrow_udf("string")
+    def normalised(text: pa.Array) -> pa.Array:
+        parts = (text.slice(i, HELD).to_pylist() for i in range(0, len(text), HELD))
+        made = [pa.array([None if x is None else unicodedata.normalize(form, x) for x in part], pa.string()) for part in parts]
+        return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     def column(c: Column) -> Column:
-        plain = F.octet_length(c) == F.char_length(c)
+        plain = (F.octet_length(c) == F.char_length(c)) | ~c.rlike(risky)
         return F.when(plain, c).otherwise(normalised(F.when(~plain, c)))
 
     return column

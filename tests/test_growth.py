@@ -1,12 +1,27 @@
 """Work of queries over copies of their tables: what one task or one Python process gets must not grow with them."""
 
 import re
+import unicodedata
 
+import pytest
+from pagewright.functions import text as T
 from pagewright.operators import library as L
 from pagewright.operators import queue
 from pyspark.sql import functions as F
 
 
+@pytest.mark.parametrize("form", ["NFC", "NFKC", "NFD", "NFKD"])
+def test_only_texts_that_a_normal_form_alters_go_to_python(spark, form):
+    odd = ["", None, "plain", "déjà vu ß", "ét", "ẛ̣", "ﬁn", "½ µ ª", " ", "가", "가", "Ǆ", "漢字ｶﾞ", "á̧", "\U0001d15e", "क़"]
+    texts = odd + [chr(i) + chr(j) for i in range(0, 0x300, 7) for j in (0x41, 0xE9, 0x17F, 0x301)] + [chr(i) for i in range(0x300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", T.normal_form(form)(F.col("t")).alias("n")).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize(form, t) for i, t in enumerate(texts)}
+    if form == "NFC":
+        plan = df.select(T.normal_form(form)(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "NOT RLIKE(" in plan  # accents alone do not send a text there
+
+
 def test_copies_of_a_title_are_tried_once(spark):
     key_of = lambda t, a: F.concat(F.lower(t), F.lit("|"), F.coalesce(a, F.lit("")))
     held = spark.createDataFrame([("a|", "A"), ("a (copy)|", "x"), ("b|ann", "B")], "key string, title string")
