@@ -96,9 +96,15 @@ def a8_library_counts(spark, sf):
     )
 
 
-@query(f"WITH {_PROJECTS} SELECT status AS class, count(*) AS n FROM s GROUP BY status")
+@query(f"""WITH {_PROJECTS} SELECT segment, status AS class, count(*) AS n, max(activity) AS last_activity, grouping(segment) = 1 AS all_segments
+    FROM s GROUP BY GROUPING SETS ((segment, status), (status))""")
 def a17_health_counts(spark, sf):
-    return with_status(spark, sf).groupBy(F.col("status").alias("class")).agg(F.count("*").alias("n"))
+    """Projects by status with their last activity, in each shelf and over all."""
+    rows = with_status(spark, sf).withColumnRenamed("status", "class")
+    counts = rows.groupingSets([["segment", "class"], ["class"]], "segment", "class").agg(
+        F.count("*").alias("n"), F.max("activity").alias("last_activity"), (F.grouping("segment") == 1).alias("all_segments")
+    )
+    return counts.select("segment", "class", "n", "last_activity", "all_segments")
 
 
 @query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS k FROM events) WHERE k = 1""")

@@ -7,6 +7,7 @@ import pytest
 from pagewright.functions import text as T
 from pagewright.operators import library as L
 from pagewright.operators import queue
+from pagewright.queries import QUERIES
 from pyspark.sql import functions as F
 
 
@@ -41,3 +42,13 @@ def test_requests_for_unknown_slots_are_spread(spark):
     assert {(r.answer, r["count"]) for r in answers.groupBy("answer").count().collect()} == {("not found", 4000)}
     plan = answers._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"windowspecdefinition\(slug#\d+, ", plan) and not re.search(r"windowspecdefinition\(slug#\d+, seq", plan)
+
+
+def test_health_counts_are_by_shelf_and_over_all(spark):
+    rows = QUERIES["a17_health_counts"](spark, "/root/testdata/sf0.001").collect()
+    shelves = {(r.segment, r["class"]): r.n for r in rows if not r.all_segments}
+    every = {r["class"]: (r.n, r.last_activity) for r in rows if r.all_segments}
+    assert len({s for s, _ in shelves}) > 1 and sum(shelves.values()) == sum(n for n, _ in every.values())
+    for c, (n, last) in every.items():
+        assert n == sum(v for (_, k), v in shelves.items() if k == c)
+        assert last == max((r.last_activity for r in rows if r["class"] == c and not r.all_segments and r.last_activity), default=None)
