@@ -9,6 +9,8 @@ texts are empty; of several mapping rows of a chapter the least track counts; re
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,7 +125,7 @@ def plan_of(
     A run of chapters with one track is a step; chapters without a track are left out. Tracks that no chapter of
     ``every`` (skipped ones too) has and that are not in ``parking`` are steps of a single space, numbered after all chapters.
     """
-    fine = mapping.select(book).distinct().join(mapping_errors(chapters, tracks, mapping, book, position, order), book, "left_anti")
+    fine = M.apart(mapping.select(book).distinct().join(mapping_errors(chapters, tracks, mapping, book, position, order), book, "left_anti"), book)
     own = mapping.groupBy(book, order).agg(F.min("track").alias("track"))
     rows = chapters.join(fine, book, "left_semi").join(own, [book, order])
     w = Window.partitionBy(book).orderBy(position)
@@ -144,11 +146,11 @@ def chosen_plan(kinds: DataFrame, plans: dict[str, DataFrame], book: str) -> Dat
     """The steps of each book from the first of ``plans`` (in order) that the book has; ``kinds`` has book and a flag for each."""
     first = F.coalesce(*[F.when(F.col(k), F.lit(k)) for k in plans])
     picked = kinds.select(book, first.alias("kind"))
-    parts = [df.join(picked.filter(F.col("kind") == k), book) for k, df in plans.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds_of: dict[int, list[str]] = {}
+    for k, df in plans.items():
+        kinds_of.setdefault(id(df), []).append(k)  # a plan that serves several kinds is made once
+    parts = [M.apart(plans[ks[0]], book).join(picked.filter(F.col("kind").isin(ks)), book) for ks in kinds_of.values()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def is_settled(touched: Column, track: Column, confidence: Column, least: float = 0.6) -> Column:

@@ -46,6 +46,14 @@ def numbered(df: DataFrame, book: str, order: list, out: str) -> DataFrame:
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(book).orderBy(*order)) - 1).cast("long"))
 
 
+def apart(df: DataFrame, book: str) -> DataFrame:
+    """The same rows, made in a stage of their own: else all that is by book is one stage, and one task has the sorts of every part of a plan.
+
+    Rows are dealt by another hash than joins use, as Spark leaves out a shuffle by ``book`` where rows are dealt so already.
+    """
+    return df.repartition(F.xxhash64(book))
+
+
 def positional_pairs(chapters: DataFrame, tracks: DataFrame, book: str, position: str = "pos", equal_only: bool = True) -> DataFrame:
     """Chapters joined to the track of the same position; with ``equal_only`` just for books whose counts agree."""
     if not equal_only:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.matching import proportional_pack
+from pagewright.operators.matching import apart, proportional_pack
 
 _STEP = ["chapter_index", "track", "degraded", "first_chapter", "end_chapter"]
 
@@ -32,7 +32,7 @@ def plan_steps(chapters: DataFrame, tracks: DataFrame, decisions: DataFrame, boo
     ``decisions`` has one row per book: book and response. ``position`` numbers chapters and tracks from 0 without
     gaps, ``order`` is the chapters' own numbering, which may have gaps.
     """
-    k = _counted(chapters, tracks, decisions, book, order)
+    k = apart(_counted(chapters, tracks, decisions, book, order), book)
     c, t = chapters.select(book, position, order), tracks.select(book, position)
     place = F.col(position).cast("long")
 
@@ -47,7 +47,7 @@ def plan_steps(chapters: DataFrame, tracks: DataFrame, decisions: DataFrame, boo
     further = t.join(k, book).filter((F.col("response") == "pair_accept") & (place >= F.col("_c")))
     further = steps(further, F.col("_base") + place - F.col("_c"), place, F.lit(True), zero, zero)
     split = k.filter("response = 'split_proportional' AND _c > 0 AND _t > 0").select(book)
-    packed = proportional_pack(chapters.join(split, book, "left_semi"), tracks.join(split, book, "left_semi"), book, position, chars, seconds)
+    packed = apart(proportional_pack(chapters.join(split, book, "left_semi"), tracks.join(split, book, "left_semi"), book, position, chars, seconds), book)
     first, end = F.col("first_chapter"), F.col("end_chapter")
     packed = steps(packed, F.col("track"), F.col("track"), first == end, first, end)
     return single.unionByName(paired).unionByName(further).unionByName(packed)

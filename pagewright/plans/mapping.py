@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import mapping as P
 from pagewright.operators import matching as M
 from pagewright.plans.matching import _CHAPTERS, _TRACKS, a1_count_classify, chapters, tracks
-from pagewright.plans.planning import p6_decided_plan
+from pagewright.plans.planning import decided_steps, p6_decided_plan
 from pagewright.plans.registry import ORACLE_SQL, query, table
 
 _SKIPS = "turn % 5 = 3"
@@ -182,11 +182,14 @@ _KINDS = f"""kk AS (SELECT book, book % 3 = 0 AS mapping, book % 3 = 1 AS decisi
     steps AS (SELECT plan.*, kind FROM plan JOIN kind USING (book) WHERE kind = 'mapping' UNION ALL SELECT d.*, kind FROM ({ORACLE_SQL["p6_decided_plan"]}) d JOIN kind USING (book) WHERE kind IN ('decision', 'pairs'))"""
 
 
-def prioritised(spark, sf):
-    """Kinds of plan that each book has, and its steps by the first kind."""
-    decided = p6_decided_plan(spark, sf)
+def prioritised(spark, sf, bodies: bool = True):
+    """Kinds of plan that each book has, and its steps by the first kind; without bodies, each book's counts of its steps."""
+    decided, own = p6_decided_plan(spark, sf) if bodies else decided_steps(spark, sf)[1], edited_plan(spark, sf)
+    if not bodies:
+        counts = lambda df: df.groupBy("book").agg(F.count("*").alias("steps"), F.count_if("degraded").alias("degraded"))
+        decided, own = counts(decided), counts(own)
     kinds = a1_count_classify(spark, sf).select("book", (F.col("book") % 3 == 0).alias("mapping"), (F.col("book") % 3 == 1).alias("decision"), F.col("condition").isNull().alias("pairs"))
-    return kinds, P.chosen_plan(kinds, {"mapping": edited_plan(spark, sf), "decision": decided, "pairs": decided}, "book")
+    return kinds, P.chosen_plan(kinds, {"mapping": own, "decision": decided, "pairs": decided}, "book")
 
 
 @query(f"WITH {_PLAN}, {_KINDS} SELECT book, chapter_index, track, degraded, chapters, body_md5, kind FROM steps")
@@ -198,8 +201,8 @@ def p4_prioritised_plan(spark, sf):
 @query(f"WITH {_PLAN}, {_KINDS} SELECT kk.book, count(steps.book) AS steps, count(*) FILTER (degraded) AS degraded FROM kk LEFT JOIN steps USING (book) GROUP BY kk.book")
 def p7_preview(spark, sf):
     """How many steps a start would make; none for books that wait for a decision."""
-    kinds, steps = prioritised(spark, sf)
-    counts = steps.groupBy("book").agg(F.count("*").alias("steps"), F.count_if("degraded").alias("degraded"))
+    kinds, steps = prioritised(spark, sf, bodies=False)
+    counts = steps.groupBy("book").agg(F.sum("steps").alias("steps"), F.sum("degraded").alias("degraded"))
     return kinds.select("book").join(counts, "book", "left").fillna(0, ["steps", "degraded"])
 
 

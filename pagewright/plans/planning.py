@@ -10,6 +10,15 @@ from pagewright.plans.matching import _CHAPTERS, _TRACKS, a1_count_classify, cha
 from pagewright.plans.registry import ORACLE_SQL, query
 
 
+def decided_steps(spark, sf):
+    """The chapters, and the steps of every book under the response chosen beforehand, without their bodies."""
+    c, t = chapters(spark, sf), tracks(spark, sf)
+    response = F.when(F.col("condition").isNull(), "pair_drop").otherwise(F.col("preselect"))
+    decisions = a1_count_classify(spark, sf).select("book", response.alias("response"))
+    own = t.join(c.select("book").distinct(), "book", "left_semi")
+    return c, P.plan_steps(c, own, decisions, "book", "pos", "turn", "chars", "seconds")
+
+
 @query(f"""WITH {_CHAPTERS}, {_TRACKS},
     k AS (SELECT book, chapters AS nc, tracks AS nt, CASE WHEN condition IS NULL THEN 'pair_drop' ELSE preselect END AS response FROM ({ORACLE_SQL["a1_count_classify"]})),
     w AS (SELECT * FROM ({ORACLE_SQL["w5_proportional_pack"]})), base AS (SELECT book, max(turn) + 1 AS base FROM c GROUP BY book),
@@ -22,12 +31,8 @@ from pagewright.plans.registry import ORACLE_SQL, query
     FROM s LEFT JOIN c ON c.book = s.book AND c.pos >= first_chapter AND c.pos < end_chapter GROUP BY s.book, chapter_index, track, degraded, first_chapter, end_chapter""")
 def p6_decided_plan(spark, sf):
     """Steps of every book under the response chosen beforehand (equal counts: pairs)."""
-    c, t = chapters(spark, sf), tracks(spark, sf)
-    response = F.when(F.col("condition").isNull(), "pair_drop").otherwise(F.col("preselect"))
-    decisions = a1_count_classify(spark, sf).select("book", response.alias("response"))
-    own = t.join(c.select("book").distinct(), "book", "left_semi")
-    steps = P.with_bodies(P.plan_steps(c, own, decisions, "book", "pos", "turn", "chars", "seconds"), c, "book", "pos", "text")
-    return steps.select("book", "chapter_index", "track", "degraded", "chapters", F.md5("body").alias("body_md5"))
+    c, steps = decided_steps(spark, sf)
+    return P.with_bodies(steps, c, "book", "pos", "text").select("book", "chapter_index", "track", "degraded", "chapters", F.md5("body").alias("body_md5"))
 
 
 @query(f"""SELECT book, CASE WHEN tracks = 0 THEN 'a split needs chapters and tracks' END AS error FROM ({ORACLE_SQL["a1_count_classify"]}) WHERE tracks = 0""")

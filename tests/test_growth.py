@@ -6,7 +6,7 @@ import unicodedata
 import pytest
 from pagewright.functions import text as T
 from pagewright.operators import library as L
-from pagewright.operators import queue
+from pagewright.operators import mapping, queue
 from pagewright.queries import QUERIES
 from pyspark.sql import functions as F
 
@@ -52,3 +52,14 @@ def test_health_counts_are_by_shelf_and_over_all(spark):
     for c, (n, last) in every.items():
         assert n == sum(v for (_, k), v in shelves.items() if k == c)
         assert last == max((r.last_activity for r in rows if r["class"] == c and not r.all_segments and r.last_activity), default=None)
+
+
+def test_a_plan_that_serves_several_kinds_is_made_once_and_apart(spark):
+    kinds = spark.createDataFrame([(1, True, False), (2, False, True), (3, False, False)], "book int, a boolean, b boolean")
+    steps = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30)], "book int, step int")
+    chosen = mapping.chosen_plan(kinds, {"a": steps, "b": steps}, "book")
+    assert sorted((r.book, r.step, r.kind) for r in chosen.collect()) == [(1, 10, "a"), (1, 11, "a"), (2, 20, "b")]
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    counted = QUERIES["p7_preview"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert counted.count("REPARTITION_BY_COL") >= 4  # parts of a plan end in a shuffle that Spark does not leave out
