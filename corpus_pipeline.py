@@ -18,7 +18,7 @@ from pagewright.llm.exact_dedup import deduplicated
 from pagewright.llm.mixing import mixed_documents
 from pagewright.llm.near_join import near_deduplicated
 from pagewright.llm.packing import pack
-from pagewright.llm.shared import documents, drop, keep, tables
+from pagewright.llm.shared import documents, drop, keep, small_batches, tables
 from pagewright.llm.toxicity import not_toxic
 
 #: No SQL can express the classifier, the sampled join or the tokenizer.
@@ -31,6 +31,7 @@ def stage(step):
     @wraps(step)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop(spark, _kept)
+        small_batches(spark)  # stays set, as a stage's rows are made after it has returned
         with tables() as made:
             out = step(spark, docs, sf_dir)
         _kept[:] = made

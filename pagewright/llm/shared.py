@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that go to a Python worker at once, where ``small_batches`` has set it.
+BATCH_BYTES = 4_000_000
 #: The lists that tables written by keep() are noted in, the innermost last.
 _noted: list[list[str]] = []
 
@@ -91,6 +93,18 @@ def slices(batch: pa.RecordBatch, column: int, at_once: int) -> Iterator[pa.Reco
         begin = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on an Arrow batch of this session holds at most ``BATCH_BYTES`` (or one larger row); a smaller limit stays.
+
+    Spark's own limits are 10,000 rows and 64 MB. An executor holds such a batch several times for each task, as what it sends to Python and
+    as what it gets back, in buffers that are powers of two outside of its heap, and Python once more with what is made of it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def _has_places(df: DataFrame) -> bool:
     """Whether ``df`` is a table as it was read, of a format that tells a row's file and place (Parquet does, JSON and ORC do not)."""
     plan = getattr(df, "_jdf", None)  # a remote session shows no plan

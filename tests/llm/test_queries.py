@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pagewright.llm import gru
 from pagewright.llm import queries as Q
+from pagewright.llm.shared import small_batches
 from tokenizers import Tokenizer
 
 from .test_dedup_and_shards import brute
@@ -231,5 +233,23 @@ def test_pipeline_stage_by_stage(spark, folder, docs, tmp_path):
     assert whole.count() == held[-1] and whole.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_stages_get_small_batches(spark, folder):
+    """Of 3,000 texts of 8 KB, whichever stage has been called, no batch of over 4 MB goes to Python; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for step in (s for _, s in corpus_pipeline.STAGES):
+            spark.conf.set(name, "64m")
+            step(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            long = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('abcdefg ', 1000) AS text")
+            sizes = long.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+            assert 24_000_000 <= sum(r.n for r in sizes) and max(r.n for r in sizes) <= 4_100_000
+        spark.conf.set(name, "1m")
+        small_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_pipeline_of_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
