@@ -147,6 +147,7 @@ def leaves_of(reps: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
                 f"if(pmod(xxhash64(path, 0), 4) = 0 AND {one} <> {two}, xxhash64(path, {two}, {token(two)}), null)), x -> x IS NOT NULL)"
             )
             level = level.join(reps.select("rep", "sample"), "rep").select("rep", F.col("n").alias("parent"), F.expr(f"explode({next_paths}) AS path"))
+            level = keep(level, f"steps-{k}")  # read twice, for the groups' sizes and for their members: else all paths are made twice
         out = once(found)
     drop(spark, made[:-1])
     return out

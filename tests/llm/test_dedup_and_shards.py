@@ -4,8 +4,10 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+from pagewright.llm import near_join as paths
 from pagewright.llm.exact_dedup import absorb, deduplicated, digest, exact_dedup
-from pagewright.llm.near_join import by_blocks, cut_by_balls, near_deduplicated, near_join, runs_for
+from pagewright.llm.near_join import by_blocks, cut_by_balls, leaves_of, near_deduplicated, near_join, runs_for
 from pagewright.llm.sharding import shard_by_bytes
 
 
@@ -133,6 +135,33 @@ def test_near_join_finds_pairs_at_the_threshold(spark):
     assert [found[i] for i in range(2 * pairs)] == [(i - i % 2, 1) for i in range(2 * pairs)]
 
 
+def test_paths_are_made_once_and_follow_the_group(spark, monkeypatch):
+    """Below the first level no table of paths makes them anew for its sizes and its members, and a group four times as large makes some four times the rows."""
+    plans, made = {}, {}
+
+    def noted(df, name, keep=paths.keep):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+        out = keep(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(paths, "keep", noted)
+    rng = np.random.default_rng(6)
+    template = rng.integers(0, 1 << 32, paths.COORDINATES, dtype=np.uint32)
+    rows = []
+    for i in range(800):
+        own = rng.integers(0, 1 << 32, paths.COORDINATES, dtype=np.uint32)
+        rows.append((i, bytearray(np.where(rng.random(paths.COORDINATES) < 0.6, template, own).tobytes())))
+    totals = []
+    for n in (200, 800):
+        plans.clear(), made.clear()
+        leaves_of(spark.createDataFrame(rows[:n], "rep long, sample binary"), 8, 4, 8)
+        assert sum(k.startswith("paths-") for k in plans) == 4
+        assert not any(v for k, v in plans.items() if k.startswith("paths-") and k != "paths-1")
+        totals.append(sum(v for k, v in made.items() if k.startswith("steps-")))
+    assert 200 < totals[0] and totals[1] < 6 * totals[0]
+
+
 def test_runs_reach_the_recall():
     assert runs_for(0.9, 0.8, 2) < runs_for(0.9999, 0.8, 2) < runs_for(0.9999, 0.8, 4)
 
